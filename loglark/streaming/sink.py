@@ -1,0 +1,82 @@
+"""A table fed by ``foreachBatch``: every micro-batch owns one folder, so a replayed batch overwrites itself."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from loglark.session import path_is_missing
+
+BASES = T.StructType([T.StructField("upto", T.LongType())])
+
+
+@dataclass(frozen=True)
+class BatchTable:
+    """Rows of all batches under ``path``. ``keys`` name a row; its newest batch holds its current values."""
+
+    path: str
+    layout: T.StructType
+    keys: tuple[str, ...]
+
+    def write(self, df: DataFrame, batch_id: int) -> None:
+        rows = df.select(*self.layout.fieldNames())
+        rows.write.mode("overwrite").parquet(f"{self.path}/batches/batch_id={batch_id}")
+
+    def _read(self, spark: SparkSession, part: str, by: str) -> DataFrame:
+        layout = T.StructType([*self.layout.fields, T.StructField(by, T.LongType())])
+        try:
+            return spark.read.schema(layout).parquet(f"{self.path}/{part}")
+        except AnalysisException as error:
+            if not path_is_missing(error):
+                raise
+            return spark.createDataFrame([], layout)
+
+    def _base(self, spark: SparkSession) -> int:
+        """The last batch folded into a base that was written in full; -1 if there is none."""
+        try:
+            done = spark.read.schema(BASES).parquet(f"{self.path}/bases_done")
+        except AnalysisException as error:
+            if not path_is_missing(error):
+                raise
+            return -1
+        return done.agg(F.coalesce(F.max("upto"), F.lit(-1))).first()[0]
+
+    def current(self, spark: SparkSession) -> DataFrame:
+        """The current value of every key."""
+        base = self._base(spark)
+        rows = self._read(spark, "batches", "batch_id").where(F.col("batch_id") > base)
+        if base >= 0:
+            old = self._read(spark, "bases", "upto").where(F.col("upto") == base)
+            rows = rows.unionByName(old.withColumnRenamed("upto", "batch_id"))
+        values = [f for f in self.layout.fieldNames() if f not in self.keys]
+        newest = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_v"))
+        return newest.select(*self.keys, *(F.col(f"_v.{v}").alias(v) for v in values))
+
+    def batch(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        rows = self._read(spark, "batches", "batch_id")
+        return rows.where(F.col("batch_id") == batch_id).drop("batch_id")
+
+    def _last(self, spark: SparkSession) -> int:
+        rows = self._read(spark, "batches", "batch_id")
+        return rows.agg(F.coalesce(F.max("batch_id"), F.lit(-1))).first()[0]
+
+    def newest_batch(self, spark: SparkSession) -> DataFrame:
+        return self.batch(spark, self._last(spark))
+
+    def compact(self, spark: SparkSession) -> int:
+        """Fold all batches so far into one base, so that later reads list fewer files. Returns the last batch folded.
+
+        Run it while no batch is being written. Old batch folders are left for the operator to remove.
+        """
+        base = self._base(spark)
+        last = self._last(spark)
+        if last <= base:
+            return base
+        self.current(spark).write.mode("overwrite").parquet(f"{self.path}/bases/upto={last}")
+        done = spark.createDataFrame([(last,)], BASES)
+        done.coalesce(1).write.mode("append").parquet(f"{self.path}/bases_done")
+        return last
