@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,14 +19,6 @@ def keyed_weights(
     return rows.where("dim IS NOT NULL AND key IS NOT NULL").select("dim", "key", amount.alias("w"))
 
 
-def batch_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Weights of each Arrow batch summed per (dim, key), in order of first appearance."""
-    for batch in batches:
-        if batch.num_rows:
-            table = pa.Table.from_batches([batch])
-            yield table.group_by(["dim", "key"], use_threads=False).aggregate([("w", "sum")])
-
-
 def best_per_dim(rows: DataFrame, order: list[Column], limit: int, split: bool) -> DataFrame:
     """The first ``limit`` rows of each dim with their position ``_r``; tasks cut to the limit first."""
     if not split:

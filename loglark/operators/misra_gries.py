@@ -9,18 +9,14 @@ run again then sees its rows in the same order and gives the same summary.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglark import params, schema
-from loglark.operators import _partials
+from loglark.operators import _partials, task_summaries
 
 
 @dataclass(frozen=True)
@@ -32,35 +28,6 @@ class MisraGries:
     split: bool = False
 
 
-def _cut(counters: pa.Table, capacity: int) -> pa.Table:
-    """Take the (capacity+1)-th largest counter off all counters and keep the positive ones."""
-    if counters.num_rows <= capacity:
-        return counters
-    n = counters["w"].to_numpy()
-    left = n - np.partition(n, len(n) - capacity - 1)[len(n) - capacity - 1]
-    keep = left > 0
-    kept = counters.filter(pa.array(keep))
-    return kept.set_column(kept.schema.get_field_index("w"), "w", pa.array(left[keep]))
-
-
-def summarize(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
-    """The summary of one task, per dim."""
-    held: dict[str, pa.Table] = {}
-    for sums in _partials.batch_sums(batches):
-        sums = sums.rename_columns({"w_sum": "w"})
-        for dim in pc.unique(sums["dim"]).to_pylist():
-            own = sums.filter(pc.equal(sums["dim"], dim)).select(["key", "w"])
-            if dim in held:
-                both = pa.concat_tables([held[dim], own])
-                own = both.group_by("key").aggregate([("w", "sum")]).rename_columns({"w_sum": "w"})
-            held[dim] = _cut(own, capacity)
-    for dim, counters in held.items():
-        dims = pa.array([dim] * counters.num_rows, pa.string())
-        yield from pa.table(
-            {"dim": dims, "key": counters["key"], "n": counters["w"]}
-        ).combine_chunks().to_batches()
-
-
 def _merged(rows: DataFrame, capacity: int, split: bool) -> DataFrame:
     sums = rows.groupBy("dim", "key").agg(F.sum("n").alias("n"))
     order = [F.desc("n"), F.asc("key")]
@@ -80,6 +47,7 @@ def build(
 ) -> MisraGries:
     """Summarize ``df``, one summary per value of ``by`` (few values). Each task ships its summary only."""
     capacity = params.capacity(capacity)
+    summarize = task_summaries.misra_gries
 
     def partial(batches):
         return summarize(batches, capacity)

@@ -14,17 +14,14 @@ is run again gives the same summary.
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglark import params, schema
-from loglark.operators import _partials
+from loglark.operators import _partials, task_summaries
 
 
 @dataclass(frozen=True)
@@ -36,76 +33,6 @@ class SpaceSaving:
     split: bool = False
 
 
-class _Counters:
-    """One summary while its rows arrive. The heap holds one entry per key; stale ones are renewed on sight."""
-
-    def __init__(self, capacity: int):
-        self.capacity = capacity
-        self.n: dict[str, int] = {}
-        self.err: dict[str, int] = {}
-        self.heap: list[tuple[int, str]] = []
-
-    def smallest(self) -> tuple[int, str]:
-        while True:
-            n, key = self.heap[0]
-            if self.n[key] == n:
-                return n, key
-            heapq.heapreplace(self.heap, (self.n[key], key))
-
-    def add(self, keys: list[str], weights: list[int]) -> None:
-        n = self.n
-        for key, w in zip(keys, weights):
-            if key in n:
-                n[key] += w
-            elif len(n) < self.capacity:
-                n[key], self.err[key] = w, 0
-                heapq.heappush(self.heap, (w, key))
-            else:
-                least, loser = self.smallest()
-                del n[loser], self.err[loser]
-                n[key], self.err[key] = least + w, least
-                heapq.heapreplace(self.heap, (least + w, key))
-
-    def floor(self) -> int:
-        return self.smallest()[0] if len(self.n) == self.capacity else 0
-
-
-def summarize(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
-    """The summary of one task, per dim."""
-    held: dict[str, _Counters] = {}
-    for sums in _partials.batch_sums(batches):
-        dims = sums["dim"].to_pylist()
-        keys, weights = sums["key"].to_pylist(), sums["w_sum"].to_pylist()
-        for dim in dict.fromkeys(dims):
-            own = [i for i, d in enumerate(dims) if d == dim]
-            held.setdefault(dim, _Counters(capacity)).add([keys[i] for i in own], [weights[i] for i in own])
-    for dim, counters in held.items():
-        ordered = sorted(counters.n, key=lambda key: (-counters.n[key], key))
-        yield pa.RecordBatch.from_pydict(
-            {
-                "dim": [dim] * len(ordered),
-                "rank": list(range(1, len(ordered) + 1)),
-                "key": ordered,
-                "n": [counters.n[key] for key in ordered],
-                "err": [counters.err[key] for key in ordered],
-                "floor": [counters.floor()] * len(ordered),
-            },
-            schema=_ARROW,
-        )
-
-
-_ARROW = pa.schema(
-    [
-        ("dim", pa.string()),
-        ("rank", pa.int32()),
-        ("key", pa.string()),
-        ("n", pa.int64()),
-        ("err", pa.int64()),
-        ("floor", pa.int64()),
-    ]
-)
-
-
 def _merged(rows: DataFrame, capacity: int, split: bool) -> DataFrame:
     def entry(key: Column, over: Column, err: Column) -> Column:
         return F.struct(key.alias("key"), over.alias("over"), err.alias("err_over"))
@@ -148,6 +75,7 @@ def build(
 ) -> SpaceSaving:
     """Summarize ``df``, one summary per value of ``by`` (few values). Each task ships its summary only."""
     capacity = params.capacity(capacity)
+    summarize = task_summaries.space_saving
 
     def partial(batches):
         return summarize(batches, capacity)
