@@ -1,0 +1,130 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from helpers import plan, row_set, rows
+from loglark.operators import late, windows
+
+BASE = 1_700_000_000
+
+
+def at(second: int):
+    return F.timestamp_seconds(F.lit(BASE + second))
+
+
+def seconds(spark, *values):
+    df = spark.createDataFrame([(v,) for v in values], "s long")
+    return df.select("s", F.timestamp_seconds(F.col("s") + BASE).alias("ts"))
+
+
+def as_seconds(df, *columns):
+    shift = {c: F.unix_timestamp(c) - BASE for c in columns}
+    return df.withColumns(shift)
+
+
+def rate(buckets, n, second, **kw):
+    ((value,),) = rows(windows.rate_last_n(buckets, n, at(second), **kw))
+    return value
+
+
+def test_four_records(spark):
+    buckets = windows.per_second(seconds(spark, 0, 0, 0, -4), "ts")
+    assert rate(buckets, 5, 0) == 0.8
+
+
+def test_three_second_window(spark):
+    before = windows.per_second(seconds(spark, 0, -1, -2), "ts")
+    after = windows.per_second(seconds(spark, 0, -1, -2, -10), "ts")
+    assert rate(before, 3, 0, retention=3) == 1.0
+    assert rate(after, 3, 0, retention=3) == 1.0
+    assert rate(after, 1, 0, retention=3) == 1.0
+
+
+def test_rate_rules(spark):
+    buckets = windows.per_second(seconds(spark, 0, -1, -2, -400), "ts")
+    assert rate(buckets, 0, 0) == 0.0
+    assert rate(buckets, 10, 1_000) == 0.0
+    assert rate(buckets, 1_000, 0) == 3 / 1_000  # summed over the 300 retained seconds
+    assert rate(buckets, 1_000, 0, retention=1_000) == 4 / 1_000
+    assert rate(buckets, 2, -1) == 1.0  # later seconds do not count
+    ((now,),) = rows(windows.rate_last_n(buckets, 60))
+    assert now == 0.0
+    with pytest.raises(ValueError):
+        windows.rate_last_n(buckets, -1)
+
+
+def test_per_second_weights_and_keys(spark):
+    df = seconds(spark, 0, 0, 1).withColumn("w", F.lit(2)).withColumn("k", F.col("s") % 2)
+    df = df.unionByName(df.limit(1).withColumn("ts", F.lit(None).cast("timestamp")))
+    assert row_set(as_seconds(windows.per_second(df, "ts", weight="w"), "sec")) == {(0, 4), (1, 2)}
+    assert row_set(as_seconds(windows.per_second(df, "ts", by=["k"]), "sec")) == {(0, 0, 2), (1, 1, 1)}
+
+
+@pytest.mark.parametrize("n,chunk", [(1, 1), (5, 5), (5, 7), (50, 10), (7, None)])
+def test_rate_series_against_brute_force(spark, n, chunk):
+    rng = random.Random(n)
+    table = {(k, rng.randint(-300, 300)): rng.randint(1, 5) for k in "ab" for _ in range(80)}
+    df = spark.createDataFrame([(k, s, c) for (k, s), c in table.items()], "k string, s long, n long")
+    buckets = df.select("k", F.timestamp_seconds(F.col("s") + BASE).alias("sec"), "n")
+    got = row_set(as_seconds(windows.rate_series(buckets, n, ["k"], chunk), "sec"))
+    want = {
+        (k, s, sum(c for (k2, s2), c in table.items() if k2 == k and s - n < s2 <= s) / n) for k, s in table
+    }
+    assert got == want
+
+
+def test_rate_series_is_cut_into_chunks(spark):
+    buckets = windows.per_second(seconds(spark, 1), "ts")
+    text = plan(windows.rate_series(buckets, 60))
+    assert "SinglePartition" not in text and "hashpartitioning(_chunk" in text
+
+
+@pytest.mark.parametrize("size,slide", [(10, 10), (10, 5), (15, 10), (7, 3)])
+def test_hopping_against_brute_force(spark, size, slide):
+    rng = random.Random(size)
+    values = [rng.randint(0, 120) for _ in range(200)]
+    got = row_set(as_seconds(windows.hopping(seconds(spark, *values), "ts", size, slide), "window_start", "window_end"))
+    want = {}
+    for v in values:
+        start = (v + BASE) // slide * slide
+        while start > v + BASE - size:
+            want[start - BASE] = want.get(start - BASE, 0) + 1
+            start -= slide
+    assert got == {(s, s + size, n) for s, n in want.items()}
+    with pytest.raises(ValueError):
+        windows.hopping(seconds(spark, 1), "ts", 5, 6)
+
+
+def test_retain(spark):
+    buckets = windows.per_second(seconds(spark, 0, 5, 10), "ts")
+    assert row_set(as_seconds(windows.retain(buckets, 6), "sec")) == {(5, 1), (10, 1)}
+    assert row_set(as_seconds(windows.retain(buckets, 6, at(5)), "sec").where("sec <= 5")) == {(0, 1), (5, 1)}
+
+
+def brute_late(events, window):
+    newest, out = None, set()
+    for arrival, tie, second in sorted(events):
+        if newest is not None and second < newest - (window - 1):
+            out.add((arrival, tie))
+        newest = second if newest is None else max(newest, second)
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 16, None])
+def test_late_against_brute_force_with_a_hot_arrival(spark, partitions):
+    rng = random.Random(7)
+    events = [(5 if rng.random() < 0.5 else rng.randint(0, 40), tie, rng.randint(0, 100)) for tie in range(400)]
+    df = spark.createDataFrame(events, "a long, t long, s long").repartition(4)
+    df = df.withColumn("ts", F.timestamp_seconds(F.col("s") + BASE))
+    marked = late.mark_late(df, "a", "t", "ts", 30, partitions)
+    got = rows(marked.select("a", "t", "late"))
+    assert len(got) == len(events)
+    assert {(a, t) for a, t, flag in got if flag} == brute_late(events, 30)
+
+
+def test_late_without_a_time(spark):
+    df = spark.createDataFrame([(1, 1, 100), (2, 2, None), (3, 3, 98), (4, 4, 97)], "a long, t long, s long")
+    df = df.withColumn("ts", F.timestamp_seconds(F.col("s") + BASE))
+    got = dict(rows(late.mark_late(df, "a", "t", "ts", 3).select("a", "late")))
+    assert got == {1: False, 2: False, 3: False, 4: True}
