@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loglark import schema
 from loglark.functions.text import path_of, query_param
 from loglark.functions.weight import column, weighted
+from loglark.session import materialize
 
 
 def count_by(df: DataFrame, key: str | list[str], weight: str | Column | None = None) -> DataFrame:
@@ -57,6 +58,17 @@ def buckets_of(seconds: DataFrame) -> DataFrame:
     return seconds.where("key IS NOT NULL").select(sec.alias("sec"), "n")
 
 
+def counts_and_buckets(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """COUNTS and the lines per second from one scan. The result is written once, as both parts come from it."""
+    return split_seconds(materialize(all_counts(parsed, with_seconds=True), "counts"))
+
+
+def split_seconds(both: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two parts of a fan-out that was counted ``with_seconds``."""
+    seconds = F.col("dim") == schema.DIM_SECOND
+    return both.where(~seconds), buckets_of(both.where(seconds))
+
+
 def add_counts(*parts: DataFrame) -> DataFrame:
     """Sum COUNTS tables of disjoint inputs."""
     both = parts[0].select("dim", "key", "n")

@@ -63,7 +63,8 @@ def rate_series(
     """The trailing ``n``-second rate at every second that has events.
 
     Time is cut into chunks of at least ``n`` seconds, and the last n-1 seconds of a chunk are copied into the next. A
-    task then needs one chunk of one key, at most chunk + n - 1 rows, however long the series or busy the key.
+    task then needs one chunk of one key, at most chunk + n - 1 rows, however long the series or busy the key. The
+    trailing sum is the difference of two running sums, which costs the same for every ``n``.
     """
     n = params.positive("n", params.rate_seconds(n))
     by = by or []
@@ -78,8 +79,10 @@ def rate_series(
             )
         ).alias("_chunk"),
     )
-    trailing = Window.partitionBy(*by, "_chunk").orderBy("_s").rangeBetween(-(n - 1), 0)
-    rate = F.sum("n").over(trailing) / F.lit(float(n))
+    in_order = Window.partitionBy(*by, "_chunk").orderBy("_s")
+    so_far = F.sum("n").over(in_order.rangeBetween(Window.unboundedPreceding, 0))
+    too_old = F.sum("n").over(in_order.rangeBetween(Window.unboundedPreceding, -n))
+    rate = (so_far - F.coalesce(too_old, F.lit(0))) / F.lit(float(n))
     return placed.withColumn("rate", rate).where("_chunk = _own").select(*by, "sec", "rate")
 
 

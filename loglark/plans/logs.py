@@ -13,9 +13,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a table in few files over all cores, for work that is heavy per row. Larger tables stay as they are.
+
+    The order within a partition is fixed, so a task that is run again sees the same rows in the same order.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key).sortWithinPartitions(key)
+
+
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, ts, value): one Common Log Format line per event; every fiftieth line is malformed."""
-    client = F.format_string("10.0.%d.%d", F.col("user_id") % 4, F.col("user_id"))
+    subnet = (F.col("user_id") % 4).cast("string")
+    client = F.concat(F.lit("10.0."), subnet, F.lit("."), F.col("user_id").cast("string"))
     method = F.when(F.col("event_type").isin("purchase", "signup"), "POST").otherwise("GET")
     line = F.concat(
         client,
@@ -33,7 +45,7 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(F.col("value") * 100).cast("bigint").cast("string"),
     )
     bad = F.concat(F.lit("bad "), F.col("event_id").cast("string"))
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events"), "event_id").select(
         "event_id", "ts", F.when(F.col("event_id") % 50 == 0, bad).otherwise(line).alias("value")
     )
 

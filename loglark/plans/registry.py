@@ -475,10 +475,8 @@ def stats_summary(spark, sf):
 
 
 def _metrics(spark: SparkSession, sf: str) -> DataFrame:
-    lines = parsed(spark, sf)
-    buckets = windows.per_second(lines.where("ok"))
-    as_of = windows.last_second(buckets)
-    return report.metrics_rows(counts.all_counts(lines), buckets, as_of, 10, HOUR, DAY)
+    kept, buckets = counts.counts_and_buckets(parsed(spark, sf))
+    return report.metrics_rows(kept, buckets, windows.last_second(buckets), 10, HOUR, DAY)
 
 
 @query
@@ -493,9 +491,8 @@ def metrics_text(spark, sf):
 
 @query
 def stats_json(spark, sf):
-    lines = parsed(spark, sf)
-    buckets = windows.per_second(lines.where("ok"))
-    return report.stats_json(counts.all_counts(lines), buckets, windows.last_second(buckets), 10, HOUR, DAY)
+    kept, buckets = counts.counts_and_buckets(parsed(spark, sf))
+    return report.stats_json(kept, buckets, windows.last_second(buckets), 10, HOUR, DAY)
 
 
 # --- snapshots -------------------------------------------------------------------------------------------------

@@ -21,7 +21,7 @@ from loglark.operators.cms import CountMin
 from loglark.operators.misra_gries import MisraGries
 from loglark.operators.space_saving import SpaceSaving
 from loglark.params import CmsParams
-from loglark.session import materialize, path_is_missing
+from loglark.session import path_is_missing
 
 # Version 1 holds no endpoints, 2 adds them, 3 adds count-min, 4 adds heavy hitters.
 FORMAT = 4
@@ -63,13 +63,12 @@ def build(
     ss_capacity: int | None = None,
 ) -> State:
     """State of a batch of parsed lines, from one scan: the counts are written once and the rest derives from them."""
-    every = materialize(counts.all_counts(parsed, with_seconds=True), "state-counts")
-    seconds = every.where(F.col("dim") == schema.DIM_SECOND)
-    keys = every.where(F.col("dim").isin(schema.DIM_IP, schema.DIM_ENDPOINT))
-    clients = every.where(F.col("dim") == schema.DIM_IP)
+    exact, buckets = counts.counts_and_buckets(parsed)
+    keys = exact.where(F.col("dim").isin(schema.DIM_IP, schema.DIM_ENDPOINT))
+    clients = exact.where(F.col("dim") == schema.DIM_IP)
     return State(
-        counts=every.where(F.col("dim") != schema.DIM_SECOND),
-        buckets=counts.buckets_of(seconds),
+        counts=exact,
+        buckets=buckets,
         cms=cms.build(clients, "key", cms_params, weight="n"),
         mg=misra_gries.build(keys, "key", mg_capacity, weight="n", by="dim"),
         ss=space_saving.build(keys, "key", ss_capacity, weight="n", by="dim"),

@@ -2,7 +2,7 @@
 
 Each ``run_*`` starts a query that keeps a table current and returns the query. Input offsets and state commit together
 in the checkpoint folder, so a restart with the same folders neither loses nor repeats a line. ``drain=True`` processes
-what is there and stops.
+what is there and stops. After every ``compact_every`` batches the kept table is folded into one base.
 """
 
 from __future__ import annotations
@@ -66,9 +66,13 @@ def _start(
         return writer.start()
 
 
-def _keep(table: BatchTable, on_batch: OnBatch | None) -> Callable[[DataFrame, int], None]:
+def _keep(
+    table: BatchTable, compact_every: int | None = None, on_batch: OnBatch | None = None
+) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
         table.write(batch, batch_id)
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            table.compact(batch.sparkSession)
         if on_batch is not None:
             on_batch(batch.sparkSession, batch_id)
 
@@ -83,11 +87,12 @@ def run_counts(
     every: str = "10 seconds",
     state_partitions: int | None = None,
     with_seconds: bool = False,
+    compact_every: int | None = 100,
     on_batch: OnBatch | None = None,
 ) -> StreamingQuery:
     """Keep COUNTS of a stream of parsed lines under ``path``; a batch writes only the keys it changed."""
     running = counts.all_counts(parsed, with_seconds)
-    write = _keep(counts_table(path), on_batch)
+    write = _keep(counts_table(path), compact_every, on_batch)
     return _start(running, write, "update", checkpoint, drain, every, state_partitions)
 
 
@@ -110,6 +115,7 @@ def run_buckets(
     drain: bool = False,
     every: str = "10 seconds",
     state_partitions: int | None = None,
+    compact_every: int | None = 100,
 ) -> StreamingQuery:
     """Keep lines per second. A second older than (newest second of earlier batches) - (window - 1) is dropped as late.
 
@@ -125,7 +131,7 @@ def run_buckets(
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("_w.start").alias("sec"), "n")
     )
-    write = _keep(buckets_table(path), None)
+    write = _keep(buckets_table(path), compact_every)
     return _start(seconds, write, "update", checkpoint, drain, every, state_partitions)
 
 
@@ -142,10 +148,11 @@ def run_cms(
     drain: bool = False,
     every: str = "10 seconds",
     state_partitions: int | None = None,
+    compact_every: int | None = 100,
 ) -> StreamingQuery:
     """Keep a count-min sketch; its state is at most width x depth cells."""
     cells = cms.build(parsed.where("ok"), key, cms_params).cells
-    write = _keep(cms_table(path), None)
+    write = _keep(cms_table(path), compact_every)
     return _start(cells, write, "update", checkpoint, drain, every, state_partitions)
 
 
@@ -198,9 +205,7 @@ def current_ss(spark: SparkSession, path: str, capacity: int | None = None) -> S
 
 def counts_and_buckets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """COUNTS and buckets of a ``run_counts(with_seconds=True)`` table."""
-    kept = current_counts(spark, path)
-    seconds = kept.where(F.col("dim") == schema.DIM_SECOND)
-    return kept.where(F.col("dim") != schema.DIM_SECOND), counts.buckets_of(seconds)
+    return counts.split_seconds(current_counts(spark, path))
 
 
 def run_report(

@@ -70,7 +70,7 @@ class BatchTable:
     def compact(self, spark: SparkSession) -> int:
         """Fold all batches so far into one base, so that later reads list fewer files. Returns the last batch folded.
 
-        Run it while no batch is being written. Old batch folders are left for the operator to remove.
+        Call it between batches, as the running queries do. Old batch folders are left for the operator to remove.
         """
         base = self._base(spark)
         last = self._last(spark)
