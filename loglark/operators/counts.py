@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglark import schema
+from loglark.functions.once import with_once
 from loglark.functions.text import path_of, query_param
 from loglark.functions.weight import column, weighted
 from loglark.session import materialize
@@ -81,8 +82,8 @@ def count_by_query_param(
     df: DataFrame, endpoint: str | Column, param: str, name: str = "param_value"
 ) -> DataFrame:
     """Rows per decoded value of one query parameter; rows without it are left out."""
-    values = df.select(query_param(column(endpoint), param).alias(name)).where(F.col(name).isNotNull())
-    return count_by(values, name)
+    values = with_once(df.select(column(endpoint).alias("_e")), name, query_param(F.col("_e"), param))
+    return count_by(values.where(F.col(name).isNotNull()), name)
 
 
 def count_by_path(df: DataFrame, endpoint: str | Column) -> DataFrame:

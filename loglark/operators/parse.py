@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglark.functions import line
+from loglark.functions.once import with_once
 from loglark.functions.weight import column
 from loglark.schema import PARSED
 
@@ -20,14 +21,13 @@ def parse_logs(
 
     ``ts_received`` is the arrival time (the ``arrival`` column, or now), or with ``event_clock`` the line's own time.
 
-    The regex runs once per line. The one-element explode is what keeps it so: Catalyst would otherwise copy
-    the regex into every filter on a parsed column. Invalid lines have NULL in all parsed columns. A
-    malformed time gives a NULL ``event_ts`` and leaves the line valid.
+    The regex runs once per line. Invalid lines have NULL in all parsed columns. A malformed time gives a NULL
+    ``event_ts`` and leaves the line valid.
     """
     taken = {*PARSED.fieldNames(), "ok", "_f"} & set(lines.columns)
     if taken:
         raise ValueError(f"rename these input columns first: {sorted(taken)}")
-    fields = lines.select("*", F.explode(F.array(line.line_fields(F.col(col)))).alias("_f"))
+    fields = with_once(lines, "_f", line.line_fields(F.col(col)))
     ok = F.coalesce(F.col("_f")[0] != "", F.lit(False))
 
     def field(i: int) -> Column:

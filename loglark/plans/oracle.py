@@ -316,7 +316,9 @@ ORACLES: dict[str, str] = {
     "stream_mg": f"WITH {COUNTS} SELECT dim, key, n FROM counts WHERE dim IN ('ip', 'endpoint')",
     "stream_ss": f"""
         WITH {COUNTS} SELECT dim, key, n, cast(0 AS bigint) AS err FROM counts WHERE dim IN ('ip', 'endpoint')""",
-    "stream_report": f"WITH {_metric_lines(60)} SELECT value FROM exposition",
+    "stream_report": f"""
+        WITH {_metric_lines(60)}
+        SELECT cast(row_number() OVER (ORDER BY place) AS integer) AS seq, value FROM exposition""",
     "lines_from_table": f"""
         WITH lines AS (SELECT unnest(string_split(text, chr(10))) AS value FROM documents),
         parsed AS (SELECT regexp_matches(value, '{R}') AS ok FROM lines)

@@ -598,7 +598,7 @@ def stream_restart(spark, sf):
     for part in _parts(spark, sf):
         _add_files(part, folder)
         _drain(runs.run_counts(_stream(spark, folder), out, checkpoint, drain=True, state_partitions=_width(spark)))
-    runs.counts_table(out).compact(spark)
+    runs.counts_table(out).fold(spark)
     return runs.current_counts(spark, out)
 
 
@@ -667,7 +667,7 @@ def stream_ss(spark, sf):
 
 @query
 def stream_report(spark, sf):
-    """The exposition that is rewritten after every batch, read back at the end."""
+    """The exposition that is refreshed after every batch, read back at the end."""
     folder, out, checkpoint = _folders(spark, "stream")
     for part in _parts(spark, sf):
         _add_files(part, folder)
@@ -683,7 +683,7 @@ def stream_report(spark, sf):
             as_of_newest=True,
         )
         _drain(started)
-    return read_logs(spark, f"{out}/report")
+    return runs.current_report(spark, out)
 
 
 @query

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loglark import params, schema
 from loglark.functions.text import label_text
@@ -21,6 +22,8 @@ HELP = {
 STATUSES = 1_000  # three digits
 DECIMALS = 6
 
+TEXT = T.StructType([T.StructField("seq", T.IntegerType()), T.StructField("value", T.StringType())])
+
 
 def stats(counts: DataFrame) -> DataFrame:
     """Rows (item, n): total lines, parse errors, then every status."""

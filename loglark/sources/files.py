@@ -55,8 +55,12 @@ def stream_logs(
     folder: str,
     max_files: int | None = None,
     max_bytes: int | str | None = None,
+    missing_ok: bool = False,
 ) -> DataFrame:
-    """Stream of the files rolled into ``folder``; each is read once. The limits bound one micro-batch."""
+    """Stream of the files rolled into ``folder``; each is read once. The limits bound one micro-batch.
+
+    With ``missing_ok`` the folder need not exist yet.
+    """
     if max_files is not None and max_bytes is not None:
         raise ValueError("give max_files or max_bytes, not both")
     reader = spark.readStream.option("lineSep", "\n")
@@ -64,7 +68,8 @@ def stream_logs(
         reader = reader.option("maxFilesPerTrigger", max_files)
     if max_bytes is not None:
         reader = reader.option("maxBytesPerTrigger", max_bytes)
-    return reader.text(folder)
+    # A pattern may match nothing, a plain path must exist.
+    return reader.text(f"{folder.rstrip('/')}/*" if missing_ok else folder)
 
 
 def lines_from(df: DataFrame, text: str | Column, *keep: str) -> DataFrame:

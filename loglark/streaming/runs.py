@@ -2,7 +2,7 @@
 
 Each ``run_*`` starts a query that keeps a table current and returns the query. Input offsets and state commit together
 in the checkpoint folder, so a restart with the same folders neither loses nor repeats a line. ``drain=True`` processes
-what is there and stops. After every ``compact_every`` batches the kept table is folded into one base.
+what is there and stops. After every ``fold_every`` batches the kept table is folded into one base.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from loglark.operators.windows import last_second
 from loglark.params import CmsParams
 from loglark.plans import report
 from loglark.session import STREAM_CONF, settings
-from loglark.streaming.sink import BatchTable
+from loglark.streaming.sink import BatchTable, SlotTable
 
 OnBatch = Callable[[SparkSession, int], None]
 
@@ -39,12 +39,16 @@ def cms_table(path: str) -> BatchTable:
     return BatchTable(f"{path}/cms", schema.CMS, ("row", "bucket"))
 
 
-def mg_table(path: str) -> BatchTable:
-    return BatchTable(f"{path}/mg", schema.MG, ("dim", "key"))
+def mg_table(path: str) -> SlotTable:
+    return SlotTable(f"{path}/mg", schema.MG)
 
 
-def ss_table(path: str) -> BatchTable:
-    return BatchTable(f"{path}/ss", schema.SS, ("dim", "key"))
+def ss_table(path: str) -> SlotTable:
+    return SlotTable(f"{path}/ss", schema.SS)
+
+
+def report_table(path: str) -> SlotTable:
+    return SlotTable(f"{path}/report", report.TEXT)
 
 
 def _start(
@@ -67,12 +71,12 @@ def _start(
 
 
 def _keep(
-    table: BatchTable, compact_every: int | None = None, on_batch: OnBatch | None = None
+    table: BatchTable, fold_every: int | None = None, on_batch: OnBatch | None = None
 ) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
         table.write(batch, batch_id)
-        if compact_every and (batch_id + 1) % compact_every == 0:
-            table.compact(batch.sparkSession)
+        if fold_every and (batch_id + 1) % fold_every == 0:
+            table.fold(batch.sparkSession)
         if on_batch is not None:
             on_batch(batch.sparkSession, batch_id)
 
@@ -87,12 +91,12 @@ def run_counts(
     every: str = "10 seconds",
     state_partitions: int | None = None,
     with_seconds: bool = False,
-    compact_every: int | None = 100,
+    fold_every: int | None = 100,
     on_batch: OnBatch | None = None,
 ) -> StreamingQuery:
     """Keep COUNTS of a stream of parsed lines under ``path``; a batch writes only the keys it changed."""
     running = counts.all_counts(parsed, with_seconds)
-    write = _keep(counts_table(path), compact_every, on_batch)
+    write = _keep(counts_table(path), fold_every, on_batch)
     return _start(running, write, "update", checkpoint, drain, every, state_partitions)
 
 
@@ -115,7 +119,7 @@ def run_buckets(
     drain: bool = False,
     every: str = "10 seconds",
     state_partitions: int | None = None,
-    compact_every: int | None = 100,
+    fold_every: int | None = 100,
 ) -> StreamingQuery:
     """Keep lines per second. A second older than (newest second of earlier batches) - (window - 1) is dropped as late.
 
@@ -131,7 +135,7 @@ def run_buckets(
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("_w.start").alias("sec"), "n")
     )
-    write = _keep(buckets_table(path), compact_every)
+    write = _keep(buckets_table(path), fold_every)
     return _start(seconds, write, "update", checkpoint, drain, every, state_partitions)
 
 
@@ -148,11 +152,11 @@ def run_cms(
     drain: bool = False,
     every: str = "10 seconds",
     state_partitions: int | None = None,
-    compact_every: int | None = 100,
+    fold_every: int | None = 100,
 ) -> StreamingQuery:
     """Keep a count-min sketch; its state is at most width x depth cells."""
     cells = cms.build(parsed.where("ok"), key, cms_params).cells
-    write = _keep(cms_table(path), compact_every)
+    write = _keep(cms_table(path), fold_every)
     return _start(cells, write, "update", checkpoint, drain, every, state_partitions)
 
 
@@ -170,8 +174,8 @@ def run_heavy_hitters(
 ) -> StreamingQuery:
     """Keep Misra-Gries and Space-Saving summaries of clients and endpoints.
 
-    The summary after batch i is the one after batch i-1 merged with that of the batch, written under i. A replayed batch
-    starts from the same predecessor, so nothing is applied twice.
+    The summary after batch i is the one after batch i-1 merged with that of the batch. A replayed batch starts from the
+    same predecessor, so nothing is applied twice.
     """
     capacity = params.capacity(capacity)
     mg_out, ss_out = mg_table(path), ss_table(path)
@@ -196,11 +200,11 @@ def run_heavy_hitters(
 
 
 def current_mg(spark: SparkSession, path: str, capacity: int | None = None) -> MisraGries:
-    return MisraGries(mg_table(path).newest_batch(spark), params.capacity(capacity), split=True)
+    return MisraGries(mg_table(path).newest(spark), params.capacity(capacity), split=True)
 
 
 def current_ss(spark: SparkSession, path: str, capacity: int | None = None) -> SpaceSaving:
-    return SpaceSaving(ss_table(path).newest_batch(spark), params.capacity(capacity), split=True)
+    return SpaceSaving(ss_table(path).newest(spark), params.capacity(capacity), split=True)
 
 
 def counts_and_buckets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -220,7 +224,7 @@ def run_report(
     state_partitions: int | None = None,
     as_of_newest: bool = False,
 ) -> StreamingQuery:
-    """Keep COUNTS and rewrite the exposition text ``path/report`` after every batch.
+    """Keep COUNTS and refresh the exposition text after every batch.
 
     The rate ends now, or at the newest second of the log with ``as_of_newest`` (for a back-fill).
     """
@@ -229,7 +233,7 @@ def run_report(
         kept, buckets = counts_and_buckets(spark, path)
         as_of = last_second(buckets) if as_of_newest else None
         rows = report.metrics_rows(kept, buckets, as_of, k, n)
-        report.write_metrics(report.metrics_text(rows, prefix), f"{path}/report")
+        report_table(path).write(report.metrics_text(rows, prefix), batch_id)
 
     return run_counts(
         parsed,
@@ -241,3 +245,8 @@ def run_report(
         with_seconds=True,
         on_batch=refresh,
     )
+
+
+def current_report(spark: SparkSession, path: str) -> DataFrame:
+    """The exposition lines (seq, value) after the newest batch."""
+    return report_table(path).newest(spark)

@@ -1,4 +1,4 @@
-"""A table fed by ``foreachBatch``: every micro-batch owns one folder, so a replayed batch overwrites itself."""
+"""Tables fed by ``foreachBatch``. A micro-batch writes under its own id, so a replayed batch overwrites itself."""
 
 from __future__ import annotations
 
@@ -11,72 +11,98 @@ from pyspark.sql import types as T
 
 from loglark.session import path_is_missing
 
-BASES = T.StructType([T.StructField("upto", T.LongType())])
+FOLDS = T.StructType([T.StructField("upto", T.LongType())])
+BATCH = T.StructField("batch_id", T.LongType())
+
+
+def _read(spark: SparkSession, path: str, layout: T.StructType) -> DataFrame:
+    """The Parquet files under ``path``; no rows if nothing was written yet."""
+    try:
+        return spark.read.schema(layout).parquet(path)
+    except AnalysisException as error:
+        if not path_is_missing(error):
+            raise
+        return spark.createDataFrame([], layout)
 
 
 @dataclass(frozen=True)
 class BatchTable:
-    """Rows of all batches under ``path``. ``keys`` name a row; its newest batch holds its current values."""
+    """Changed rows of every batch. ``keys`` name a row; its newest batch holds its current values.
+
+    Batches are kept in generations. Folding writes the current rows as the base of the next generation and then adds
+    one row to ``folds``, which makes that generation the one in use. Readers list a single generation. Older ones
+    are no longer read and can be removed at any time.
+    """
 
     path: str
     layout: T.StructType
     keys: tuple[str, ...]
 
+    def _folded(self, spark: SparkSession) -> int:
+        """The last batch that is part of a base; -1 if there is none."""
+        done = _read(spark, f"{self.path}/folds", FOLDS)
+        return done.agg(F.coalesce(F.max("upto"), F.lit(-1))).first()[0]
+
+    def _rows(self, spark: SparkSession, folded: int) -> DataFrame:
+        layout = T.StructType([*self.layout.fields, BATCH])
+        home = f"{self.path}/generation={folded + 1}"
+        rows = _read(spark, f"{home}/batches", layout)
+        if folded >= 0:
+            base = _read(spark, f"{home}/base", self.layout)
+            rows = rows.unionByName(base.withColumn("batch_id", F.lit(folded).cast("bigint")))
+        return rows
+
     def write(self, df: DataFrame, batch_id: int) -> None:
+        folded = self._folded(df.sparkSession)
+        if batch_id <= folded:  # a replay of a batch that the base already holds
+            return
         rows = df.select(*self.layout.fieldNames())
-        rows.write.mode("overwrite").parquet(f"{self.path}/batches/batch_id={batch_id}")
-
-    def _read(self, spark: SparkSession, part: str, by: str) -> DataFrame:
-        layout = T.StructType([*self.layout.fields, T.StructField(by, T.LongType())])
-        try:
-            return spark.read.schema(layout).parquet(f"{self.path}/{part}")
-        except AnalysisException as error:
-            if not path_is_missing(error):
-                raise
-            return spark.createDataFrame([], layout)
-
-    def _base(self, spark: SparkSession) -> int:
-        """The last batch folded into a base that was written in full; -1 if there is none."""
-        try:
-            done = spark.read.schema(BASES).parquet(f"{self.path}/bases_done")
-        except AnalysisException as error:
-            if not path_is_missing(error):
-                raise
-            return -1
-        return done.agg(F.coalesce(F.max("upto"), F.lit(-1))).first()[0]
+        path = f"{self.path}/generation={folded + 1}/batches/batch_id={batch_id}"
+        rows.write.mode("overwrite").parquet(path)
 
     def current(self, spark: SparkSession) -> DataFrame:
         """The current value of every key."""
-        base = self._base(spark)
-        rows = self._read(spark, "batches", "batch_id").where(F.col("batch_id") > base)
-        if base >= 0:
-            old = self._read(spark, "bases", "upto").where(F.col("upto") == base)
-            rows = rows.unionByName(old.withColumnRenamed("upto", "batch_id"))
         values = [f for f in self.layout.fieldNames() if f not in self.keys]
+        rows = self._rows(spark, self._folded(spark))
         newest = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_v"))
         return newest.select(*self.keys, *(F.col(f"_v.{v}").alias(v) for v in values))
 
-    def batch(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        rows = self._read(spark, "batches", "batch_id")
-        return rows.where(F.col("batch_id") == batch_id).drop("batch_id")
-
-    def _last(self, spark: SparkSession) -> int:
-        rows = self._read(spark, "batches", "batch_id")
-        return rows.agg(F.coalesce(F.max("batch_id"), F.lit(-1))).first()[0]
-
-    def newest_batch(self, spark: SparkSession) -> DataFrame:
-        return self.batch(spark, self._last(spark))
-
-    def compact(self, spark: SparkSession) -> int:
-        """Fold all batches so far into one base, so that later reads list fewer files. Returns the last batch folded.
-
-        Call it between batches, as the running queries do. Old batch folders are left for the operator to remove.
-        """
-        base = self._base(spark)
-        last = self._last(spark)
-        if last <= base:
-            return base
-        self.current(spark).write.mode("overwrite").parquet(f"{self.path}/bases/upto={last}")
-        done = spark.createDataFrame([(last,)], BASES)
-        done.coalesce(1).write.mode("append").parquet(f"{self.path}/bases_done")
+    def fold(self, spark: SparkSession) -> int:
+        """Start a new generation from the current rows; returns the last batch in it. Call it between batches."""
+        folded = self._folded(spark)
+        last = self._rows(spark, folded).agg(F.coalesce(F.max("batch_id"), F.lit(folded))).first()[0]
+        if last <= folded:
+            return folded
+        self.current(spark).write.mode("overwrite").parquet(f"{self.path}/generation={last + 1}/base")
+        spark.createDataFrame([(last,)], FOLDS).coalesce(1).write.mode("append").parquet(f"{self.path}/folds")
         return last
+
+
+@dataclass(frozen=True)
+class SlotTable:
+    """A small table replaced by every batch. Two slots take turns, so the version before a batch stays whole.
+
+    One extra row without values carries the batch id of a slot, as the table itself may be empty.
+    """
+
+    path: str
+    layout: T.StructType
+
+    def _slots(self, spark: SparkSession) -> DataFrame:
+        return _read(spark, self.path, T.StructType([*self.layout.fields, BATCH, T.StructField("mark", T.BooleanType())]))
+
+    def write(self, df: DataFrame, batch_id: int) -> None:
+        mark = df.sparkSession.range(1).select(
+            *(F.lit(None).cast(f.dataType).alias(f.name) for f in self.layout.fields), F.lit(True).alias("mark")
+        )
+        rows = df.select(*self.layout.fieldNames(), F.lit(False).alias("mark")).unionByName(mark)
+        rows = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/slot={batch_id % 2}")
+
+    def batch(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        rows = self._slots(spark).where((F.col("batch_id") == batch_id) & ~F.col("mark"))
+        return rows.select(*self.layout.fieldNames())
+
+    def newest(self, spark: SparkSession) -> DataFrame:
+        last = self._slots(spark).agg(F.coalesce(F.max("batch_id"), F.lit(-1))).first()[0]
+        return self.batch(spark, last)

@@ -55,12 +55,14 @@ def test_counts_restart_and_compaction(spark, folders):
         folders.add(part)
         drain(runs.run_counts(parsed(spark, folders), folders.out, folders.checkpoint, drain=True, state_partitions=2))
         if part[0] == LOG[50]:
-            assert runs.counts_table(folders.out).compact(spark) >= 1
+            assert runs.counts_table(folders.out).fold(spark) >= 1
     want = row_set(counts.all_counts(batch(spark, LOG)))
     assert row_set(runs.current_counts(spark, folders.out)) == want
     table = runs.counts_table(folders.out)
-    last = table.compact(spark)
-    assert table.compact(spark) == last
+    last = table.fold(spark)
+    assert table.fold(spark) == last
+    # A batch that the base already holds is not written again.
+    table.write(spark.createDataFrame([("ip", "x", 99)], "dim string, key string, n long"), last)
     assert row_set(runs.current_counts(spark, folders.out)) == want
     # Nothing new: nothing changes.
     drain(runs.run_counts(parsed(spark, folders), folders.out, folders.checkpoint, drain=True, state_partitions=2))
@@ -78,7 +80,7 @@ def test_limits_make_several_batches(spark, folders):
 
 
 def test_a_replayed_batch_overwrites_itself(spark, tmp_path):
-    table = runs.counts_table(str(tmp_path))
+    table = runs.counts_table(str(tmp_path / "t"))
     first = spark.createDataFrame([("ip", "a", 1)], "dim string, key string, n long")
     table.write(first, 0)
     second = spark.createDataFrame([("ip", "a", 5), ("ip", "b", 2)], "dim string, key string, n long")
@@ -87,6 +89,42 @@ def test_a_replayed_batch_overwrites_itself(spark, tmp_path):
     assert row_set(table.current(spark)) == {("ip", "a", 5), ("ip", "b", 2)}
 
 
+def test_folding_on_the_way(spark, folders):
+    for i in range(5):
+        folders.add(LOG[i * 40 : (i + 1) * 40])
+    query = runs.run_counts(
+        parsed(spark, folders, max_files=1), folders.out, folders.checkpoint, drain=True, state_partitions=1, fold_every=2
+    )
+    drain(query)
+    assert row_set(runs.current_counts(spark, folders.out)) == row_set(counts.all_counts(batch(spark, LOG)))
+    assert len([f for f in os.listdir(f"{folders.out}/counts") if f.startswith("generation=")]) == 3
+
+
+def test_slots_take_turns(spark, tmp_path):
+    table = runs.report_table(str(tmp_path / "t"))
+    one, two, none = (spark.createDataFrame(v, "seq int, value string") for v in ([(1, "a")], [(1, "b"), (2, "c")], []))
+    table.write(one, 0)
+    assert row_set(table.newest(spark)) == {(1, "a")}
+    for _ in range(2):
+        table.write(two, 1)
+    assert row_set(table.newest(spark)) == {(1, "b"), (2, "c")}
+    assert row_set(table.batch(spark, 0)) == {(1, "a")}
+    table.write(none, 2)
+    assert rows(table.newest(spark)) == [] and len(rows(table.batch(spark, 1))) == 2
+
+
+def test_stream_on_a_folder_that_comes_later(spark, folders):
+    later = folders.inn / "sub"
+    source = parse_logs(stream_logs(spark, str(later), missing_ok=True), event_clock=True)
+    drain(runs.run_counts(source, folders.out, folders.checkpoint, drain=True, state_partitions=1))
+    assert rows(runs.current_counts(spark, folders.out)) == []
+    later.mkdir()
+    (later / "a.log").write_text("\n".join(LOG))
+    source = parse_logs(stream_logs(spark, str(later), missing_ok=True), event_clock=True)
+    drain(runs.run_counts(source, folders.out, folders.checkpoint, drain=True, state_partitions=1))
+    assert row_set(runs.current_counts(spark, folders.out)) == row_set(counts.all_counts(batch(spark, LOG)))
+
+
 def test_empty_table(spark, tmp_path):
     assert rows(runs.current_counts(spark, str(tmp_path / "none"))) == []
     assert rows(misra_gries.top(runs.current_mg(spark, str(tmp_path / "none")), dim="ip")) == []
@@ -136,7 +174,7 @@ def test_report_follows_the_stream(spark, folders):
             parsed(spark, folders), folders.out, folders.checkpoint, k=1, drain=True, state_partitions=1, as_of_newest=True
         )
         drain(query)
-        text = [v for (v,) in rows(spark.read.text(f"{folders.out}/report"))]
+        text = [v for _, v in sorted(rows(runs.current_report(spark, folders.out)))]
         done = LOG[: 100 if part[0] == LOG[0] else 200]
         assert f"accesslog_total_lines {sum(not v.startswith('bad') for v in done)}" in text
 
