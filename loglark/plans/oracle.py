@@ -301,6 +301,7 @@ ORACLES: dict[str, str] = {
           '}},"top_ips":[', {_json_list("ip")}, '],"top_endpoints":[', {_json_list("endpoint")}, ']}}') AS json""",
     "snapshot_roundtrip": f"WITH {STATE} SELECT dim, key, n FROM state",
     "snapshot_resume": f"WITH {STATE} SELECT dim, key, n FROM state",
+    "stream_state": f"WITH {STATE} SELECT dim, key, n FROM state",
     "snapshot_resize_window": f"""
         WITH {PARSED}, seconds AS ({SECONDS}) SELECT sec, n FROM seconds
         WHERE sec > (SELECT max(sec) FROM seconds) - INTERVAL {3 * DAY} SECOND""",

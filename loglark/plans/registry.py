@@ -570,12 +570,12 @@ def stream_all_counts(spark, sf):
 
 @query
 def stream_file_counts(spark, sf):
-    """Several micro-batches: a limit of one file each."""
+    """Several micro-batches: a limit of files for each."""
     folder, out, checkpoint = _folders(spark, "stream")
     old, new = _parts(spark, sf)
     _add_files(old, folder)
     _add_files(new, folder)
-    lines = parse_logs(stream_logs(spark, folder, max_files=1), event_clock=True)
+    lines = parse_logs(stream_logs(spark, folder, max_files=_width(spark)), event_clock=True)
     _drain(runs.run_counts(lines, out, checkpoint, drain=True, state_partitions=_width(spark)))
     return runs.current_counts(spark, out)
 
@@ -665,6 +665,19 @@ def stream_ss(spark, sf):
     return rows.select("dim", "key", "n", "err")
 
 
+@query
+def stream_state(spark, sf):
+    """The whole state kept from one pass, in two runs, saved as a snapshot and loaded."""
+    folder, out, checkpoint = _folders(spark, "stream")
+    sizes = {"mg_capacity": 10_000, "ss_capacity": 10_000}
+    for part in _parts(spark, sf):
+        _add_files(part, folder)
+        _drain(runs.run_state(_stream(spark, folder), out, checkpoint, drain=True, **sizes))
+    path = scratch_path(spark, "snapshot")
+    snapshot.save(runs.current_state(spark, out, **sizes), path)
+    return _state_rows(snapshot.load(spark, path))
+
+
 @query
 def stream_report(spark, sf):
     """The exposition that is refreshed after every batch, read back at the end."""

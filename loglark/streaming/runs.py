@@ -2,7 +2,11 @@
 
 Each ``run_*`` starts a query that keeps a table current and returns the query. Input offsets and state commit together
 in the checkpoint folder, so a restart with the same folders neither loses nor repeats a line. ``drain=True`` processes
-what is there and stops. After every ``fold_every`` batches the kept table is folded into one base.
+what is there and stops. After every ``fold_every`` batches the kept table is folded into one base. A table folder and
+its checkpoint folder belong together; to start over, give two new ones.
+
+``run_state`` keeps everything from one pass over the stream and needs no state store. The other runs keep one kind of
+result each.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from loglark.operators.space_saving import SpaceSaving
 from loglark.operators.windows import last_second
 from loglark.params import CmsParams
 from loglark.plans import report
+from loglark.plans.snapshot import State
 from loglark.session import STREAM_CONF, settings
 from loglark.streaming.sink import BatchTable, SlotTable
 
@@ -47,6 +52,14 @@ def ss_table(path: str) -> SlotTable:
     return SlotTable(f"{path}/ss", schema.SS)
 
 
+def state_counts_table(path: str) -> BatchTable:
+    return BatchTable(f"{path}/state_counts", schema.COUNTS, ("dim", "key"), additions=True)
+
+
+def state_cms_table(path: str) -> BatchTable:
+    return BatchTable(f"{path}/state_cms", schema.CMS, ("row", "bucket"), additions=True)
+
+
 def report_table(path: str) -> SlotTable:
     return SlotTable(f"{path}/report", report.TEXT)
 
@@ -70,13 +83,17 @@ def _start(
         return writer.start()
 
 
+def _fold_before(table: BatchTable, spark: SparkSession, batch_id: int, fold_every: int | None) -> None:
+    if fold_every and batch_id and batch_id % fold_every == 0:
+        table.fold(spark, upto=batch_id - 1)
+
+
 def _keep(
     table: BatchTable, fold_every: int | None = None, on_batch: OnBatch | None = None
 ) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
+        _fold_before(table, batch.sparkSession, batch_id, fold_every)
         table.write(batch, batch_id)
-        if fold_every and (batch_id + 1) % fold_every == 0:
-            table.fold(batch.sparkSession)
         if on_batch is not None:
             on_batch(batch.sparkSession, batch_id)
 
@@ -164,6 +181,18 @@ def current_cms(spark: SparkSession, path: str, cms_params: CmsParams | None = N
     return CountMin(cms_table(path).current(spark), cms_params or CmsParams())
 
 
+def _carry_on(
+    spark: SparkSession, path: str, batch_id: int, mg: MisraGries, ss: SpaceSaving
+) -> None:
+    """Merge the summaries of a batch into those after the batch before it."""
+    mg_out, ss_out = mg_table(path), ss_table(path)
+    if batch_id > 0:
+        mg = misra_gries.merge(MisraGries(mg_out.batch(spark, batch_id - 1), mg.capacity, True), mg)
+        ss = space_saving.merge(SpaceSaving(ss_out.batch(spark, batch_id - 1), ss.capacity, True), ss)
+    mg_out.write(mg.rows, batch_id)
+    ss_out.write(ss.rows, batch_id)
+
+
 def run_heavy_hitters(
     parsed: DataFrame,
     path: str,
@@ -178,7 +207,6 @@ def run_heavy_hitters(
     same predecessor, so nothing is applied twice.
     """
     capacity = params.capacity(capacity)
-    mg_out, ss_out = mg_table(path), ss_table(path)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -187,11 +215,7 @@ def run_heavy_hitters(
         try:
             mg = misra_gries.build(batch, "key", capacity, by="dim")
             ss = space_saving.build(batch, "key", capacity, by="dim")
-            if batch_id > 0:
-                mg = misra_gries.merge(MisraGries(mg_out.batch(spark, batch_id - 1), capacity, True), mg)
-                ss = space_saving.merge(SpaceSaving(ss_out.batch(spark, batch_id - 1), capacity, True), ss)
-            mg_out.write(mg.rows, batch_id)
-            ss_out.write(ss.rows, batch_id)
+            _carry_on(spark, path, batch_id, mg, ss)
         finally:
             batch.unpersist()
 
@@ -207,6 +231,60 @@ def current_ss(spark: SparkSession, path: str, capacity: int | None = None) -> S
     return SpaceSaving(ss_table(path).newest(spark), params.capacity(capacity), split=True)
 
 
+def run_state(
+    parsed: DataFrame,
+    path: str,
+    checkpoint: str,
+    cms_params: CmsParams | None = None,
+    mg_capacity: int | None = None,
+    ss_capacity: int | None = None,
+    drain: bool = False,
+    every: str = "10 seconds",
+    fold_every: int | None = 100,
+) -> StreamingQuery:
+    """Keep the whole state: counts, lines per second, count-min of clients, heavy hitters of clients and endpoints.
+
+    A batch is scanned and counted once; its counts are written as additions, and the summaries are built from them.
+    """
+    cms_params = cms_params or CmsParams()
+    mg_capacity, ss_capacity = params.capacity(mg_capacity), params.capacity(ss_capacity)
+    exact, cells = state_counts_table(path), state_cms_table(path)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        for table in (exact, cells):
+            _fold_before(table, spark, batch_id, fold_every)
+        exact.write(counts.all_counts(batch, with_seconds=True), batch_id)
+        added = exact.batch(spark, batch_id)
+        clients = added.where(F.col("dim") == schema.DIM_IP)
+        keys = added.where(F.col("dim").isin(schema.DIM_IP, schema.DIM_ENDPOINT))
+        cells.write(cms.build(clients, "key", cms_params, weight="n").cells, batch_id)
+        mg = misra_gries.build(keys, "key", mg_capacity, weight="n", by="dim")
+        ss = space_saving.build(keys, "key", ss_capacity, weight="n", by="dim")
+        _carry_on(spark, path, batch_id, mg, ss)
+
+    needed = parsed.select("ok", "ip", "endpoint", "status", "ts_received")
+    return _start(needed, write, "append", checkpoint, drain, every, None)
+
+
+def current_state(
+    spark: SparkSession,
+    path: str,
+    cms_params: CmsParams | None = None,
+    mg_capacity: int | None = None,
+    ss_capacity: int | None = None,
+) -> State:
+    """The state kept by ``run_state``: to query, to save as a snapshot, or to add to a loaded one."""
+    exact, buckets = counts.split_seconds(state_counts_table(path).current(spark))
+    return State(
+        counts=exact,
+        buckets=buckets,
+        cms=CountMin(state_cms_table(path).current(spark), cms_params or CmsParams()),
+        mg=current_mg(spark, path, mg_capacity),
+        ss=current_ss(spark, path, ss_capacity),
+    )
+
+
 def counts_and_buckets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """COUNTS and buckets of a ``run_counts(with_seconds=True)`` table."""
     return counts.split_seconds(current_counts(spark, path))

@@ -27,7 +27,8 @@ def _read(spark: SparkSession, path: str, layout: T.StructType) -> DataFrame:
 
 @dataclass(frozen=True)
 class BatchTable:
-    """Changed rows of every batch. ``keys`` name a row; its newest batch holds its current values.
+    """Rows of every batch. ``keys`` name a row. Its current values are those of its newest batch, or the sum over
+    all batches where batches hold ``additions``.
 
     Batches are kept in generations. Folding writes the current rows as the base of the next generation and then adds
     one row to ``folds``, which makes that generation the one in use. Readers list a single generation. Older ones
@@ -37,6 +38,7 @@ class BatchTable:
     path: str
     layout: T.StructType
     keys: tuple[str, ...]
+    additions: bool = False
 
     def _folded(self, spark: SparkSession) -> int:
         """The last batch that is part of a base; -1 if there is none."""
@@ -60,20 +62,36 @@ class BatchTable:
         path = f"{self.path}/generation={folded + 1}/batches/batch_id={batch_id}"
         rows.write.mode("overwrite").parquet(path)
 
-    def current(self, spark: SparkSession) -> DataFrame:
-        """The current value of every key."""
-        values = [f for f in self.layout.fieldNames() if f not in self.keys]
+    def batch(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """What a batch of the generation in use wrote."""
         rows = self._rows(spark, self._folded(spark))
+        return rows.where(F.col("batch_id") == batch_id).drop("batch_id")
+
+    def _combined(self, rows: DataFrame) -> DataFrame:
+        values = [f for f in self.layout.fieldNames() if f not in self.keys]
+        if self.additions:
+            return rows.groupBy(*self.keys).agg(*(F.sum(v).alias(v) for v in values))
         newest = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_v"))
         return newest.select(*self.keys, *(F.col(f"_v.{v}").alias(v) for v in values))
 
-    def fold(self, spark: SparkSession) -> int:
-        """Start a new generation from the current rows; returns the last batch in it. Call it between batches."""
+    def current(self, spark: SparkSession) -> DataFrame:
+        """The current value of every key."""
+        return self._combined(self._rows(spark, self._folded(spark)))
+
+    def fold(self, spark: SparkSession, upto: int | None = None) -> int:
+        """Start a new generation from the rows of the batches up to ``upto`` (default: all); returns the last in it.
+
+        Call it between batches. A running query folds before it writes a batch, and only what came before: a batch that
+        is replayed is then always written again.
+        """
         folded = self._folded(spark)
-        last = self._rows(spark, folded).agg(F.coalesce(F.max("batch_id"), F.lit(folded))).first()[0]
+        rows = self._rows(spark, folded)
+        if upto is not None:
+            rows = rows.where(F.col("batch_id") <= upto)
+        last = rows.agg(F.coalesce(F.max("batch_id"), F.lit(folded))).first()[0]
         if last <= folded:
             return folded
-        self.current(spark).write.mode("overwrite").parquet(f"{self.path}/generation={last + 1}/base")
+        self._combined(rows).write.mode("overwrite").parquet(f"{self.path}/generation={last + 1}/base")
         spark.createDataFrame([(last,)], FOLDS).coalesce(1).write.mode("append").parquet(f"{self.path}/folds")
         return last
 

@@ -7,6 +7,7 @@ from helpers import lines, row_set, rows
 from loglark.operators import cms, counts, misra_gries, space_saving
 from loglark.operators.parse import parse_logs
 from loglark.params import CmsParams
+from loglark.plans import snapshot
 from loglark.sources import stream_logs, stream_tail
 from loglark.sources.tail import TailReader, read_lines
 from loglark.streaming import runs
@@ -167,6 +168,39 @@ def test_sketches(spark, folders):
     assert rows(space_saving.top(ss, 1, "endpoint"))[0][2:] == (0, rows(space_saving.top(ss, 1, "endpoint"))[0][1])
 
 
+def test_whole_state_in_one_pass(spark, folders):
+    p, sizes = CmsParams(64, 2), {"mg_capacity": 50, "ss_capacity": 40}
+    for i in range(5):
+        folders.add(LOG[i * 40 : (i + 1) * 40])
+    source = parsed(spark, folders, max_files=2)
+    drain(runs.run_state(source, folders.out, folders.checkpoint, p, **sizes, drain=True, fold_every=2))
+    folders.add(["bad", log(3)])
+    source = parsed(spark, folders)
+    drain(runs.run_state(source, folders.out, folders.checkpoint, p, **sizes, drain=True, fold_every=2))
+    got = runs.current_state(spark, folders.out, p, **sizes)
+    want = snapshot.build(batch(spark, [*LOG, "bad", log(3)]), p, **sizes)
+    assert row_set(got.counts) == row_set(want.counts)
+    assert row_set(got.buckets) == row_set(want.buckets)
+    assert row_set(got.cms.cells) == row_set(want.cms.cells)
+    assert row_set(got.mg.rows) == row_set(want.mg.rows)
+    assert row_set(got.ss.rows) == row_set(want.ss.rows)
+    assert len([f for f in os.listdir(f"{folders.out}/state_counts") if f.startswith("generation=")]) == 2
+
+
+def test_replay_after_a_fold(spark, tmp_path):
+    """A batch that failed after its first write is folded around and written again."""
+    table = runs.state_counts_table(str(tmp_path / "t"))
+    one = spark.createDataFrame([("ip", "a", 1)], "dim string, key string, n long")
+    for i in range(3):
+        table.write(one, i)
+    assert table.fold(spark, upto=1) == 1
+    assert row_set(table.current(spark)) == {("ip", "a", 2)}
+    table.write(one, 2)
+    assert row_set(table.current(spark)) == {("ip", "a", 3)}
+    assert row_set(table.batch(spark, 2)) == {("ip", "a", 1)}
+    assert table.fold(spark, upto=1) == 1
+
+
 def test_report_follows_the_stream(spark, folders):
     for part in (LOG[:100], LOG[100:]):
         folders.add(part)
