@@ -136,6 +136,9 @@ def test_session_settings_are_put_back(spark, folders):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     drain(runs.run_counts(parsed(spark, folders), folders.out, folders.checkpoint, drain=True, state_partitions=3))
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    state = os.path.join(folders.checkpoint, "state", "0")
+    assert sorted(d for d in os.listdir(state) if d.isdigit()) == ["0", "1", "2"]
+    assert any(f.endswith(".changelog") for f in os.listdir(os.path.join(state, "0")))
 
 
 def test_late_seconds_are_dropped_between_batches(spark, folders):
