@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from loglark.functions.weight import weighted
 from loglark.params import CmsParams
 
-# Up to this many cells (8 bytes each) the sketch travels as one broadcast row of arrays.
+# Up to this many cells (8 bytes each) the sketch travels with the query as one value.
 MAX_BROADCAST_CELLS = 1 << 20
 
 
@@ -95,10 +95,10 @@ def estimate(
     text = F.col(key).cast("string")
     zero = F.lit(0).cast("bigint")
     if p.cells <= max_broadcast_cells:
-        found = [F.get(F.get(F.col("_table"), F.lit(r)), _bucket(r, text, p).cast("int")) for r in range(p.depth)]
+        table = _as_one_row(sketch).scalar()
+        found = [F.get(F.get(table, F.lit(r)), _bucket(r, text, p).cast("int")) for r in range(p.depth)]
         least = found[0] if p.depth == 1 else F.least(*found)
-        joined = probes.crossJoin(F.broadcast(_as_one_row(sketch)))
-        return joined.select(*probes.columns, F.when(text.isNotNull(), least).otherwise(zero).alias(name))
+        return probes.select(*probes.columns, F.when(text.isNotNull(), least).otherwise(zero).alias(name))
     # Too large to broadcast: look the cells of each distinct key up by shuffle, then attach the result.
     keys = probes.select(text.alias("_k")).where("_k IS NOT NULL").distinct()
     at = keys.select("_k", F.inline(_positions(F.col("_k"), p)))

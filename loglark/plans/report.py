@@ -151,9 +151,8 @@ def stats_json(
         ranked(schema.DIM_ENDPOINT, "endpoint").alias("top_endpoints"),
     )
     rate = windows.rate_last_n(buckets, params.report_seconds(n), as_of, retention)
-    rate = rate.select(F.col("rate").cast(f"decimal(20,{DECIMALS})").alias("rate_lps"))
-    # Both sides are global aggregates: one row each.
-    document = body.crossJoin(F.broadcast(rate)).select(
-        "total_lines", "parse_errors", "rate_lps", "status_counts", "top_ips", "top_endpoints"
+    rate_lps = rate.scalar().cast(f"decimal(20,{DECIMALS})").alias("rate_lps")
+    document = body.select(
+        "total_lines", "parse_errors", rate_lps, "status_counts", "top_ips", "top_endpoints"
     )
     return document.select(F.to_json(F.struct("*")).alias("json"))
