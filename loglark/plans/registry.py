@@ -230,7 +230,7 @@ def cms_estimate_by_shuffle(spark, sf):
 
 @query
 def cms_never_under(spark, sf):
-    """A sketch far too narrow for its keys: estimates are high, never low, and within the bound on average."""
+    """A sketch far too narrow for its keys: estimates may be high, never low."""
     items = table(spark, sf, "lineitem").select(F.col("l_partkey").cast("string").alias("part"))
     sketch = cms.build(items, "part", CmsParams(width=64, depth=4))
     found = cms.estimate(sketch, counts.count_by(items, "part"), "part")
