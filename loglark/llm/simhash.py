@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from loglark.llm.components import components
 from loglark.llm.text import utf8
@@ -61,7 +62,7 @@ def text_fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def _fingerprint(texts: pa.Array) -> pa.Array:
     values = np.fromiter((text_fingerprint(t.as_py()) for t in texts), np.uint64, len(texts))
     return pa.array(values.view(np.int64))
