@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglark.llm import chat, decontaminate, mix, quality, simhash, toxicity
+from loglark.llm import chat, decontaminate, fingerprints, language, mix, ngram_model, quality, simhash, toxicity, warc
 from loglark.llm.text import fold_of, table
+from loglark.session import scratch_path
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +17,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    found = warc.read(spark, path, payloads=False)
+    return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def _scored(docs: DataFrame, score: Column, least: float) -> DataFrame:
     rows = docs.select("doc_id", F.explode(F.array(score)).alias("score"))
     return rows.select(
@@ -31,6 +39,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, toxicity.score(docs, toxicity.train(docs, labels)), 0.5)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     marks = decontaminate.report(docs, table(spark, sf_dir, "benchmark"))
@@ -51,6 +63,15 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op8_ngram_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ngram_model.score(docs, fold_of(F.col("doc_id"), 10) != 0).withColumnRenamed("id", "doc_id")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return _scored(docs, quality.score(docs, quality.train(docs, labels)), 0.3)
@@ -90,9 +111,13 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_warc": op2_warc,
     "op3_toxicity": op3_toxicity,
+    "op4_language": op4_language,
     "op5_decontaminate": op5_decontaminate,
     "op6_mix": op6_mix,
+    "op7_fingerprints": op7_fingerprints,
+    "op8_ngram_model": op8_ngram_model,
     "op9_quality": op9_quality,
     "op10_chat": op10_chat,
 }
