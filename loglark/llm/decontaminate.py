@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from loglark.llm.text import utf8
+from loglark.llm.text import columns, fresh, utf8, with_value
 from loglark.session import materialize
 
 WINDOW = 13
@@ -263,21 +263,21 @@ def is_contaminated(n_words: Column, n_hit: Column, one_in: int = ONE_IN) -> Col
     return (n_hit > 0) & (n_hit * one_in >= n_words)
 
 
-def report(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with ``_marks`` (n_words, n_hit, spans, items, contaminated) beside its columns."""
-    # A generator of one element keeps the marks from being computed once for each use of them.
-    marks = docs.select("*", F.explode(F.array(marked(docs, benchmark, text_col, **options))).alias("_m"))
-    hit = hit_words(F.col("_m.spans"))
-    n = F.col("_m.n_words").cast("long")
+def report(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", name: str = "_marks", **options) -> DataFrame:
+    """``docs`` with ``name`` (n_words, n_hit, spans, items, contaminated) beside its columns."""
+    found = fresh(docs, "_found")
+    marks = with_value(docs, found, marked(docs, benchmark, text_col, **options))
+    hit = hit_words(F.col(f"{found}.spans"))
+    n = F.col(f"{found}.n_words").cast("long")
     return marks.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        *columns(docs),
         F.struct(
             n.alias("n_words"),
             hit.alias("n_hit"),
-            F.col("_m.spans").alias("spans"),
-            F.col("_m.items").alias("items"),
+            F.col(f"{found}.spans").alias("spans"),
+            F.col(f"{found}.items").alias("items"),
             is_contaminated(n, hit).alias("contaminated"),
-        ).alias("_marks"),
+        ).alias(name),
     )
 
 
@@ -300,16 +300,16 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", longest
           **options) -> DataFrame:
     """``docs`` with ``clean_text``: hit spans of more than ``longest`` words are cut out, and all hit spans where together
     they reach the coverage limit of one word in ``one_in``. A null text stays null."""
-    marks = report(docs, benchmark, text_col, **options)
-    over = is_contaminated(F.col("_marks.n_words"), F.col("_marks.n_hit"), one_in)
-    long_ones = F.filter("_marks.spans", lambda s: s.getField("stop") - s.getField("start") > longest)
-    return marks.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        _cut(F.col(text_col), F.when(over, F.col("_marks.spans")).otherwise(long_ones)).alias("clean_text"),
-    )
+    name = fresh(docs, "_marks")
+    marks = report(docs, benchmark, text_col, name, **options)
+    over = is_contaminated(F.col(f"{name}.n_words"), F.col(f"{name}.n_hit"), one_in)
+    long_ones = F.filter(f"{name}.spans", lambda s: s.getField("stop") - s.getField("start") > longest)
+    spans = F.when(over, F.col(f"{name}.spans")).otherwise(long_ones)
+    return marks.select(*columns(docs), _cut(F.col(text_col), spans).alias("clean_text"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows that are not contaminated, with their columns unchanged."""
-    marks = report(docs, benchmark, text_col, **options)
-    return marks.where(~F.col("_marks.contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = fresh(docs, "_marks")
+    marks = report(docs, benchmark, text_col, name, **options)
+    return marks.where(~F.col(f"{name}.contaminated")).select(*columns(docs))

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loglark.llm.text import columns, fresh
 from loglark.session import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -85,27 +86,24 @@ def _chance(*parts: object) -> float:
 
 
 def _rounding(last: bool):
-    """Work off the rows (source, chunk, id, tie, size, mass, ...) of each chunk in order: adds ``up``, null if undecided."""
+    """Work off the rows (source, chunk, id, tie, size, mass) of each chunk in order: adds ``up``, null if undecided."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, None  # held: (id, tie, size, mass, its row, the row's decision comes later)
+        group, held = None, None  # held: a row and its words so far, as yet undecided
         step = 0
-        names = ["source", "chunk", "at", "id", "tie", "size", "mass"]
+        names = ["source", "chunk", "id", "tie", "size", "mass"]
         out: list[tuple] = []
 
         def close() -> None:
             nonlocal held
             if held is not None:
                 row, mass = held
-                out.append((*row, mass, (_chance("last", *row[:5]) * row[5] < mass) if last else None))
+                out.append((*row, mass, (_chance("last", *row[:4]) * row[4] < mass) if last else None))
                 held = None
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
-            columns = list(zip(*rows)) if rows else [[]] * 8
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], names=[*names, "up"]
-            )
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[*names, "up"])
 
         for batch in batches:
             for row in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names)):
@@ -119,10 +117,10 @@ def _rounding(last: bool):
                     continue
                 first, moved = held
                 step += 1
-                a, b = first[5], row[5]
+                a, b = first[4], row[4]
                 gain = min(a - moved, mass)  # what the first can take over, or give
                 loss = min(moved, b - mass)
-                if _chance(step, *first[:5], *row[3:5]) * (gain + loss) < loss:
+                if _chance(step, *first[:4], *row[2:4]) * (gain + loss) < loss:
                     first_done, second_done = gain == a - moved, gain == mass
                     moved, mass = (float(a) if first_done else moved + gain), (0.0 if second_done else mass - gain)
                 else:
@@ -144,16 +142,13 @@ def _rounding(last: bool):
     return work
 
 
-_ROUNDED = "source string, chunk long, at long, id long, tie long, size long, mass double, up boolean"
+_ROUNDED = "source string, chunk long, id long, tie long, size long, mass double, up boolean"
 
 
 def _round(rows: DataFrame, last: bool, label: str) -> DataFrame:
-    order = ["source", "at", "id", "tie", "size", "chunk"]
-    dealt = rows.select("source", F.col("at").alias("chunk"), "id", "tie", "size", "mass", F.col("chunk").alias("at"))
-    dealt = dealt.repartition("source", "chunk").sortWithinPartitions("source", "chunk", "id", "tie", "size", "at")
-    done = dealt.mapInArrow(_rounding(last), _ROUNDED)
-    del order
-    return materialize(done.select("source", F.col("at").alias("chunk"), F.col("chunk").alias("at"), "id", "tie", "size", "mass", "up"), label)
+    """One level of the tree. Each row leaves its chunk decided, but for one row of each chunk unless it is the last level."""
+    dealt = rows.repartition("source", "chunk").sortWithinPartitions("source", "chunk", "id", "tie", "size")
+    return materialize(dealt.mapInArrow(_rounding(last), _ROUNDED), label)
 
 
 def decide(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
@@ -182,12 +177,11 @@ def decide(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     )
     open_ = rows.where("mass > 0")
     most_chunks = wanted.agg(F.max(F.ceil(F.col("n") / CHUNK))).first()[0] or 1
-    level = _round(open_.select("source", "chunk", F.col("chunk").alias("at"), "id", "tie", "size", "mass"),
-                   most_chunks == 1, "mix-level")
+    level = _round(open_.select("source", "chunk", "id", "tie", "size", "mass"), most_chunks == 1, "mix-level")
     first, upper = level, None
     while most_chunks > 1:
         most_chunks = -(-most_chunks // FAN)
-        left = level.where("up IS NULL").withColumn("at", F.floor(F.col("at") / FAN))
+        left = level.where("up IS NULL").drop("up").withColumn("chunk", F.floor(F.col("chunk") / FAN))
         level = _round(left, most_chunks == 1, "mix-level")
         settled = level.where("up IS NOT NULL")
         upper = settled if upper is None else upper.union(settled)
@@ -202,9 +196,9 @@ def decide(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     single = joined.where("alike IS NULL OR alike = 1")
     nth = F.row_number().over(Window.partitionBy(*[F.col(f"r.{c}") for c in key]).orderBy(F.lit(1)))
     repeated = joined.where("alike > 1").withColumn("more", (nth <= F.col("more")).cast("long"))
-    columns = ["r.id", "r.source", F.col("r.tie").alias("text_hash"), "r.size", "source_size", "target",
-               (F.col("base") + F.coalesce("more", F.lit(0))).alias("copies")]
-    return single.select(*columns).union(repeated.select(*columns))
+    found = ["r.id", "r.source", F.col("r.tie").alias("text_hash"), "r.size", "source_size", "target",
+             (F.col("base") + F.coalesce("more", F.lit(0))).alias("copies")]
+    return single.select(*found).union(repeated.select(*found))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
@@ -212,21 +206,21 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     taken = decide(docs, id_col, source_col, text_col, **options)
     # Rows alike in id, source and text are told apart by nothing that the mix looks at: they go on as one, taken as often.
     taken = taken.groupBy("id", "source", "text_hash").agg(F.sum("copies").alias("copies"), F.count("*").alias("alike"))
-    taken = materialize(
-        taken.select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"),
-                     F.col("copies").alias("_copies"), F.col("alike").alias("_alike")),
-        "mix-taken",
-    )
+    names = [fresh(docs, c) for c in ("_id", "_source", "_hash", "_copies", "_alike")]
+    id_name, source_name, hash_name, copies_name, alike_name = names
+    found = [F.col(c).alias(n) for c, n in zip(("id", "source", "text_hash", "copies", "alike"), names)]
+    taken = materialize(taken.select(*found), "mix-taken").where(F.col(copies_name) > 0)
     same = (
-        F.col(id_col).cast("long").eqNullSafe(F.col("_id"))
-        & F.col(source_col).cast("string").eqNullSafe(F.col("_source"))
-        & (F.xxhash64(text_col) == F.col("_hash"))
+        F.col(id_col).cast("long").eqNullSafe(F.col(id_name))
+        & F.col(source_col).cast("string").eqNullSafe(F.col(source_name))
+        & (F.xxhash64(text_col) == F.col(hash_name))
     )
-    joined = docs.join(taken.where("_copies > 0"), same)
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    single = joined.where("_alike = 1").select(*own, "_copies")
-    alike = joined.where("_alike > 1").groupBy("_id", "_source", "_hash").agg(
-        F.first(F.struct(*own)).alias("_row"), F.first("_copies").alias("_copies")
+    joined = docs.join(taken, same)
+    own = columns(docs)
+    single = joined.where(F.col(alike_name) == 1).select(*own, copies_name)
+    alike = joined.where(F.col(alike_name) > 1).groupBy(id_name, source_name, hash_name).agg(
+        F.first(F.struct(*own)).alias("_row"), F.first(copies_name).alias("_taken")
     )
-    alike = alike.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns], "_copies")
-    return single.union(alike).select(*own, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy"))
+    alike = alike.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns], "_taken")
+    both = single.union(alike)
+    return both.select(*own, F.explode(F.sequence(F.lit(1), F.col(copies_name).cast("int"))).alias(fresh(docs, "copy")))

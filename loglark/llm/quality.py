@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
-from loglark.llm.text import fold_of, utf8
+from loglark.llm.text import columns, fold_of, fresh, utf8, with_value
 from loglark.session import materialize
 
 #: Training rows that the tables are fitted on, on average.
@@ -231,5 +231,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
               model: Model | None = None) -> DataFrame:
     """The rows whose score is ``least`` or more, with their columns unchanged."""
     model = train(docs, labels, id_col, text_col) if model is None else model
-    scored = docs.select("*", F.explode(F.array(score(docs, model, text_col))).alias("_score"))
-    return scored.where(F.col("_score") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = fresh(docs, "_score")
+    scored = with_value(docs, name, score(docs, model, text_col))
+    return scored.where(F.col(name) >= least).select(*columns(docs))

@@ -25,7 +25,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(docs: DataFrame, score: Column, least: float) -> DataFrame:
-    rows = docs.select("doc_id", F.explode(F.array(score)).alias("score"))
+    rows = docs.select("doc_id", F.explode(F.array(score)).alias("score"))  # once for each row
     return rows.select(
         "doc_id",
         (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"),

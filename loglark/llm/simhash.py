@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from loglark.llm.components import components
-from loglark.llm.text import utf8
+from loglark.llm.text import columns, fresh, utf8
 from loglark.session import materialize
 
 WORDS = 4
@@ -254,11 +254,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ha
     one = kept.groupBy(key.alias("_key")).agg(
         F.min_by(F.struct("id", "text_hash"), F.struct("text_hash")).alias("_one"), F.count("*").alias("_n")
     )
-    one = materialize(one.select(F.col("_one.id").alias("_id"), F.col("_one.text_hash").alias("_hash"), "_n"), "simhash-kept")
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
-    single = docs.join(one.where("_n = 1"), same, "left_semi")
-    tied = docs.join(one.where("_n > 1"), same, "left_semi")
+    id_name, hash_name, n_name = (fresh(docs, c) for c in ("_id", "_hash", "_n"))
+    one = one.select(F.col("_one.id").alias(id_name), F.col("_one.text_hash").alias(hash_name), F.col("_n").alias(n_name))
+    one = materialize(one, "simhash-kept")
+    same = F.col(id_col).eqNullSafe(F.col(id_name)) & (F.xxhash64(text_col) == F.col(hash_name))
+    single = docs.join(one.where(F.col(n_name) == 1), same, "left_semi")
+    tied = docs.join(one.where(F.col(n_name) > 1), same, "left_semi")
     first = tied.groupBy(F.col(id_col).alias("_a"), F.xxhash64(text_col).alias("_b")).agg(
-        F.first(F.struct(*[F.col(c) for c in docs.columns])).alias("_row")
+        F.first(F.struct(*columns(docs))).alias("_row")
     )
     return single.union(first.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns]))

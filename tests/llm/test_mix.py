@@ -1,0 +1,72 @@
+import random
+import re
+
+import pytest
+
+from loglark.llm import mix
+
+
+def plain_targets(sizes, weights=(5, 2, 1), most=3):
+    """sizes: [(source, words)] in order, null last."""
+    w = [weights[i % len(weights)] for i in range(len(sizes))]
+    total, full = sum(s for _, s in sizes), set()
+    while True:
+        rest = total - sum(most * sizes[i][1] for i in full)
+        share = sum(w[i] for i in range(len(w)) if i not in full)
+        target = [most * sizes[i][1] if i in full else rest * w[i] / share for i in range(len(w))]
+        more = {i for i in range(len(w)) if i not in full and target[i] > most * sizes[i][1]}
+        if not more:
+            return {sizes[i][0]: target[i] for i in range(len(w))}
+        full |= more
+
+
+@pytest.mark.parametrize("chunk,fan", [(2000, 1000), (7, 3)])
+def test_mix(docs, monkeypatch, chunk, fan):
+    monkeypatch.setattr(mix, "CHUNK", chunk)
+    monkeypatch.setattr(mix, "FAN", fan)
+    rng = random.Random(4)
+    rows = []
+    for source, n in (("a", 5), ("b", 200), ("B", 60), ("é", 90), (None, 40), ("z", 3)):
+        rows += [(len(rows) + k, " ".join("w" * rng.randint(0, 30)), source) for k in range(n)]
+    rows += [(None, None, "a"), (0, "same twice", "b"), (0, "same twice", "b"), (-5, "", "b")]
+    table = docs(*rows).repartition(5)
+    got = mix.decide(table).collect()
+    assert sorted((str(r.id), r.size) for r in got) == sorted(
+        (str(i), len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t, _ in rows
+    )
+    sizes = {}
+    for r in got:
+        sizes[r.source] = sizes.get(r.source, 0) + r.size
+        assert 0 <= r.copies <= 3
+    want = plain_targets(sorted(sizes.items(), key=lambda x: (x[0] is None, (x[0] or "").encode())))
+    for source, target in want.items():
+        own = [r for r in got if r.source == source]
+        assert {r.source_size for r in own} == {sizes[source]}
+        assert len({r.target for r in own}) == 1 and own[0].target == pytest.approx(target)
+        # All but the last undecided text of a source keep its words exactly.
+        assert abs(sum(r.copies * r.size for r in own) - target) <= 30
+    key = lambda rows: sorted((str(r.id), str(r.source), r.text_hash, r.copies) for r in rows)
+    assert key(mix.decide(table.repartition(3)).collect()) == key(got)
+    mixed = mix.mixed(table.withColumnRenamed("n_chars", "_copies"))
+    assert mixed.columns == ["doc_id", "text", "lang", "source", "_copies", "copy"]
+    words = {}
+    for r in mixed.collect():
+        words[r.source] = words.get(r.source, 0) + len((r.text or "").split())
+    for source in want:
+        assert words.get(source, 0) == sum(r.copies * r.size for r in got if r.source == source)
+
+
+def test_each_text_keeps_its_probability(docs, monkeypatch):
+    taken = 0
+    table = docs(*[(i, "w " * (1 + i % 4), "a" if i % 2 else "b") for i in range(40)])
+    for seed in range(40):
+        monkeypatch.setattr(mix, "SEED", seed)
+        row = [r for r in mix.decide(table, weights=(3, 1)).collect() if r.id == 7][0]
+        taken += row.copies
+        expected = row.target / row.source_size
+    assert abs(taken / 40 - expected) < 0.35
+
+
+def test_empty_and_wordless(docs):
+    assert mix.decide(docs((1, "a")).where("doc_id = 2")).count() == 0
+    assert [r.copies for r in mix.decide(docs((1, ""), (2, None))).collect()] == [0, 0]
