@@ -1,13 +1,13 @@
 """Toxic texts by a linear classifier over character n-grams that are scaled by naive Bayes log-count ratios.
 
 A feature is the presence of a hashed n-gram of bytes in the text, lower-cased and with white space as one blank. How many
-toxic and other texts have each feature is counted over all labelled training texts; the log of the ratio of the two smoothed
-shares scales the feature. Of the hashed features, those whose counts differ most beyond chance get a weight, which logistic
-regression fits on a bounded sample of the training texts (``SAMPLE`` on average, drawn by a hash of the id).
+toxic and other training texts have each feature is counted; the log of the ratio of the two smoothed shares scales the
+feature. Of the hashed features, those whose counts differ most beyond chance get a weight by logistic regression.
 
-Texts are read whole, in pieces, so memory does not grow with their length. Labels travel to the texts by a join on the id.
-Counts are packed in each task and added up block by block, so a task holds one block at a time; at the driver arrive the
-``BUCKETS`` counts and the sample, both of fixed size.
+The model is fitted on bounded samples of the labelled training texts, drawn by a hash of the id: the ratios on ``SAMPLE`` on
+average, the weights on ``WEIGHED`` of these. The ids drawn are broadcast, so no text is shuffled. Texts are read whole, in
+pieces, so memory does not grow with their length. Counts are packed in each task and added up block by block, so a task holds
+one block at a time; at the driver arrive the ``BUCKETS`` counts and the chosen features of the smaller sample.
 
 A null or empty text has no features and gets the score of the intercept. Rows with a null label or id do not train; labels
 of a repeated id are averaged. Repeated rows and extra columns stay. Without training rows of both classes every score is
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from loglark.llm.text import fold_of, utf8
+from loglark.llm.text import columns, fold_of, fresh, utf8, with_value
 from loglark.session import materialize
 
 ORDERS = (3, 4, 5)
@@ -33,8 +33,10 @@ BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 #: Features that get a weight, at most.
 FEATURES = 1 << 12
-#: Training texts that weights are fitted on, on average.
-SAMPLE = 12_000
+#: Labelled texts that the ratios are counted on, on average.
+SAMPLE = 40_000
+#: Those among them that the weights are fitted on, on average.
+WEIGHED = 12_000
 FOLDS = 5
 _BLOCKS = 64
 _PIECE = 1 << 18
@@ -104,6 +106,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, chosen: n
     owner = np.repeat(np.arange(len(rows)), [len(c) for c in columns])
     column = np.concatenate(columns) if columns else np.zeros(0, int)
     scale = ratio[chosen]
+    if not len(rows):
+        return Model(np.zeros(BUCKETS), 0.0)
     w, b = np.zeros(len(chosen)), float(np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1)))
     value = scale[column]
     # Adam on the full sample; the steps shrink, so the end does not depend on where it stops.
@@ -175,17 +179,19 @@ _PACKED = "block int, data binary, label int"
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          folds: int = FOLDS, sample: int = SAMPLE) -> Model:
+          folds: int = FOLDS, sample: int = SAMPLE, weighed: int = WEIGHED) -> Model:
     """The model from the labelled texts outside fold 0."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold_of(F.col(id_col), folds) != 0))
     known = known.groupBy(F.col(id_col).alias("_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("_label"))
     known = materialize(known, "toxic-labels")
+    every = max(1, known.count())
+    draw = F.pmod(F.xxhash64("_id"), F.lit(1 << 30))
+    known = known.where(draw < int(min(1.0, sample / every) * (1 << 30)))
     by_label = {r[0]: r[1] for r in known.groupBy("_label").count().collect()}  # two rows at most
-    share = min(1.0, sample / max(1, sum(by_label.values())))
-    drawn = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30))
+    drawn = draw < int(min(1.0, weighed / every) * (1 << 30))
     texts = docs.select(F.col(id_col).alias("_id"), utf8(F.col(text_col)).alias("_text"))
-    texts = texts.where(fold_of(F.col("_id"), folds) != 0)
-    counted = texts.join(known, "_id").select("_text", "_label", drawn.alias("_drawn")).mapInArrow(_count, _PACKED)
+    texts = texts.where(fold_of(F.col("_id"), folds) != 0).join(F.broadcast(known), "_id")  # ``sample`` ids
+    counted = texts.select("_text", "_label", drawn.alias("_drawn")).mapInArrow(_count, _PACKED)
     counted = materialize(counted, "toxic-counts")
     added = counted.where("block >= 0").repartition("block").sortWithinPartitions("block", "label").mapInArrow(_add, _PACKED)
     counts = np.zeros((2, BUCKETS), np.int64)
@@ -193,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for row in added.collect():  # BUCKETS counts of each label
         counts[row.label, row.block * width : (row.block + 1) * width] = np.frombuffer(row.data, np.int64)
     n_neg, n_pos = by_label.get(0, 0), by_label.get(1, 0)
-    if not n_neg or not n_pos:
+    if not n_neg or not n_pos:  # nothing to tell apart
         return Model(np.zeros(BUCKETS), 500.0 if n_pos else -500.0)
     chosen = select(counts[1], counts[0], n_pos, n_neg)
     used = np.zeros(BUCKETS, bool)
@@ -206,18 +212,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             packed = [f[used[f]].astype(np.int32).tobytes() for f in found]
             yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column("label")], names=["data", "label"])
 
-    rows = counted.where("block = -1").mapInArrow(chosen_only, "data binary, label int").orderBy("label", "data").collect()
+    rows = counted.where("block = -1").mapInArrow(chosen_only, "data binary, label int").collect()
+    rows.sort(key=lambda r: (r.label, r.data))  # the same order in every run, so the same sums
     found = [np.frombuffer(r.data, np.int32) for r in rows]
     return fit(found, np.array([r.label for r in rows], float), log_count_ratio(counts[1], counts[0], n_pos, n_neg), chosen)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     """The probability of the label 1 as a column of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float64), model.intercept))  # BUCKETS values
+    used = np.flatnonzero(model.weights)
+    shared = docs.sparkSession.sparkContext.broadcast((used, model.weights[used], model.intercept))  # FEATURES values
 
     @F.arrow_udf(DoubleType())
     def scores(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = Model(*shared.value)
+        used, values, intercept = shared.value
+        weights = np.zeros(BUCKETS)
+        weights[used] = values
+        own = Model(weights, intercept)
         for texts in parts:
             yield pa.array([own.score(t.as_py()) for t in texts], pa.float64())
 
@@ -228,5 +239,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
                model: Model | None = None) -> DataFrame:
     """The rows whose score is under ``below``, with their columns unchanged."""
     model = train(docs, labels, id_col, text_col) if model is None else model
-    scored = docs.select("*", F.explode(F.array(score(docs, model, text_col))).alias("_score"))
-    return scored.where(F.col("_score") < below).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = fresh(docs, "_score")
+    scored = with_value(docs, name, score(docs, model, text_col))
+    return scored.where(F.col(name) < below).select(*columns(docs))
