@@ -28,17 +28,18 @@ from pyspark.sql.types import DoubleType
 from loglark.llm.text import columns, fold_of, fresh, utf8, with_value
 from loglark.session import materialize
 
-ORDERS = (3, 4, 5)
-BUCKET_BITS = 18
+#: Lengths of n-grams in bytes; up to eight fit in one word.
+ORDERS = (4, 5, 6, 7, 8)
+BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
 #: Features that get a weight, at most.
-FEATURES = 1 << 12
+FEATURES = 1 << 11
 #: Labelled texts that the ratios are counted on, on average.
 SAMPLE = 40_000
 #: Those among them that the weights are fitted on, on average.
 WEIGHED = 12_000
 FOLDS = 5
-_BLOCKS = 64
+_BLOCKS = 256
 _PIECE = 1 << 18
 
 
@@ -96,7 +97,7 @@ def select(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, most: int =
     return np.sort(np.argsort(-z, kind="stable")[:most])
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, chosen: np.ndarray, l2: float = 1.0,
+def fit(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, chosen: np.ndarray, l2: float = 10.0,
         steps: int = 120) -> Model:
     """Logistic regression on the chosen buckets, scaled by their ratios. ``rows`` holds the buckets of each text."""
     place = np.full(BUCKETS, -1)
