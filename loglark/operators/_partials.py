@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglark.functions.weight import column, weighted
+from loglark.operators import topk
 
 SINGLE = ""
 
@@ -21,21 +22,17 @@ def keyed_weights(
 
 def best_per_dim(rows: DataFrame, order: list[Column], limit: int, split: bool) -> DataFrame:
     """The first ``limit`` rows of each dim with their position ``_r``; tasks cut to the limit first."""
-    if not split:
-        rows = rows.orderBy(*order).limit(limit)
+    if split:
+        return topk.best_per_dim(rows, order, limit, "_r")
     position = F.row_number().over(Window.partitionBy("dim").orderBy(*order))
-    return rows.withColumn("_r", position).where(F.col("_r") <= limit)
+    return rows.orderBy(*order).limit(limit).withColumn("_r", position)
 
 
-# A summary of at most this many counters is broadcast to the probe side.
-MAX_BROADCAST_COUNTERS = 100_000
+def lookup(counters: DataFrame, probes: DataFrame, key: str, columns: dict[str, Column]) -> DataFrame:
+    """Left join of the probes with counters keyed ``_k``; missing values become 0.
 
-
-def lookup(
-    counters: DataFrame, capacity: int, probes: DataFrame, key: str, columns: dict[str, Column]
-) -> DataFrame:
-    """Left join of the probes with counters keyed ``_k``; missing values become 0."""
-    small = F.broadcast(counters) if capacity <= MAX_BROADCAST_COUNTERS else counters
-    joined = probes.join(small, F.col(key).cast("string") == F.col("_k"), "left")
+    Keys can be long, so the size in bytes of the counters is not known here; adaptive execution picks the join by it.
+    """
+    joined = probes.join(counters, F.col(key).cast("string") == F.col("_k"), "left")
     zero = F.lit(0).cast("bigint")
     return joined.select(*probes.columns, *(F.coalesce(c, zero).alias(n) for n, c in columns.items()))

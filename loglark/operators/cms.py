@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 from loglark.functions.weight import weighted
 from loglark.params import CmsParams
 
-# Up to this many cells (8 bytes each) the sketch travels with the query as one value.
-MAX_BROADCAST_CELLS = 1 << 20
-
-
 @dataclass(frozen=True)
 class CountMin:
     """Cells ``(row, bucket, n)``; cells that are zero may be missing."""
@@ -88,18 +84,22 @@ def estimate(
     probes: DataFrame,
     key: str,
     name: str = "est",
-    max_broadcast_cells: int = MAX_BROADCAST_CELLS,
+    as_value: bool = True,
 ) -> DataFrame:
-    """Add the estimated count of each probe key; 0 if unseen or NULL."""
+    """Add the estimated count of each probe key; 0 if unseen or NULL.
+
+    The sketch travels with the query as one value of eight bytes a cell, so its size is fixed by its parameters. For one
+    too large for that, ``as_value=False`` looks the cells up by shuffle.
+    """
     p = sketch.params
     text = F.col(key).cast("string")
     zero = F.lit(0).cast("bigint")
-    if p.cells <= max_broadcast_cells:
+    if as_value:
         table = _as_one_row(sketch).scalar()
         found = [F.get(F.get(table, F.lit(r)), _bucket(r, text, p).cast("int")) for r in range(p.depth)]
         least = found[0] if p.depth == 1 else F.least(*found)
         return probes.select(*probes.columns, F.when(text.isNotNull(), least).otherwise(zero).alias(name))
-    # Too large to broadcast: look the cells of each distinct key up by shuffle, then attach the result.
+    # Look the cells of each distinct key up, then attach the result.
     keys = probes.select(text.alias("_k")).where("_k IS NOT NULL").distinct()
     at = keys.select("_k", F.inline(_positions(F.col("_k"), p)))
     cell = sketch.cells.select("row", "bucket", F.col("n").alias("_n"))
@@ -114,12 +114,3 @@ def row_totals(sketch: CountMin) -> DataFrame:
     """Sum of each row of cells; every row sums to the total weight."""
     return sketch.cells.groupBy("row").agg(F.sum("n").alias("n"))
 
-
-def binary_sketch(df: DataFrame, key: str, params: CmsParams | None = None) -> DataFrame:
-    """The same sketch size in Spark's own binary format, for tools that read it."""
-    params = params or CmsParams()
-    return df.agg(
-        F.count_min_sketch(
-            F.col(key), F.lit(2.0 / params.width), F.lit(1 - 2.0**-params.depth), F.lit(params.seed)
-        ).alias("sketch")
-    )

@@ -79,4 +79,4 @@ def estimate(
     rows = summary.rows.where(F.col("dim") == dim).select(
         F.col("key").alias("_k"), F.col("n").alias("_n")
     )
-    return _partials.lookup(rows, summary.capacity, probes, key, {name: F.col("_n")})
+    return _partials.lookup(rows, probes, key, {name: F.col("_n")})

@@ -119,4 +119,4 @@ def estimate(
     columns = {name: F.col("_n")}
     if err_name:
         columns[err_name] = F.col("_err")
-    return _partials.lookup(rows, summary.capacity, probes, key, columns)
+    return _partials.lookup(rows, probes, key, columns)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,59 +57,59 @@ def misra_gries(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa
         ).combine_chunks().to_batches()
 
 
-class Counters:
-    """One summary while its rows arrive. The heap holds one entry per key; stale ones are renewed on sight."""
+class SpaceSaving:
+    """One summary while its batches arrive.
+
+    A batch sum is a summary without error, so a batch is merged in like any other: counts above the floor are added up,
+    the largest ``capacity`` stay (ties: the smaller key), and the floor rises by the first one cut off.
+    """
 
     def __init__(self, capacity: int):
         self.capacity = capacity
-        self.n: dict[str, int] = {}
-        self.err: dict[str, int] = {}
-        self.heap: list[tuple[int, str]] = []
-
-    def smallest(self) -> tuple[int, str]:
-        while True:
-            n, key = self.heap[0]
-            if self.n[key] == n:
-                return n, key
-            heapq.heapreplace(self.heap, (self.n[key], key))
-
-    def add(self, keys: list[str], weights: list[int]) -> None:
-        n = self.n
-        for key, w in zip(keys, weights):
-            if key in n:
-                n[key] += w
-            elif len(n) < self.capacity:
-                n[key], self.err[key] = w, 0
-                heapq.heappush(self.heap, (w, key))
-            else:
-                least, loser = self.smallest()
-                del n[loser], self.err[loser]
-                n[key], self.err[key] = least + w, least
-                heapq.heapreplace(self.heap, (least + w, key))
-
-    def floor(self) -> int:
-        return self.smallest()[0] if len(self.n) == self.capacity else 0
+        self.floor = 0
+        self.held: pa.Table | None = None  # key, over (count less floor), err (error less floor)
+
+    def add(self, keys: pa.ChunkedArray, weights: pa.ChunkedArray) -> None:
+        own = pa.table({"key": keys, "over": weights, "err": pa.array(np.zeros(len(keys), np.int64))})
+        if self.held is not None:
+            both = pa.concat_tables([self.held, own]).group_by("key", use_threads=False)
+            own = both.aggregate([("over", "sum"), ("err", "sum")]).rename_columns({"over_sum": "over", "err_sum": "err"})
+        if own.num_rows > self.capacity:
+            over = own["over"].to_numpy()
+            parted = np.partition(over, [len(over) - self.capacity - 1, len(over) - self.capacity])
+            cut, least = parted[len(over) - self.capacity - 1], parted[len(over) - self.capacity]
+            keep = np.flatnonzero(over > least)
+            ties = np.flatnonzero(over == least)
+            if len(keep) + len(ties) > self.capacity:
+                by_key = pc.sort_indices(own["key"].take(ties)).to_numpy()
+                ties = ties[by_key[: self.capacity - len(keep)]]
+            own = own.take(np.sort(np.concatenate([keep, ties])))
+            own = pa.table({c: own[c] if c == "key" else pc.subtract(own[c], int(cut)) for c in ("key", "over", "err")})
+            self.floor += int(cut)
+        self.held = own
+
+    def rows(self, dim: str) -> pa.RecordBatch:
+        ordered = self.held.sort_by([("over", "descending"), ("key", "ascending")])
+        n = ordered.num_rows
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([dim] * n, pa.string()),
+                pa.array(np.arange(1, n + 1, dtype=np.int32)),
+                ordered["key"].combine_chunks(),
+                pc.add(ordered["over"], self.floor).combine_chunks(),
+                pc.add(ordered["err"], self.floor).combine_chunks(),
+                pa.array(np.full(n, self.floor, np.int64)),
+            ],
+            schema=SS_ARROW,
+        )
 
 
 def space_saving(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
     """The summary of one task, per dim."""
-    held: dict[str, Counters] = {}
+    held: dict[str, SpaceSaving] = {}
     for sums in batch_sums(batches):
-        dims = sums["dim"].to_pylist()
-        keys, weights = sums["key"].to_pylist(), sums["w_sum"].to_pylist()
-        for dim in dict.fromkeys(dims):
-            own = [i for i, d in enumerate(dims) if d == dim]
-            held.setdefault(dim, Counters(capacity)).add([keys[i] for i in own], [weights[i] for i in own])
-    for dim, counters in held.items():
-        ordered = sorted(counters.n, key=lambda key: (-counters.n[key], key))
-        yield pa.RecordBatch.from_pydict(
-            {
-                "dim": [dim] * len(ordered),
-                "rank": list(range(1, len(ordered) + 1)),
-                "key": ordered,
-                "n": [counters.n[key] for key in ordered],
-                "err": [counters.err[key] for key in ordered],
-                "floor": [counters.floor()] * len(ordered),
-            },
-            schema=SS_ARROW,
-        )
+        for dim in pc.unique(sums["dim"]).to_pylist():
+            own = sums.filter(pc.equal(sums["dim"], dim))
+            held.setdefault(dim, SpaceSaving(capacity)).add(own["key"], own["w_sum"])
+    for dim, summary in held.items():
+        yield summary.rows(dim)

@@ -28,11 +28,24 @@ def ranked(top: DataFrame, key: str) -> DataFrame:
     return top.select(rank.alias("rank"), F.col(key).alias("key"), "n")
 
 
+#: Parts that the keys of a dimension are ranked in before the dimension as a whole is.
+PARTS = 64
+
+
+def best_per_dim(rows: DataFrame, order: list[Column], limit: int, place: str) -> DataFrame:
+    """The first ``limit`` rows of each ``dim``, their position in ``place``.
+
+    There are few dims, so their keys are ranked in parts first; the task that ranks a whole dim gets at most
+    ``PARTS * limit`` rows. Tasks cut each part to the limit before they shuffle it.
+    """
+    part = F.pmod(F.xxhash64("key"), F.lit(PARTS))
+    within = F.row_number().over(Window.partitionBy("dim", "_part").orderBy(*order))
+    first = rows.withColumn("_part", part).withColumn("_within", within).where(F.col("_within") <= limit)
+    position = F.row_number().over(Window.partitionBy("dim").orderBy(*order))
+    return first.drop("_part", "_within").withColumn(place, position).where(F.col(place) <= limit)
+
+
 def top_per_dim(counts: DataFrame, k: int | None = None) -> DataFrame:
-    """The ``k`` most frequent keys of each dimension, ranked. Tasks cut to ``k`` per dimension first."""
-    rank = F.row_number().over(Window.partitionBy("dim").orderBy(*order_of("key")))
-    return (
-        counts.select("dim", "key", "n", rank.alias("rank"))
-        .where(F.col("rank") <= params.top_k(k))
-        .select("dim", "rank", "key", "n")
-    )
+    """The ``k`` most frequent keys of each dimension, ranked."""
+    best = best_per_dim(counts.select("dim", "key", "n"), order_of("key"), params.top_k(k), "rank")
+    return best.select("dim", "rank", "key", "n")

@@ -7,9 +7,11 @@ data that no longer grows with the traffic.
 from __future__ import annotations
 
 import math
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from loglark import params
 from loglark.functions.weight import column, weighted
@@ -35,6 +37,28 @@ def last_second(buckets: DataFrame) -> Column:
     return buckets.agg(F.max("sec")).scalar()
 
 
+def newest(df: DataFrame, ts: str = "ts_received") -> datetime | None:
+    """The newest time of the rows; on Parquet the scan reads one column."""
+    return df.agg(F.max(ts)).first()[0]
+
+
+def recent(df: DataFrame, ts: str, seconds: int, as_of: datetime) -> DataFrame:
+    """The rows of the last ``seconds`` seconds up to ``as_of``, both whole seconds.
+
+    The bound is on the time column itself, in its own type, so a scan of a table skips all files and row groups that are
+    older. Apply it before ``per_second``.
+    """
+    kind = df.schema[ts].dataType
+
+    def bound(value: datetime) -> Column:
+        # A time without a zone must not pass through the zone of this process.
+        return F.lit(str(value)).cast(kind) if isinstance(kind, TimestampNTZType) else F.lit(value)
+
+    end = as_of.replace(microsecond=0) + timedelta(seconds=1)
+    start = end - timedelta(seconds=params.positive("seconds", seconds))
+    return df.where((F.col(ts) >= bound(start)) & (F.col(ts) < bound(end)))
+
+
 def rate_last_n(
     buckets: DataFrame,
     n: int | None = None,
@@ -43,15 +67,15 @@ def rate_last_n(
 ) -> DataFrame:
     """One row: events per second over the ``n`` seconds up to ``as_of`` (default: now).
 
-    Only the retained seconds are summed, yet the sum is divided by ``n``; raise the retention for a longer ``n``.
+    A ``retention`` given for the buckets must cover ``n``.
     """
     n = params.rate_seconds(n)
+    params.retention(retention, n)
     if n == 0:
         return buckets.sparkSession.range(1).select(F.lit(0.0).alias("rate"))
     end = F.current_timestamp() if as_of is None else as_of
-    span = min(n, params.retention(retention))
-    recent = buckets.where((F.col("sec") > end - F.make_dt_interval(secs=F.lit(span))) & (F.col("sec") <= end))
-    return recent.agg((F.coalesce(F.sum("n"), F.lit(0)) / F.lit(float(n))).alias("rate"))
+    inside = buckets.where((F.col("sec") > end - F.make_dt_interval(secs=F.lit(n))) & (F.col("sec") <= end))
+    return inside.agg((F.coalesce(F.sum("n"), F.lit(0)) / F.lit(float(n))).alias("rate"))
 
 
 def rate_series(

@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-# Defaults and limits of the reports and summaries.
+# Defaults of the reports and summaries.
 DEFAULT_K = 10
-MAX_K = 10_000
-MAX_REPORT_K = 1_000
 DEFAULT_RATE_SECONDS = 60
-MAX_REPORT_SECONDS = 3_600
 DEFAULT_RETENTION = 300
 DEFAULT_CMS_WIDTH = 1 << 14
 DEFAULT_CMS_DEPTH = 4
@@ -29,13 +26,12 @@ def clamp(value: int, low: int, high: int) -> int:
 
 
 def top_k(k: int | None = None) -> int:
-    """None or 0 means the default; anything above the limit is lowered to it."""
-    k = DEFAULT_K if k is None else _whole("k", k)
-    return min(k or DEFAULT_K, MAX_K)
+    """None or 0 means the default. There is no upper limit."""
+    return DEFAULT_K if k is None else _whole("k", k) or DEFAULT_K
 
 
 def report_k(k: int | None = None) -> int:
-    return clamp(DEFAULT_K if k is None else _whole("k", k), 1, MAX_REPORT_K)
+    return DEFAULT_K if k is None else max(1, _whole("k", k))
 
 
 def rate_seconds(n: int | None = None) -> int:
@@ -43,12 +39,15 @@ def rate_seconds(n: int | None = None) -> int:
 
 
 def report_seconds(n: int | None = None) -> int:
-    return clamp(rate_seconds(n), 1, MAX_REPORT_SECONDS)
+    return max(1, rate_seconds(n))
 
 
-def retention(seconds: int | None = None) -> int:
-    seconds = DEFAULT_RETENTION if seconds is None else _whole("retention", seconds)
-    return seconds or DEFAULT_RETENTION
+def retention(seconds: int | None = None, least: int = 0) -> int:
+    """Seconds to keep. The default grows to ``least``, the seconds that a rate needs; fewer than that are an error."""
+    seconds = 0 if seconds is None else _whole("retention", seconds)
+    if seconds and seconds < least:
+        raise ValueError(f"a rate over {least} seconds needs a retention of as many, got {seconds}")
+    return seconds or max(DEFAULT_RETENTION, least)
 
 
 def capacity(value: int | None = None) -> int:

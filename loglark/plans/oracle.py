@@ -177,14 +177,15 @@ TOP_ENDPOINTS = f"WITH {PARSED} {_top('endpoint', 10)}"
 SECONDS = "SELECT sec, count(*) AS n FROM good GROUP BY sec"
 
 
-def _key_n(column: str) -> str:
-    return f"WITH {PARSED} SELECT {column} AS key, n FROM ({_top(column, 10)})"
+def _keyed(column: str) -> str:
+    return f"{PARSED}, keyed AS (SELECT {column} AS key FROM good)"
 
 
-def _key_n_err(column: str) -> str:
-    return (
-        f"WITH {PARSED} SELECT {column} AS key, n, cast(0 AS bigint) AS err, n AS guaranteed FROM ({_top(column, 10)})"
-    )
+LISTED = "true AS same, true AS not_over"
+
+
+def _per_dim(flags: str) -> str:
+    return f"WITH {COUNTS} SELECT dim, key, n, {flags} FROM counts WHERE dim IN ('ip', 'endpoint')"
 
 
 def _json_list(dim: str) -> str:
@@ -194,6 +195,16 @@ def _json_list(dim: str) -> str:
     )
 
 
+def _json(n: int) -> str:
+    return f"""
+        WITH {_metric_rows(n)}
+        SELECT concat('{{"total_lines":', (SELECT count(*) FROM good), ',"parse_errors":',
+          (SELECT count(*) FROM parsed WHERE NOT ok), ',"rate_lps":',
+          printf('%.6f', cast({_recent("sec", n)} AS double)), ',"status_counts":{{',
+          (SELECT string_agg(concat('"', key, '":', n), ',' ORDER BY cast(key AS integer)) FROM counts WHERE dim = 'status'),
+          '}},"top_ips":[', {_json_list("ip")}, '],"top_endpoints":[', {_json_list("endpoint")}, ']}}') AS json"""
+
+
 ORACLES: dict[str, str] = {
     "parse_log": f"WITH {PARSED} SELECT event_id, ok, ip, method, endpoint, status FROM parsed",
     "parse_ok_flags": f"WITH {PARSED} SELECT event_id, ok FROM parsed",
@@ -231,10 +242,14 @@ ORACLES: dict[str, str] = {
         WITH {COUNTS}
         SELECT dim, cast(row_number() OVER (PARTITION BY dim ORDER BY n DESC, key) AS integer) AS rank, key, n
         FROM counts QUALIFY rank <= 5""",
+    "top_all_keys": "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1",
     "top_customers": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 20",
     "top_parts_by_quantity": """
         SELECT l_partkey, cast(sum(cast(floor(l_quantity) AS bigint)) AS bigint) AS n
         FROM lineitem GROUP BY 1 ORDER BY n DESC, l_partkey LIMIT 20""",
+    "cms_cells": f"""
+        WITH {PARSED} SELECT cast(r AS integer) AS row, true AS inside, true AS any, (SELECT count(*) FROM good) AS n
+        FROM range(4) t(r)""",
     "cms_row_totals": f"""
         WITH {PARSED} SELECT cast(r AS integer) AS row, (SELECT count(*) FROM good) AS n FROM range(4) t(r)""",
     "cms_estimate_point": f"""
@@ -249,22 +264,19 @@ ORACLES: dict[str, str] = {
     "cms_weighted": """
         SELECT l_returnflag, count(*) AS n, cast(sum(cast(floor(l_quantity) AS bigint)) AS bigint) AS est
         FROM lineitem GROUP BY 1""",
-    "mg_top_ips": _key_n("ip"),
-    "mg_top_endpoints": _key_n("endpoint"),
-    "mg_estimate": ESTIMATE_ALL,
+    "mg_top_ips": _bounds(_keyed("ip"), "count(*)", MG_FLAGS),
+    "mg_top_endpoints": _bounds(_keyed("endpoint"), "count(*)", MG_FLAGS),
+    "mg_estimate": _bounds(_keyed("ip"), "count(*)", LISTED),
     "mg_bounds": _bounds(SKEWED, "count(*)", MG_FLAGS),
     "mg_weighted_bounds": _bounds(SKEWED, "sum(w)", MG_FLAGS),
     "mg_merge_bounds": _bounds(FLAGGED, "count(*)", MG_FLAGS),
-    "ss_top_ips": _key_n_err("ip"),
-    "ss_top_endpoints": _key_n_err("endpoint"),
-    "ss_estimate": f"""
-        WITH {PARSED} SELECT ip, count(*) AS n, count(*) AS est, cast(0 AS bigint) AS err FROM good GROUP BY ip""",
+    "ss_top_ips": _bounds(_keyed("ip"), "count(*)", SS_FLAGS),
+    "ss_top_endpoints": _bounds(_keyed("endpoint"), "count(*)", SS_FLAGS),
+    "ss_estimate": _bounds(_keyed("ip"), "count(*)", LISTED),
     "ss_bounds": _bounds(SKEWED, "count(*)", SS_FLAGS),
     "ss_weighted_bounds": _bounds(SKEWED, "sum(w)", SS_FLAGS),
     "ss_merge_bounds": _bounds(FLAGGED, "count(*)", SS_FLAGS),
-    "heavy_hitters_per_dim": f"""
-        WITH {COUNTS} SELECT dim, key, n AS mg_n, n AS ss_n, cast(0 AS bigint) AS err
-        FROM counts WHERE dim IN ('ip', 'endpoint')""",
+    "heavy_hitters_per_dim": _per_dim("true AS mg_ok, true AS ss_ok"),
     "approx_top_k_builtin": f"""
         WITH {PARSED} SELECT status, count(*) AS n FROM good GROUP BY 1""",
     "per_second_counts": f"WITH {BUCKETS} SELECT sec, n FROM buckets",
@@ -272,6 +284,12 @@ ORACLES: dict[str, str] = {
     "rate_last_n": f"""
         WITH {BUCKETS} SELECT cast(sum(n) AS double) / {HOUR} AS rate FROM buckets
         WHERE sec > (SELECT max(sec) FROM buckets) - INTERVAL {HOUR} SECOND""",
+    "rate_last_n_default": f"""
+        WITH {BUCKETS} SELECT cast(sum(n) AS double) / {HOUR} AS rate FROM buckets
+        WHERE sec > (SELECT max(sec) FROM buckets) - INTERVAL {HOUR} SECOND""",
+    "rate_text": f"""
+        WITH {BUCKETS} SELECT printf('%.2f', cast(sum(n) AS double) / {HOUR}) AS rate FROM buckets
+        WHERE sec > (SELECT max(sec) FROM buckets) - INTERVAL {HOUR} SECOND""",
     "rate_series": f"WITH {BUCKETS} {_series('buckets')}",
     "rate_series_by_status": f"""
         WITH {PARSED}, buckets AS (SELECT status, sec, count(*) AS n FROM good GROUP BY ALL)
@@ -292,13 +310,11 @@ ORACLES: dict[str, str] = {
     "metrics_text": f"""
         WITH {_metric_lines(HOUR)}
         SELECT cast(row_number() OVER (ORDER BY place) AS integer) AS seq, value FROM exposition""",
-    "stats_json": f"""
-        WITH {_metric_rows(HOUR)}
-        SELECT concat('{{"total_lines":', (SELECT count(*) FROM good), ',"parse_errors":',
-          (SELECT count(*) FROM parsed WHERE NOT ok), ',"rate_lps":',
-          printf('%.6f', cast({_recent("sec", HOUR)} AS double)), ',"status_counts":{{',
-          (SELECT string_agg(concat('"', key, '":', n), ',' ORDER BY cast(key AS integer)) FROM counts WHERE dim = 'status'),
-          '}},"top_ips":[', {_json_list("ip")}, '],"top_endpoints":[', {_json_list("endpoint")}, ']}}') AS json""",
+    "stats_json": _json(HOUR),
+    "stream_stats_json": _json(60),
+    "snapshot_resume_old_version": f"WITH {PARSED} SELECT ip AS key, count(*) AS n, true AS not_under FROM good GROUP BY 1",
+    "snapshot_first_start": f"""
+        WITH {PARSED} SELECT cast(r AS integer) AS row, (SELECT count(*) FROM good) AS n FROM range(4) t(r)""",
     "snapshot_roundtrip": f"WITH {STATE} SELECT dim, key, n FROM state",
     "snapshot_resume": f"WITH {STATE} SELECT dim, key, n FROM state",
     "stream_state": f"WITH {STATE} SELECT dim, key, n FROM state",
@@ -307,6 +323,7 @@ ORACLES: dict[str, str] = {
         WHERE sec > (SELECT max(sec) FROM seconds) - INTERVAL {3 * DAY} SECOND""",
     "stream_all_counts": ALL_COUNTS,
     "stream_file_counts": ALL_COUNTS,
+    "stream_tail_rotated": ALL_COUNTS,
     "stream_tail_counts": ALL_COUNTS,
     "stream_restart": ALL_COUNTS,
     "stream_top_ips": f"WITH {PARSED} SELECT ip AS key, n FROM ({_top('ip', 10)})",
@@ -314,9 +331,8 @@ ORACLES: dict[str, str] = {
     "stream_late_drop": f"""
         WITH {PARSED} SELECT sec, count(*) AS n FROM good WHERE ts >= TIMESTAMP '{SPLIT}' GROUP BY sec""",
     "stream_cms": ESTIMATE_ALL,
-    "stream_mg": f"WITH {COUNTS} SELECT dim, key, n FROM counts WHERE dim IN ('ip', 'endpoint')",
-    "stream_ss": f"""
-        WITH {COUNTS} SELECT dim, key, n, cast(0 AS bigint) AS err FROM counts WHERE dim IN ('ip', 'endpoint')""",
+    "stream_mg": _per_dim("true AS mg_ok"),
+    "stream_ss": _per_dim("true AS ss_ok"),
     "stream_report": f"""
         WITH {_metric_lines(60)}
         SELECT cast(row_number() OVER (ORDER BY place) AS integer) AS seq, value FROM exposition""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -182,6 +183,12 @@ def top_per_dim(spark, sf):
     return topk.top_per_dim(counts.all_counts(parsed(spark, sf)), 5)
 
 
+@query
+def top_all_keys(spark, sf):
+    """A ``k`` above the number of keys: every key is listed."""
+    return topk.top_k(table(spark, sf, "lineitem"), "l_orderkey", 10_000_000)
+
+
 @query
 def top_customers(spark, sf):
     return topk.top_k(table(spark, sf, "orders"), "o_custkey", 20)
@@ -198,7 +205,10 @@ def top_parts_by_quantity(spark, sf):
 
 @query
 def cms_cells(spark, sf):
-    return cms.build(_ok(spark, sf), "ip").cells
+    """The cells of each row: how many, whether all lie within the width, and what they add up to."""
+    cells = cms.build(_ok(spark, sf), "ip", CmsParams(width=8, depth=4)).cells
+    inside = F.col("bucket").between(0, 7)
+    return cells.groupBy("row").agg(F.bool_and(inside).alias("inside"), F.max("bucket").isNotNull().alias("any"), F.sum("n").alias("n"))
 
 
 @query
@@ -225,7 +235,7 @@ def cms_estimate_by_shuffle(spark, sf):
     """The same lookup for a sketch that is too large to broadcast."""
     clients = _ok(spark, sf)
     sketch = cms.build(clients, "ip")
-    return cms.estimate(sketch, counts.count_by(clients, "ip"), "ip", max_broadcast_cells=0)
+    return cms.estimate(sketch, counts.count_by(clients, "ip"), "ip", as_value=False)
 
 
 @query
@@ -260,14 +270,25 @@ def cms_weighted(spark, sf):
     return cms.estimate(sketch, counts.count_by(items, "l_returnflag"), "l_returnflag")
 
 
-@query
-def cms_builtin(spark, sf):
-    return cms.binary_sketch(_ok(spark, sf), "ip")
-
-
 # --- heavy hitters ---------------------------------------------------------------------------------------------
 
 SMALL = 16
+FEW = 3
+
+
+def _checked(mg: DataFrame, ss: DataFrame, exact: DataFrame, capacity: int) -> DataFrame:
+    """(dim, key, n, mg_ok, ss_ok): whether summaries with ``capacity`` counters a dim keep their bounds for every key."""
+    whole = exact.groupBy("dim").agg(F.sum("n").alias("whole"))
+    rows = (
+        exact.join(whole, "dim")
+        .join(mg.select("dim", "key", F.col("n").alias("mg_n")), ["dim", "key"], "left")
+        .join(ss.select("dim", "key", F.col("n").alias("ss_n"), "err"), ["dim", "key"], "left")
+    )
+    n, mg_n, ss_n = F.col("n"), F.coalesce("mg_n", F.lit(0)), F.col("ss_n")
+    mg_ok = (mg_n <= n) & (mg_n >= n - F.col("whole") / (capacity + 1))
+    slack = F.col("whole") / capacity
+    ss_ok = F.when(ss_n.isNull(), n <= slack).otherwise((ss_n >= n) & (ss_n - F.col("err") <= n) & (ss_n <= n + slack))
+    return rows.select("dim", "key", "n", mg_ok.alias("mg_ok"), ss_ok.alias("ss_ok"))
 
 
 def _skewed(spark: SparkSession, sf: str) -> DataFrame:
@@ -320,18 +341,26 @@ def _by_shipdate(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 @query
 def mg_top_ips(spark, sf):
-    return misra_gries.top(misra_gries.build(_ok(spark, sf), "ip", 10_000), 10)
+    """A summary with fewer counters than clients, so it is held to its bounds."""
+    clients = _ok(spark, sf).select(F.col("ip").alias("key"))
+    return _mg_check(misra_gries.build(clients, "key", SMALL), counts.count_by(clients, "key"))
 
 
 @query
 def mg_top_endpoints(spark, sf):
-    return misra_gries.top(misra_gries.build(_ok(spark, sf), "endpoint"), 10)
+    endpoints = _ok(spark, sf).select(F.col("endpoint").alias("key"))
+    return _mg_check(misra_gries.build(endpoints, "key", FEW), counts.count_by(endpoints, "key"))
 
 
 @query
 def mg_estimate(spark, sf):
-    clients = _ok(spark, sf)
-    return misra_gries.estimate(misra_gries.build(clients, "ip", 10_000), counts.count_by(clients, "ip"), "ip")
+    """Estimates of every client, of those in the summary's list among them."""
+    clients = _ok(spark, sf).select(F.col("ip").alias("key"))
+    summary = misra_gries.build(clients, "key", SMALL)
+    listed = misra_gries.top(summary, SMALL).select("key", F.col("n").alias("top_n"))
+    found = misra_gries.estimate(summary, counts.count_by(clients, "key"), "key").join(listed, "key", "left")
+    same = F.coalesce("top_n", F.lit(0)) == F.col("est")
+    return found.select("key", "n", same.alias("same"), (F.col("est") <= F.col("n")).alias("not_over"))
 
 
 @query
@@ -355,19 +384,24 @@ def mg_merge_bounds(spark, sf):
 
 @query
 def ss_top_ips(spark, sf):
-    return space_saving.top(space_saving.build(_ok(spark, sf), "ip", 10_000), 10)
+    clients = _ok(spark, sf).select(F.col("ip").alias("key"))
+    return _ss_check(space_saving.build(clients, "key", SMALL), counts.count_by(clients, "key"))
 
 
 @query
 def ss_top_endpoints(spark, sf):
-    return space_saving.top(space_saving.build(_ok(spark, sf), "endpoint"), 10)
+    endpoints = _ok(spark, sf).select(F.col("endpoint").alias("key"))
+    return _ss_check(space_saving.build(endpoints, "key", FEW), counts.count_by(endpoints, "key"))
 
 
 @query
 def ss_estimate(spark, sf):
-    clients = _ok(spark, sf)
-    summary = space_saving.build(clients, "ip", 10_000)
-    return space_saving.estimate(summary, counts.count_by(clients, "ip"), "ip", err_name="err")
+    clients = _ok(spark, sf).select(F.col("ip").alias("key"))
+    summary = space_saving.build(clients, "key", SMALL)
+    listed = space_saving.top(summary, SMALL).select("key", F.col("n").alias("top_n"), "guaranteed")
+    found = space_saving.estimate(summary, counts.count_by(clients, "key"), "key", err_name="err").join(listed, "key", "left")
+    same = F.coalesce("top_n", F.lit(0)) == F.col("est")
+    return found.select("key", "n", same.alias("same"), (F.coalesce("guaranteed", F.lit(0)) <= F.col("n")).alias("not_over"))
 
 
 @query
@@ -391,11 +425,11 @@ def ss_merge_bounds(spark, sf):
 
 @query
 def heavy_hitters_per_dim(spark, sf):
-    """Misra-Gries and Space-Saving of clients and endpoints, each from one scan."""
+    """Misra-Gries and Space-Saving of clients and endpoints."""
     pairs = counts.fan_out(parsed(spark, sf)).where(F.col("dim").isin("ip", "endpoint"))
-    mg = misra_gries.build(pairs, "key", 10_000, by="dim").rows.withColumnRenamed("n", "mg_n")
-    ss = space_saving.build(pairs, "key", 10_000, by="dim").rows.select("dim", "key", F.col("n").alias("ss_n"), "err")
-    return mg.join(ss, ["dim", "key"], "full")
+    mg = misra_gries.build(pairs, "key", SMALL, by="dim").rows
+    ss = space_saving.build(pairs, "key", SMALL, by="dim").rows
+    return _checked(mg, ss, pairs.groupBy("dim", "key").agg(F.count("*").alias("n")), SMALL)
 
 
 @query
@@ -420,8 +454,24 @@ def per_second_by_status(spark, sf):
 
 @query
 def rate_last_n(spark, sf):
+    """The bound of the hour reaches the scan; only one column is read to find the newest time."""
+    events = table(spark, sf, "events")
+    as_of = windows.newest(events, "ts")
+    buckets = windows.per_second(windows.recent(events, "ts", HOUR, as_of), "ts")
+    return windows.rate_last_n(buckets, HOUR, windows.last_second(buckets))
+
+
+@query
+def rate_last_n_default(spark, sf):
+    """No retention given: all of the hour counts."""
+    buckets = _buckets(spark, sf)
+    return windows.rate_last_n(buckets, HOUR, windows.last_second(buckets))
+
+
+@query
+def rate_text(spark, sf):
     buckets = _buckets(spark, sf)
-    return windows.rate_last_n(buckets, HOUR, windows.last_second(buckets), DAY)
+    return report.rate_text(windows.rate_last_n(buckets, HOUR, windows.last_second(buckets)))
 
 
 @query
@@ -447,7 +497,9 @@ def hopping_counts_by_type(spark, sf):
 
 @query
 def window_retention(spark, sf):
-    return _ntz(windows.retain(_buckets(spark, sf), 7 * DAY), "sec")
+    events = table(spark, sf, "events")
+    kept = windows.recent(events, "ts", 7 * DAY, windows.newest(events, "ts"))
+    return _ntz(windows.per_second(kept, "ts"), "sec")
 
 
 def _late(spark: SparkSession, sf: str) -> DataFrame:
@@ -476,12 +528,12 @@ def stats_summary(spark, sf):
 
 def _metrics(spark: SparkSession, sf: str) -> DataFrame:
     kept, buckets = counts.counts_and_buckets(parsed(spark, sf))
-    return report.metrics_rows(kept, buckets, windows.last_second(buckets), 10, HOUR, DAY)
+    return report.metrics_rows(kept, buckets, windows.last_second(buckets), 10, HOUR)
 
 
 @query
 def metrics_rows(spark, sf):
-    return _metrics(spark, sf)
+    return _metrics(spark, sf).drop("count")
 
 
 @query
@@ -492,7 +544,7 @@ def metrics_text(spark, sf):
 @query
 def stats_json(spark, sf):
     kept, buckets = counts.counts_and_buckets(parsed(spark, sf))
-    return report.stats_json(kept, buckets, windows.last_second(buckets), 10, HOUR, DAY)
+    return report.stats_json(kept, buckets, windows.last_second(buckets), 10, HOUR)
 
 
 # --- snapshots -------------------------------------------------------------------------------------------------
@@ -504,13 +556,16 @@ def _state_rows(state: snapshot.State) -> DataFrame:
         F.lit("second").alias("dim"), F.unix_timestamp("sec").cast("string").alias("key"), "n"
     )
     cells = cms.row_totals(state.cms).select(F.lit("cms_row").alias("dim"), F.col("row").cast("string").alias("key"), "n")
-    mg = state.mg.rows.select(F.concat(F.lit("mg_"), "dim").alias("dim"), "key", "n")
-    ss = state.ss.rows.select(F.concat(F.lit("ss_"), "dim").alias("dim"), "key", "n")
+    exact = state.counts.where(F.col("dim").isin("ip", "endpoint"))
+    checked = _checked(state.mg.rows, state.ss.rows, exact, state.mg.capacity)
+    # The count of each key as long as both summaries keep their bounds for it.
+    mg = checked.select(F.concat(F.lit("mg_"), "dim").alias("dim"), "key", F.when(F.col("mg_ok"), F.col("n")).alias("n"))
+    ss = checked.select(F.concat(F.lit("ss_"), "dim").alias("dim"), "key", F.when(F.col("ss_ok"), F.col("n")).alias("n"))
     return state.counts.select("dim", "key", "n").unionByName(seconds).unionByName(cells).unionByName(mg).unionByName(ss)
 
 
 def _state(lines: DataFrame) -> snapshot.State:
-    return snapshot.build(lines, mg_capacity=10_000, ss_capacity=10_000)
+    return snapshot.build(lines, mg_capacity=SMALL, ss_capacity=SMALL)
 
 
 @query
@@ -529,6 +584,29 @@ def snapshot_resume(spark, sf):
     return _state_rows(snapshot.resume(snapshot.load(spark, path), _state(new)))
 
 
+@query
+def snapshot_resume_old_version(spark, sf):
+    """A snapshot of the first version, which holds counts without endpoints and no summaries, carried on."""
+    old, new = _parts(spark, sf)
+    path = scratch_path(spark, "snapshot")
+    kept = counts.all_counts(old).where("dim <> 'endpoint'")
+    kept.write.parquet(f"{path}/versions/one/counts")
+    row = ("one", 1, 1, ["counts"], None, None, None, None, None)
+    spark.createDataFrame([row], snapshot.COMMITS).coalesce(1).write.parquet(f"{path}/commits")
+    resumed = snapshot.resume(snapshot.load(spark, path), snapshot.build(new))
+    clients = resumed.counts.where("dim = 'ip'").select("key", "n")
+    found = cms.estimate(resumed.cms, clients, "key")
+    return found.select("key", "n", (F.col("est") >= F.col("n")).alias("not_under"))
+
+
+@query
+def snapshot_first_start(spark, sf):
+    """Nothing was saved yet: the state goes on with its own parameters."""
+    new = snapshot.build(parsed(spark, sf), CmsParams(width=256), SMALL, SMALL)
+    started = snapshot.resume(snapshot.load(spark, scratch_path(spark, "snapshot"), missing_ok=True), new)
+    return cms.row_totals(started.cms)
+
+
 @query
 def snapshot_resize_window(spark, sf):
     path = scratch_path(spark, "snapshot")
@@ -591,6 +669,22 @@ def stream_tail_counts(spark, sf):
     return runs.current_counts(spark, out)
 
 
+@query
+def stream_tail_rotated(spark, sf):
+    """Each followed file is replaced by another between two runs (the folder must be a mounted one)."""
+    folder, out, checkpoint = _folders(spark, "tail")
+    live = folder.removeprefix("file:")
+    os.makedirs(live)
+    for k, part in enumerate(_parts(spark, sf)):
+        _add_files(part, f"{folder}-{k}")
+        written = sorted(f for f in os.listdir(f"{live}-{k}") if f.startswith("part-"))
+        for i, name in enumerate(written):
+            os.replace(f"{live}-{k}/{name}", f"{live}/{i}.log")
+        lines = parse_logs(stream_tail(spark, f"{live}/*.log"), event_clock=True)
+        _drain(runs.run_counts(lines, out, checkpoint, drain=True, state_partitions=_width(spark)))
+    return runs.current_counts(spark, out)
+
+
 @query
 def stream_restart(spark, sf):
     """Stopped after the older part and started again with more files: nothing lost, nothing counted twice."""
@@ -648,39 +742,42 @@ def _stream_heavy(spark: SparkSession, sf: str) -> str:
     folder, out, checkpoint = _folders(spark, "stream")
     for part in _parts(spark, sf):
         _add_files(part, folder)
-        started = runs.run_heavy_hitters(_stream(spark, folder), out, checkpoint, capacity=10_000, drain=True)
+        started = runs.run_heavy_hitters(_stream(spark, folder), out, checkpoint, capacity=SMALL, drain=True)
         _drain(started)
     return out
 
 
+def _stream_checked(spark: SparkSession, sf: str, out: str) -> DataFrame:
+    exact = counts.all_counts(parsed(spark, sf)).where(F.col("dim").isin("ip", "endpoint"))
+    return _checked(runs.current_mg(spark, out).rows, runs.current_ss(spark, out).rows, exact, SMALL)
+
+
 @query
 def stream_mg(spark, sf):
-    rows = runs.current_mg(spark, _stream_heavy(spark, sf), 10_000).rows
-    return rows.select("dim", "key", "n")
+    out = _stream_heavy(spark, sf)
+    return _stream_checked(spark, sf, out).drop("ss_ok")
 
 
 @query
 def stream_ss(spark, sf):
-    rows = runs.current_ss(spark, _stream_heavy(spark, sf), 10_000).rows
-    return rows.select("dim", "key", "n", "err")
+    out = _stream_heavy(spark, sf)
+    return _stream_checked(spark, sf, out).drop("mg_ok")
 
 
 @query
 def stream_state(spark, sf):
     """The whole state kept from one pass, in two runs, saved as a snapshot and loaded."""
     folder, out, checkpoint = _folders(spark, "stream")
-    sizes = {"mg_capacity": 10_000, "ss_capacity": 10_000}
+    sizes = {"mg_capacity": SMALL, "ss_capacity": SMALL}
     for part in _parts(spark, sf):
         _add_files(part, folder)
         _drain(runs.run_state(_stream(spark, folder), out, checkpoint, drain=True, **sizes))
     path = scratch_path(spark, "snapshot")
-    snapshot.save(runs.current_state(spark, out, **sizes), path)
+    snapshot.save(runs.current_state(spark, out), path)
     return _state_rows(snapshot.load(spark, path))
 
 
-@query
-def stream_report(spark, sf):
-    """The exposition that is refreshed after every batch, read back at the end."""
+def _stream_reported(spark: SparkSession, sf: str) -> str:
     folder, out, checkpoint = _folders(spark, "stream")
     for part in _parts(spark, sf):
         _add_files(part, folder)
@@ -696,7 +793,19 @@ def stream_report(spark, sf):
             as_of_newest=True,
         )
         _drain(started)
-    return runs.current_report(spark, out)
+    return out
+
+
+@query
+def stream_report(spark, sf):
+    """The exposition that is refreshed after every batch, read back at the end."""
+    return runs.current_report(spark, _stream_reported(spark, sf))
+
+
+@query
+def stream_stats_json(spark, sf):
+    """The JSON document that is refreshed with it."""
+    return runs.current_json(spark, _stream_reported(spark, sf))
 
 
 @query

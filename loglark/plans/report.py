@@ -1,4 +1,7 @@
-"""Report tables: summary, metric rows, exposition text, JSON. All read COUNTS and bucket tables once."""
+"""Report tables: summary, metric rows, exposition text, JSON.
+
+They read COUNTS twice, for the ranked keys and for the rest; give them a table that is written rather than a plan that parses.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +11,7 @@ from pyspark.sql import types as T
 
 from loglark import params, schema
 from loglark.functions.text import label_text
-from loglark.operators import windows
+from loglark.operators import topk, windows
 
 # Metric names and help texts of the exposition, and its number of decimals.
 TOTAL, ERRORS, RATE = "total_lines", "parse_errors", "lines_per_second"
@@ -19,7 +22,6 @@ HELP = {
     RATE: "Lines/sec",
     STATUS: "Status counts",
 }
-STATUSES = 1_000  # three digits
 DECIMALS = 6
 
 TEXT = T.StructType([T.StructField("seq", T.IntegerType()), T.StructField("value", T.StringType())])
@@ -36,15 +38,17 @@ def stats(counts: DataFrame) -> DataFrame:
     return kept.select(item.alias("item"), "n")
 
 
-def _heads(counts: DataFrame, k: int) -> DataFrame:
-    """(dim, key, n, rank): all of total, error and status, the first ``k`` clients and endpoints.
+def rate_text(rate: DataFrame) -> DataFrame:
+    """The rate as the summary prints it, with two decimals."""
+    return rate.select(F.format_string("%.2f", "rate").alias("rate"))
 
-    Ranking with the larger bound for all dimensions lets every task cut its rows before the shuffle.
-    """
-    rank = F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("n"), F.asc("key")))
-    ranked = counts.where(F.col("dim") != schema.DIM_SECOND).select("dim", "key", "n", rank.alias("rank"))
-    bounded = ranked.where(F.col("rank") <= max(k, STATUSES))
-    return bounded.where((F.col("rank") <= k) | ~F.col("dim").isin(schema.DIM_IP, schema.DIM_ENDPOINT))
+
+def _heads(counts: DataFrame, k: int) -> DataFrame:
+    """(dim, key, n, rank): all of total, error and status without a rank, the first ``k`` clients and endpoints."""
+    many = F.col("dim").isin(schema.DIM_IP, schema.DIM_ENDPOINT)
+    few = counts.where(~many & (F.col("dim") != schema.DIM_SECOND))
+    ranked = topk.top_per_dim(counts.where(many), k).select("dim", "key", "n", "rank")
+    return few.select("dim", "key", "n", F.lit(None).cast("int").alias("rank")).unionByName(ranked)
 
 
 def _label(name: str, value: Column) -> Column:
@@ -59,7 +63,7 @@ def metrics_rows(
     n: int | None = None,
     retention: int | None = None,
 ) -> DataFrame:
-    """Rows (seq, metric, labels, value), in the order of the exposition."""
+    """Rows (seq, metric, labels, value, count), in the order of the exposition; a rate has no count."""
     heads = _heads(counts, params.report_k(k))
     dim, rank = F.col("dim"), F.col("rank").cast("string")
     ranked_label = F.concat(_label("rank", rank), F.lit(","))
@@ -70,30 +74,32 @@ def metrics_rows(
         .when(dim == schema.DIM_IP, 4)
         .otherwise(5)
         .alias("part"),
-        F.when(dim == schema.DIM_STATUS, F.col("key").cast("int")).otherwise(F.col("rank")).alias("pos"),
+        F.when(dim == schema.DIM_STATUS, F.col("key").cast("int")).otherwise(F.coalesce("rank", F.lit(1))).alias("pos"),
         F.when(dim == schema.DIM_STATUS, _label("code", F.col("key")))
         .when(dim == schema.DIM_IP, F.concat(ranked_label, _label("ip", F.col("key"))))
         .when(dim == schema.DIM_ENDPOINT, F.concat(ranked_label, _label("endpoint", F.col("key"))))
         .otherwise(F.lit(""))
         .alias("labels"),
-        F.col("n").cast("double").alias("value"),
+        F.col("n").alias("count"),
     )
     spark = counts.sparkSession
     # Total and errors are always reported, also when nothing was counted.
     zeros = spark.range(2).select(
-        F.col("id").cast("int").alias("part"), F.lit(1).alias("pos"), F.lit("").alias("labels"), F.lit(0.0).alias("value")
+        F.col("id").cast("int").alias("part"), F.lit(1).alias("pos"), F.lit("").alias("labels"), F.lit(0).cast("bigint").alias("count")
     )
     rate = windows.rate_last_n(buckets, params.report_seconds(n), as_of, retention).select(
         F.lit(2).alias("part"), F.lit(1).alias("pos"), F.lit("").alias("labels"), F.col("rate").alias("value")
     )
-    rows = from_counts.unionByName(zeros).unionByName(rate)
-    rows = rows.groupBy("part", "pos", "labels").agg(F.sum("value").alias("value"))
+    # Counts stay whole numbers up to here: as a double they would change beyond 2^53.
+    rows = from_counts.unionByName(zeros).unionByName(rate, allowMissingColumns=True)
+    rows = rows.groupBy("part", "pos", "labels").agg(F.sum("count").alias("count"), F.sum("value").alias("value"))
     names = F.element_at(
         F.array(*(F.lit(m) for m in (TOTAL, ERRORS, RATE, STATUS, TOP_IP, TOP_ENDPOINT))), F.col("part") + 1
     )
-    # At most 3 + 1000 + 2 k rows are left to number.
+    # Three rows, one for each status and 2 k are left to number.
     seq = F.row_number().over(Window.orderBy("part", "pos"))
-    return rows.select(seq.alias("seq"), names.alias("metric"), "labels", "value")
+    value = F.coalesce("value", F.col("count").cast("double"))
+    return rows.select(seq.alias("seq"), names.alias("metric"), "labels", value.alias("value"), "count")
 
 
 def metrics_text(rows: DataFrame, prefix: str = "accesslog") -> DataFrame:
@@ -102,7 +108,7 @@ def metrics_text(rows: DataFrame, prefix: str = "accesslog") -> DataFrame:
     name = F.concat(F.lit(f"{prefix}_"), metric)
     labels = F.when(F.col("labels") == "", F.lit("")).otherwise(F.concat(F.lit("{"), F.col("labels"), F.lit("}")))
     number = F.when(metric == RATE, F.format_string(f"%.{DECIMALS}f", "value")).otherwise(
-        F.col("value").cast("bigint").cast("string")
+        F.col("count").cast("string")
     )
     sample = F.concat(name, labels, F.lit(" "), number)
     lines = F.array(sample)
@@ -130,7 +136,7 @@ def stats_json(
     n: int | None = None,
     retention: int | None = None,
 ) -> DataFrame:
-    """One row with one JSON document. Its lists are bounded: at most 1000 statuses and ``k`` ranked keys."""
+    """One row with one JSON document of all statuses and ``k`` ranked keys of either kind."""
     heads = _heads(counts, params.report_k(k))
 
     def amount(dim: str) -> Column:

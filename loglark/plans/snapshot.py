@@ -54,6 +54,8 @@ class State:
     cms: CountMin
     mg: MisraGries
     ss: SpaceSaving
+    #: Nothing was ever added to it.
+    fresh: bool = False
 
 
 def build(
@@ -64,15 +66,17 @@ def build(
 ) -> State:
     """State of a batch of parsed lines, from one scan: the counts are written once and the rest derives from them."""
     exact, buckets = counts.counts_and_buckets(parsed)
+    return State(counts=exact, buckets=buckets, **_summaries(exact, cms_params, mg_capacity, ss_capacity))
+
+
+def _summaries(exact: DataFrame, cms_params: CmsParams | None, mg_capacity: int | None, ss_capacity: int | None) -> dict:
     keys = exact.where(F.col("dim").isin(schema.DIM_IP, schema.DIM_ENDPOINT))
     clients = exact.where(F.col("dim") == schema.DIM_IP)
-    return State(
-        counts=exact,
-        buckets=buckets,
-        cms=cms.build(clients, "key", cms_params, weight="n"),
-        mg=misra_gries.build(keys, "key", mg_capacity, weight="n", by="dim"),
-        ss=space_saving.build(keys, "key", ss_capacity, weight="n", by="dim"),
-    )
+    return {
+        "cms": cms.build(clients, "key", cms_params, weight="n"),
+        "mg": misra_gries.build(keys, "key", mg_capacity, weight="n", by="dim"),
+        "ss": space_saving.build(keys, "key", ss_capacity, weight="n", by="dim"),
+    }
 
 
 def empty(
@@ -88,11 +92,14 @@ def empty(
         cms=CountMin(spark.createDataFrame([], schema.CMS), cms_params or CmsParams()),
         mg=MisraGries(spark.createDataFrame([], schema.MG), params.capacity(mg_capacity), split=True),
         ss=SpaceSaving(spark.createDataFrame([], schema.SS), params.capacity(ss_capacity), split=True),
+        fresh=True,
     )
 
 
 def resume(old: State, new: State) -> State:
-    """State of both inputs together; they must not overlap."""
+    """State of both inputs together; they must not overlap. A state before any line takes on the other's parameters."""
+    if old.fresh or new.fresh:
+        return new if old.fresh else old
     if old.cms.params != new.cms.params:
         raise SnapshotError(f"count-min parameters differ: {old.cms.params} and {new.cms.params}")
     buckets = old.buckets.select("sec", "n").unionByName(new.buckets.select("sec", "n"))
@@ -142,7 +149,8 @@ def save(state: State, path: str) -> str:
 def load(spark: SparkSession, path: str, missing_ok: bool = False) -> State:
     """The newest saved state. It replaces whatever the caller held; nothing is read before the header is checked.
 
-    Sections that an older version did not have are empty. ``missing_ok`` turns a missing snapshot into the empty state.
+    Summaries that an older version did not have are built from its counts, with default parameters. Endpoints that it did
+    not count are in none of them. ``missing_ok`` turns a missing snapshot into the state before any line.
     """
     try:
         commits = spark.read.schema(COMMITS).parquet(f"{path}/commits")
@@ -164,17 +172,18 @@ def load(spark: SparkSession, path: str, missing_ok: bool = False) -> State:
         return spark.read.schema(layout).parquet(f"{path}/versions/{head['version']}/{name}")
 
     defaults = CmsParams()
-    return State(
-        counts=section("counts", schema.COUNTS),
-        buckets=section("buckets", schema.BUCKETS),
-        cms=CountMin(
-            section("cms", schema.CMS),
-            CmsParams(
-                defaults.width if head["width"] is None else head["width"],
-                defaults.depth if head["depth"] is None else head["depth"],
-                defaults.seed if head["seed"] is None else head["seed"],
-            ),
-        ),
-        mg=MisraGries(section("mg", schema.MG), params.capacity(head["mg_capacity"]), split=True),
-        ss=SpaceSaving(section("ss", schema.SS), params.capacity(head["ss_capacity"]), split=True),
+    cms_params = CmsParams(
+        defaults.width if head["width"] is None else head["width"],
+        defaults.depth if head["depth"] is None else head["depth"],
+        defaults.seed if head["seed"] is None else head["seed"],
     )
+    mg_capacity, ss_capacity = params.capacity(head["mg_capacity"]), params.capacity(head["ss_capacity"])
+    exact = section("counts", schema.COUNTS)
+    from_counts = _summaries(exact, cms_params, mg_capacity, ss_capacity)
+    stored = {
+        "cms": CountMin(section("cms", schema.CMS), cms_params),
+        "mg": MisraGries(section("mg", schema.MG), mg_capacity, split=True),
+        "ss": SpaceSaving(section("ss", schema.SS), ss_capacity, split=True),
+    }
+    found = {name: stored[name] if name in head["sections"] else from_counts[name] for name in stored}
+    return State(counts=exact, buckets=section("buckets", schema.BUCKETS), **found)

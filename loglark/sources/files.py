@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,12 +39,14 @@ def read_logs(
     found = []
     for path in _paths(paths):
         try:
-            found.append(scan([path]))
+            scan([path])
         except AnalysisException as error:
             if not path_is_missing(error):
                 raise
+        else:
+            found.append(path)
     if found:
-        return reduce(DataFrame.unionByName, found)
+        return scan(found)  # one scan, so small files are packed into tasks together
     empty = spark.createDataFrame([], LINES)
     return empty.withColumn("source", F.lit(None).cast("string")) if with_source else empty
 

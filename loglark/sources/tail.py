@@ -1,23 +1,29 @@
 """Streaming source that follows growing text files, byte range by byte range.
 
-Files are known by their inode, so a file renamed by log rotation goes on where it was left when the glob still finds it. A
-file that shrank starts again at 0. A line is delivered once its newline has been written. All executors must see
-the files (a shared file system).
+Files are known by their inode, so a file renamed by log rotation goes on where it was left when the glob still finds it. An
+offset also holds a digest of the first bytes that were read. A file that shrank, that begins otherwise, or that has no newline
+before the offset is another one that got the same inode, and starts again at 0. A line is delivered once its newline has been
+written, byte for byte. All executors must see the files (a shared file system); a path with a scheme is an error.
 """
 
 from __future__ import annotations
 
 import glob
+import hashlib
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 BLOCK = 1 << 20
 DEFAULT_RANGE = 64 << 20
+#: First bytes of a file that tell it from another.
+HEAD = 1024
 
 
 @dataclass
@@ -53,7 +59,32 @@ def _after_line(f, position: int) -> int:
     return f.tell()
 
 
-def read_lines(part: ByteRange) -> Iterator[list[str]]:
+def _head(path: str, size: int) -> list:
+    """How many of the first bytes are known, and their digest."""
+    size = min(size, HEAD)
+    with open(path, "rb") as f:
+        return [size, hashlib.md5(f.read(size), usedforsecurity=False).hexdigest()]
+
+
+def _resume_at(path: str, size: int, known: dict | None) -> int:
+    """Where to go on in a file of ``size`` bytes: the known position, or 0 for a file that is not the one known."""
+    if known is None or not 0 < known["pos"] <= size or known["head"] != _head(path, known["head"][0]):
+        return 0
+    with open(path, "rb") as f:
+        f.seek(known["pos"] - 1)
+        return known["pos"] if f.read(1) == b"\n" else 0
+
+
+def _as_lines(block: bytes) -> pa.Array:
+    """The lines of a block that ends with a newline, as they are: the bytes are not looked into."""
+    codes = np.frombuffer(block, np.uint8)
+    ends = np.flatnonzero(codes == 10)
+    offsets = np.concatenate([[0], ends - np.arange(len(ends))]).astype(np.int32)
+    data = np.delete(codes, ends).tobytes()
+    return pa.StringArray.from_buffers(len(ends), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data))
+
+
+def read_lines(part: ByteRange) -> Iterator[pa.Array]:
     """Blocks of lines of one byte range, without their newlines."""
     with open(_where(part.path, part.inode), "rb") as f:
         start = part.begin if part.first == part.begin else _after_line(f, part.first)
@@ -65,9 +96,12 @@ def read_lines(part: ByteRange) -> Iterator[list[str]]:
             if not data:
                 raise OSError(f"{part.path} ended before byte {part.end}")
             start += len(data)
-            *lines, rest = (rest + data).split(b"\n")
-            if lines:
-                yield [line.decode("utf-8", "replace") for line in lines]
+            cut = data.rfind(b"\n") + 1
+            if cut:
+                yield _as_lines(rest + data[:cut])
+                rest = data[cut:]
+            else:
+                rest += data
 
 
 def _where(path: str, inode: str) -> str:
@@ -80,10 +114,12 @@ def _where(path: str, inode: str) -> str:
 
 
 class TailReader(DataSourceStreamReader):
-    """Offsets are ``{inode: {"path": ..., "pos": ...}}``; a position is always the start of a line."""
+    """Offsets are ``{inode: {"path": ..., "pos": ..., "head": ...}}``; a position is always the start of a line."""
 
     def __init__(self, options: dict):
         self.pattern = options["path"]
+        if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*:", self.pattern):
+            raise ValueError(f"only mounted files can be followed, not {self.pattern}")
         self.range = int(options.get("maxBytesPerPartition", DEFAULT_RANGE))
         limit = options.get("maxBytesPerBatch")
         self.limit = None if limit is None else int(limit)
@@ -99,16 +135,19 @@ class TailReader(DataSourceStreamReader):
         budget = None if self.seen is None else self.limit
         offset = {}
         for path in sorted(glob.glob(self.pattern)):
-            stat = os.stat(path)
-            inode = str(stat.st_ino)
-            begin = (self.seen or {}).get(inode, {"pos": 0})["pos"]
-            begin = begin if begin <= stat.st_size else 0
-            end = _end_of_lines(path, begin, stat.st_size)
-            if budget is not None and end - begin > budget:
-                end = self._within(path, begin, end, budget)
+            try:
+                stat = os.stat(path)
+                inode = str(stat.st_ino)
+                begin = _resume_at(path, stat.st_size, (self.seen or {}).get(inode))
+                end = _end_of_lines(path, begin, stat.st_size)
+                if budget is not None and end - begin > budget:
+                    end = self._within(path, begin, end, budget)
+                head = _head(path, end)
+            except FileNotFoundError:  # rotated away since it was listed
+                continue
             if budget is not None:
                 budget = max(0, budget - (end - begin))
-            offset[inode] = {"path": path, "pos": end}
+            offset[inode] = {"path": path, "pos": end, "head": head}
         self.seen = offset
         return offset
 
@@ -127,8 +166,11 @@ class TailReader(DataSourceStreamReader):
         self.seen = end
         parts = []
         for inode, now in end.items():
-            begin, stop = start.get(inode, {"pos": 0})["pos"], now["pos"]
-            begin = begin if begin <= stop else 0
+            stop = now["pos"]
+            try:
+                begin = _resume_at(_where(now["path"], inode), stop, start.get(inode))
+            except FileNotFoundError:  # the batch fails when it reads, unless it has read all of the file before
+                begin = min(start.get(inode, {"pos": 0})["pos"], stop)
             for first in range(begin, stop, self.range):
                 last = min(first + self.range, stop)
                 parts.append(ByteRange(now["path"], inode, begin, stop, first, last))
@@ -136,7 +178,7 @@ class TailReader(DataSourceStreamReader):
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         for lines in read_lines(partition):
-            yield pa.RecordBatch.from_pydict({"value": pa.array(lines, pa.string())})
+            yield pa.RecordBatch.from_arrays([lines], names=["value"])
 
     def commit(self, end: dict) -> None:
         pass
@@ -163,6 +205,7 @@ def stream_tail(
     range_bytes: int | None = None,
 ) -> DataFrame:
     """Stream of the lines appended to the files of ``path``, which need not exist yet."""
+    TailReader({"path": path})  # an error now rather than in the query
     spark.dataSource.register(TailSource)
     reader = spark.readStream.format(TailSource.name()).option("path", path)
     if max_bytes is not None:

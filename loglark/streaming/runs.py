@@ -15,6 +15,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from loglark import params, schema
@@ -27,7 +28,7 @@ from loglark.params import CmsParams
 from loglark.plans import report
 from loglark.plans.snapshot import State
 from loglark.session import STREAM_CONF, settings
-from loglark.streaming.sink import BatchTable, SlotTable
+from loglark.streaming.sink import BatchTable, SlotTable, keep_settings, settings_of
 
 OnBatch = Callable[[SparkSession, int], None]
 
@@ -60,10 +61,23 @@ def state_cms_table(path: str) -> BatchTable:
     return BatchTable(f"{path}/state_cms", schema.CMS, ("row", "bucket"), additions=True)
 
 
+def commits_table(path: str) -> SlotTable:
+    """The newest batch that all tables of ``run_state`` hold. Its row is written last."""
+    return SlotTable(f"{path}/state_commits", T.StructType([T.StructField("done", T.BooleanType())]))
+
+
+def _cms_settings(p: CmsParams) -> dict[str, int]:
+    return {"width": p.width, "depth": p.depth, "seed": p.seed}
+
+
 def report_table(path: str) -> SlotTable:
     return SlotTable(f"{path}/report", report.TEXT)
 
 
+def json_table(path: str) -> SlotTable:
+    return SlotTable(f"{path}/json", T.StructType([T.StructField("json", T.StringType())]))
+
+
 def _start(
     df: DataFrame,
     write: Callable[[DataFrame, int], None],
@@ -172,19 +186,22 @@ def run_cms(
     fold_every: int | None = 100,
 ) -> StreamingQuery:
     """Keep a count-min sketch; its state is at most width x depth cells."""
+    cms_params = cms_params or CmsParams()
+    keep_settings(parsed.sparkSession, f"{path}/cms", _cms_settings(cms_params))
     cells = cms.build(parsed.where("ok"), key, cms_params).cells
     write = _keep(cms_table(path), fold_every)
     return _start(cells, write, "update", checkpoint, drain, every, state_partitions)
 
 
-def current_cms(spark: SparkSession, path: str, cms_params: CmsParams | None = None) -> CountMin:
-    return CountMin(cms_table(path).current(spark), cms_params or CmsParams())
+def current_cms(spark: SparkSession, path: str) -> CountMin:
+    """The sketch, with the parameters that it was started with."""
+    return CountMin(cms_table(path).current(spark), CmsParams(**settings_of(spark, f"{path}/cms")))
 
 
 def _carry_on(
     spark: SparkSession, path: str, batch_id: int, mg: MisraGries, ss: SpaceSaving
 ) -> None:
-    """Merge the summaries of a batch into those after the batch before it."""
+    """Merge the summaries of a batch into those after the batch before it, which have the same capacity."""
     mg_out, ss_out = mg_table(path), ss_table(path)
     if batch_id > 0:
         mg = misra_gries.merge(MisraGries(mg_out.batch(spark, batch_id - 1), mg.capacity, True), mg)
@@ -207,6 +224,7 @@ def run_heavy_hitters(
     same predecessor, so nothing is applied twice.
     """
     capacity = params.capacity(capacity)
+    keep_settings(parsed.sparkSession, f"{path}/heavy", {"mg_capacity": capacity, "ss_capacity": capacity})
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -223,12 +241,23 @@ def run_heavy_hitters(
     return _start(pairs, write, "append", checkpoint, drain, every, None)
 
 
-def current_mg(spark: SparkSession, path: str, capacity: int | None = None) -> MisraGries:
-    return MisraGries(mg_table(path).newest(spark), params.capacity(capacity), split=True)
+def _heavy(spark: SparkSession, path: str, batch_id: int | None = None) -> tuple[MisraGries, SpaceSaving]:
+    found = settings_of(spark, f"{path}/heavy")
+    mg, ss = mg_table(path), ss_table(path)
+    at = [t.last(spark) if batch_id is None else batch_id for t in (mg, ss)]
+    return (
+        MisraGries(mg.batch(spark, at[0]), params.capacity(found.get("mg_capacity")), split=True),
+        SpaceSaving(ss.batch(spark, at[1]), params.capacity(found.get("ss_capacity")), split=True),
+    )
+
+
+def current_mg(spark: SparkSession, path: str) -> MisraGries:
+    """The summary, with the capacity that it was started with."""
+    return _heavy(spark, path)[0]
 
 
-def current_ss(spark: SparkSession, path: str, capacity: int | None = None) -> SpaceSaving:
-    return SpaceSaving(ss_table(path).newest(spark), params.capacity(capacity), split=True)
+def current_ss(spark: SparkSession, path: str) -> SpaceSaving:
+    return _heavy(spark, path)[1]
 
 
 def run_state(
@@ -249,6 +278,8 @@ def run_state(
     cms_params = cms_params or CmsParams()
     mg_capacity, ss_capacity = params.capacity(mg_capacity), params.capacity(ss_capacity)
     exact, cells = state_counts_table(path), state_cms_table(path)
+    keep_settings(parsed.sparkSession, f"{path}/state_cms", _cms_settings(cms_params))
+    keep_settings(parsed.sparkSession, f"{path}/heavy", {"mg_capacity": mg_capacity, "ss_capacity": ss_capacity})
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -262,27 +293,24 @@ def run_state(
         mg = misra_gries.build(keys, "key", mg_capacity, weight="n", by="dim")
         ss = space_saving.build(keys, "key", ss_capacity, weight="n", by="dim")
         _carry_on(spark, path, batch_id, mg, ss)
+        commits_table(path).write(spark.createDataFrame([(True,)], "done boolean"), batch_id)
 
     needed = parsed.select("ok", "ip", "endpoint", "status", "ts_received")
     return _start(needed, write, "append", checkpoint, drain, every, None)
 
 
-def current_state(
-    spark: SparkSession,
-    path: str,
-    cms_params: CmsParams | None = None,
-    mg_capacity: int | None = None,
-    ss_capacity: int | None = None,
-) -> State:
-    """The state kept by ``run_state``: to query, to save as a snapshot, or to add to a loaded one."""
-    exact, buckets = counts.split_seconds(state_counts_table(path).current(spark))
-    return State(
-        counts=exact,
-        buckets=buckets,
-        cms=CountMin(state_cms_table(path).current(spark), cms_params or CmsParams()),
-        mg=current_mg(spark, path, mg_capacity),
-        ss=current_ss(spark, path, ss_capacity),
-    )
+def current_state(spark: SparkSession, path: str) -> State:
+    """The state kept by ``run_state``: to query, to save as a snapshot, or to add to a loaded one.
+
+    All its parts are those after one batch, the newest that was written whole. Read it before two more batches are
+    written, or copy it: tables are replaced while the query runs.
+    """
+    upto = commits_table(path).last(spark)
+    exact, buckets = counts.split_seconds(state_counts_table(path).current(spark, upto))
+    mg, ss = _heavy(spark, path, upto)
+    cells = state_cms_table(path).current(spark, upto)
+    sketch = CountMin(cells, CmsParams(**settings_of(spark, f"{path}/state_cms")))
+    return State(counts=exact, buckets=buckets, cms=sketch, mg=mg, ss=ss, fresh=upto < 0)
 
 
 def counts_and_buckets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -301,17 +329,21 @@ def run_report(
     every: str = "1 second",
     state_partitions: int | None = None,
     as_of_newest: bool = False,
+    retention: int | None = None,
 ) -> StreamingQuery:
-    """Keep COUNTS and refresh the exposition text after every batch.
+    """Keep COUNTS and refresh the exposition text and the JSON document after every batch.
 
-    The rate ends now, or at the newest second of the log with ``as_of_newest`` (for a back-fill).
+    The rate ends now, or at the newest second of the log with ``as_of_newest`` (for a back-fill). ``retention`` is the
+    number of seconds that the caller keeps, which must cover ``n``.
     """
+    params.retention(retention, params.report_seconds(n))
 
     def refresh(spark: SparkSession, batch_id: int) -> None:
         kept, buckets = counts_and_buckets(spark, path)
         as_of = last_second(buckets) if as_of_newest else None
         rows = report.metrics_rows(kept, buckets, as_of, k, n)
         report_table(path).write(report.metrics_text(rows, prefix), batch_id)
+        json_table(path).write(report.stats_json(kept, buckets, as_of, k, n), batch_id)
 
     return run_counts(
         parsed,
@@ -328,3 +360,8 @@ def run_report(
 def current_report(spark: SparkSession, path: str) -> DataFrame:
     """The exposition lines (seq, value) after the newest batch."""
     return report_table(path).newest(spark)
+
+
+def current_json(spark: SparkSession, path: str) -> DataFrame:
+    """The JSON document after the newest batch."""
+    return json_table(path).newest(spark)

@@ -74,9 +74,10 @@ class BatchTable:
         newest = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_v"))
         return newest.select(*self.keys, *(F.col(f"_v.{v}").alias(v) for v in values))
 
-    def current(self, spark: SparkSession) -> DataFrame:
-        """The current value of every key."""
-        return self._combined(self._rows(spark, self._folded(spark)))
+    def current(self, spark: SparkSession, upto: int | None = None) -> DataFrame:
+        """The current value of every key, of the batches up to ``upto`` (default: all)."""
+        rows = self._rows(spark, self._folded(spark))
+        return self._combined(rows if upto is None else rows.where(F.col("batch_id") <= upto))
 
     def fold(self, spark: SparkSession, upto: int | None = None) -> int:
         """Start a new generation from the rows of the batches up to ``upto`` (default: all); returns the last in it.
@@ -106,8 +107,8 @@ class SlotTable:
     path: str
     layout: T.StructType
 
-    def _slots(self, spark: SparkSession) -> DataFrame:
-        return _read(spark, self.path, T.StructType([*self.layout.fields, BATCH, T.StructField("mark", T.BooleanType())]))
+    def _read(self, spark: SparkSession, path: str) -> DataFrame:
+        return _read(spark, path, T.StructType([*self.layout.fields, BATCH, T.StructField("mark", T.BooleanType())]))
 
     def write(self, df: DataFrame, batch_id: int) -> None:
         mark = df.sparkSession.range(1).select(
@@ -118,9 +119,29 @@ class SlotTable:
         rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/slot={batch_id % 2}")
 
     def batch(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        rows = self._slots(spark).where((F.col("batch_id") == batch_id) & ~F.col("mark"))
-        return rows.select(*self.layout.fieldNames())
+        slot = self._read(spark, f"{self.path}/slot={batch_id % 2}")
+        return slot.where((F.col("batch_id") == batch_id) & ~F.col("mark")).select(*self.layout.fieldNames())
+
+    def last(self, spark: SparkSession) -> int:
+        """The newest batch; -1 if there is none."""
+        return self._read(spark, self.path).agg(F.coalesce(F.max("batch_id"), F.lit(-1))).first()[0]
 
     def newest(self, spark: SparkSession) -> DataFrame:
-        last = self._slots(spark).agg(F.coalesce(F.max("batch_id"), F.lit(-1))).first()[0]
-        return self.batch(spark, last)
+        return self.batch(spark, self.last(spark))
+
+
+SETTING = T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.LongType())])
+
+
+def keep_settings(spark: SparkSession, path: str, values: dict[str, int]) -> None:
+    """Write the parameters of the tables under ``path`` at the first start; any later start must have the same."""
+    found = settings_of(spark, path)
+    if not found:
+        rows = spark.createDataFrame(list(values.items()), SETTING)
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
+    elif found != values:
+        raise ValueError(f"the tables under {path} were started with {found}, not with {values}")
+
+
+def settings_of(spark: SparkSession, path: str) -> dict[str, int]:
+    return {r["name"]: r["value"] for r in _read(spark, f"{path}/settings", SETTING).collect()}  # a few parameters

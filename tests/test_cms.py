@@ -33,7 +33,7 @@ def test_broadcast_and_shuffle_agree(spark):
     df = spark.createDataFrame([(k,) for k in keys_of(1, 3_000, 300)], "k string")
     sketch = cms.build(df, "k", CmsParams(32, 3))
     probes = spark.createDataFrame([("k1",), ("k1",), ("never",), (None,), ("k250",)], "k string")
-    one, two = cms.estimate(sketch, probes, "k"), cms.estimate(sketch, probes, "k", max_broadcast_cells=0)
+    one, two = cms.estimate(sketch, probes, "k"), cms.estimate(sketch, probes, "k", as_value=False)
     assert sorted(rows(one), key=str) == sorted(rows(two), key=str)
     assert (None, 0) in rows(one) and len(rows(one)) == 5
     assert "Join" not in plan(one) and "CartesianProduct" not in plan(two) and "NestedLoop" not in plan(two)
@@ -43,7 +43,7 @@ def test_empty_sketch(spark):
     sketch = cms.build(spark.createDataFrame([], "k string"), "k")
     probes = spark.createDataFrame([("a",)], "k string")
     assert rows(cms.estimate(sketch, probes, "k")) == [("a", 0)]
-    assert rows(cms.estimate(sketch, probes, "k", max_broadcast_cells=0)) == [("a", 0)]
+    assert rows(cms.estimate(sketch, probes, "k", as_value=False)) == [("a", 0)]
 
 
 def test_weights_equal_repeats(spark):
@@ -70,9 +70,3 @@ def test_seed_moves_the_buckets(spark):
     assert row_set(one) != row_set(two)
     first, second = (row_set(one.where(F.col("row") == r).select("bucket", "n")) for r in (0, 1))
     assert first != second
-
-
-def test_binary_sketch(spark):
-    df = spark.createDataFrame([("a",)], "k string")
-    (got,) = rows(cms.binary_sketch(df, "k").select(F.length("sketch")))
-    assert got[0] > 8 * CmsParams().cells

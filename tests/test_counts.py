@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +51,10 @@ def test_weights(spark):
     negative = spark.createDataFrame([("a", -1)], "k string, w long")
     with pytest.raises(Exception, match="must not be negative"):
         counts.count_by(negative, "k", weight="w").collect()
+    for kind in ("double", "decimal(9,1)", "string"):
+        with pytest.raises(ValueError, match="whole numbers"):
+            counts.count_by(df.withColumn("w", F.lit(0.5).cast(kind)), "k", weight="w")
+    assert row_set(counts.count_by(df.withColumn("w", F.lit(2).cast("decimal(9,0)")), "k", weight="w")) >= {("a", 4)}
 
 
 def test_top_k_ties_and_limits(spark):
@@ -57,6 +63,7 @@ def test_top_k_ties_and_limits(spark):
     assert rows(topk.ranked(topk.top_k(df, "k", 3), "k")) == [(1, "a", 2), (2, "b", 2), (3, "c", 2)]
     many = spark.range(50).select(F.col("id").cast("string").alias("k"))
     assert topk.top_k(many, "k", 0).count() == 10
+    assert topk.top_k(spark.range(20_500).select(F.col("id").alias("k")), "k", 30_000).count() == 20_500
 
 
 def test_top_per_dim(spark):
@@ -75,7 +82,9 @@ def test_plans(spark, tmp_path):
     assert "TakeOrderedAndProject" in top and top.count("Exchange hashpartitioning") == 1
     assert "SinglePartition" not in top
     per_dim = plan(topk.top_per_dim(counts.all_counts(parsed), 5))
-    assert per_dim.count("WindowGroupLimit") == 2
+    # Ranked in parts of a dimension first, so no task gets more than parts x k rows of it.
+    assert per_dim.count("WindowGroupLimit") == 4
+    assert re.search(r"Exchange hashpartitioning\(dim#\d+, _part#\d+", per_dim)
 
 
 def test_parquet_counts_read_one_column(spark, tmp_path):

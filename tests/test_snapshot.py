@@ -84,9 +84,9 @@ def test_empty_state_is_neutral(spark):
 
 def test_resume_needs_equal_parameters(spark):
     with pytest.raises(snapshot.SnapshotError):
-        snapshot.resume(snapshot.empty(spark), snapshot.empty(spark, P))
+        snapshot.resume(state(spark, OLD, cms_params=None), state(spark, NEW))
     with pytest.raises(ValueError):
-        snapshot.resume(snapshot.empty(spark, mg_capacity=2), snapshot.empty(spark))
+        snapshot.resume(state(spark, OLD, mg_capacity=2), state(spark, NEW))
 
 
 def write_commit(spark, path, version, fmt, sections):
@@ -94,15 +94,27 @@ def write_commit(spark, path, version, fmt, sections):
     spark.createDataFrame([row], snapshot.COMMITS).write.parquet(f"{path}/commits")
 
 
-def test_older_versions_have_empty_sections(spark, tmp_path):
+def test_summaries_of_older_versions_are_built_from_counts(spark, tmp_path):
     path = str(tmp_path / "v1")
     full = state(spark, OLD)
     full.counts.where("dim != 'endpoint'").write.parquet(f"{path}/versions/one/counts")
     write_commit(spark, path, "one", 1, ["counts"])
     loaded = snapshot.load(spark, path)
     assert row_set(loaded.counts) == {r for r in row_set(full.counts) if r[0] != "endpoint"}
-    assert rows(loaded.cms.cells) == [] and loaded.cms.params == CmsParams()
-    assert rows(misra_gries.top(loaded.mg, dim="ip")) == [] and rows(space_saving.top(loaded.ss, dim="ip")) == []
+    clients = {k: n for d, k, n in row_set(full.counts) if d == "ip"}
+    assert dict(rows(misra_gries.top(loaded.mg, dim="ip"))) == clients
+    resumed = snapshot.resume(loaded, state(spark, NEW, cms_params=None))
+    exact = resumed.counts.where("dim = 'ip'")
+    found = cms.estimate(resumed.cms, exact, "key")
+    assert found.count() and found.where("est < n").count() == 0 and resumed.cms.params == CmsParams()
+    assert {r[0] for r in rows(space_saving.top(resumed.ss, dim="ip"))} == {r["key"] for r in exact.collect()}
+
+
+def test_first_start_takes_any_parameters(spark, tmp_path):
+    new = state(spark, NEW, cms_params=CmsParams(256, 2), mg_capacity=5, ss_capacity=6)
+    got = snapshot.resume(snapshot.load(spark, str(tmp_path / "none"), missing_ok=True), new)
+    assert (got.cms.params, got.mg.capacity, got.ss.capacity) == (CmsParams(256, 2), 5, 6)
+    assert everything(got) == everything(new)
 
 
 def test_unknown_version_is_an_error(spark, tmp_path):

@@ -163,10 +163,10 @@ def test_sketches(spark, folders):
         drain(runs.run_cms(lines_in, folders.out, folders.checkpoint + "c", p, drain=True, state_partitions=1))
         drain(runs.run_heavy_hitters(lines_in, folders.out, folders.checkpoint + "h", 50, drain=True))
     whole = batch(spark, LOG)
-    assert row_set(runs.current_cms(spark, folders.out, p).cells) == row_set(cms.build(whole.where("ok"), "ip", p).cells)
+    assert row_set(runs.current_cms(spark, folders.out).cells) == row_set(cms.build(whole.where("ok"), "ip", p).cells)
     want = {(d, k, n) for d, k, n in row_set(counts.all_counts(whole)) if d in ("ip", "endpoint")}
-    assert row_set(runs.current_mg(spark, folders.out, 50).rows) == want
-    ss = runs.current_ss(spark, folders.out, 50)
+    assert row_set(runs.current_mg(spark, folders.out).rows) == want
+    ss = runs.current_ss(spark, folders.out)
     assert row_set(ss.rows.select("dim", "key", "n")) == want
     assert rows(space_saving.top(ss, 1, "endpoint"))[0][2:] == (0, rows(space_saving.top(ss, 1, "endpoint"))[0][1])
 
@@ -180,7 +180,7 @@ def test_whole_state_in_one_pass(spark, folders):
     folders.add(["bad", log(3)])
     source = parsed(spark, folders)
     drain(runs.run_state(source, folders.out, folders.checkpoint, p, **sizes, drain=True, fold_every=2))
-    got = runs.current_state(spark, folders.out, p, **sizes)
+    got = runs.current_state(spark, folders.out)
     want = snapshot.build(batch(spark, [*LOG, "bad", log(3)]), p, **sizes)
     assert row_set(got.counts) == row_set(want.counts)
     assert row_set(got.buckets) == row_set(want.buckets)
@@ -190,6 +190,35 @@ def test_whole_state_in_one_pass(spark, folders):
     assert len([f for f in os.listdir(f"{folders.out}/state_counts") if f.startswith("generation=")]) == 2
 
 
+def test_a_restart_with_other_parameters_is_an_error(spark, folders):
+    folders.add(LOG[:20])
+    lines_in = parsed(spark, folders)
+    drain(runs.run_state(lines_in, folders.out, folders.checkpoint, CmsParams(64, 2), 50, 40, drain=True))
+    for p, mg, ss in ((CmsParams(32, 2), 50, 40), (CmsParams(64, 2), 49, 40), (CmsParams(64, 2), 50, 41)):
+        with pytest.raises(ValueError, match="started with"):
+            runs.run_state(lines_in, folders.out, folders.checkpoint, p, mg, ss, drain=True)
+    state = runs.current_state(spark, folders.out)
+    assert (state.cms.params, state.mg.capacity, state.ss.capacity) == (CmsParams(64, 2), 50, 40)
+
+
+def test_readers_see_one_batch_whole(spark, folders, monkeypatch):
+    """The state is read after the counts of a batch were written and before its summaries are."""
+    folders.add(LOG[:100])
+    drain(runs.run_state(parsed(spark, folders), folders.out, folders.checkpoint, drain=True))
+    before = runs.current_state(spark, folders.out)
+    want = [row_set(before.counts), row_set(before.cms.cells), row_set(before.mg.rows), row_set(before.ss.rows)]
+    seen = []
+
+    def stop(*_):
+        found = runs.current_state(spark, folders.out)
+        seen.append([row_set(found.counts), row_set(found.cms.cells), row_set(found.mg.rows), row_set(found.ss.rows)])
+
+    monkeypatch.setattr(runs, "_carry_on", stop)
+    folders.add(LOG[100:])
+    drain(runs.run_state(parsed(spark, folders), folders.out, folders.checkpoint, drain=True))
+    assert seen == [want]
+
+
 def test_replay_after_a_fold(spark, tmp_path):
     """A batch that failed after its first write is folded around and written again."""
     table = runs.state_counts_table(str(tmp_path / "t"))
@@ -234,7 +263,7 @@ class Tail:
         end = self.reader.latestOffset()
         parts = self.reader.partitions(self.offset, end)
         self.offset = end
-        return [line for part in parts for block in read_lines(part) for line in block]
+        return [line for part in parts for block in read_lines(part) for line in block.to_pylist()]
 
 
 def append(path, data: str):
@@ -292,6 +321,49 @@ def test_tail_rotation_by_rename(tmp_path):
     assert tail.poll() == ["5"]
 
 
+def test_tail_file_replaced_by_a_longer_one_with_the_same_inode(tmp_path):
+    path = tmp_path / "a.log"
+    append(path, "oldA\nB\n")
+    tail = Tail(path)
+    assert tail.poll() == ["oldA", "B"]
+    with open(path, "r+b") as f:  # the inode stays, as it may when a file is deleted and written anew
+        f.write(b"newA\nnewB\nnewC\n")
+    assert tail.poll() == ["newA", "newB", "newC"]
+    tail.restart()
+    with open(path, "r+b") as f:
+        f.write(b"third A\nB\nand more of it\n")
+    assert tail.poll() == ["third A", "B", "and more of it"]
+
+
+def test_tail_file_that_goes_on_in_the_middle_of_a_line(tmp_path):
+    path = tmp_path / "a.log"
+    append(path, "same start\nB\n")
+    tail = Tail(path)
+    tail.poll()
+    with open(path, "r+b") as f:
+        f.write(b"same start, but longer lines\nC\n")
+    assert tail.poll() == ["same start, but longer lines", "C"]
+
+
+def test_tail_keeps_bytes_and_rejects_schemes(spark, tmp_path):
+    path = tmp_path / "a.log"
+    with open(path, "wb") as f:
+        f.write(b"a\xff\n\n\xe9\r\n")
+    reader = TailReader({"path": str(path)})
+    (part,) = reader.partitions({}, reader.latestOffset())
+    assert [x.as_buffer().to_pybytes() for block in read_lines(part) for x in block.cast("binary")] == [b"a\xff", b"", b"\xe9\r"]
+    for bad in ("s3a://bucket/a.log", "file:/a.log", "hdfs:a"):
+        with pytest.raises(ValueError):
+            stream_tail(spark, bad)
+
+
+def test_tail_skips_a_file_that_is_gone(tmp_path, monkeypatch):
+    append(tmp_path / "a.log", "1\n")
+    reader = TailReader({"path": str(tmp_path / "*")})
+    monkeypatch.setattr("glob.glob", lambda _: [str(tmp_path / "gone"), str(tmp_path / "a.log")])
+    assert [v["path"] for v in reader.latestOffset().values()] == [str(tmp_path / "a.log")]
+
+
 def test_tail_file_renamed_between_plan_and_read(tmp_path):
     path = tmp_path / "a.log"
     append(path, "1\n")
@@ -299,7 +371,7 @@ def test_tail_file_renamed_between_plan_and_read(tmp_path):
     (part,) = reader.partitions({}, reader.latestOffset())
     os.rename(path, tmp_path / "b.log")
     append(path, "other\n")
-    assert list(read_lines(part)) == [["1"]]
+    assert [block.to_pylist() for block in read_lines(part)] == [["1"]]
     os.truncate(tmp_path / "b.log", 0)
     with pytest.raises(OSError):
         list(read_lines(part))

@@ -45,7 +45,9 @@ def test_rate_rules(spark):
     buckets = windows.per_second(seconds(spark, 0, -1, -2, -400), "ts")
     assert rate(buckets, 0, 0) == 0.0
     assert rate(buckets, 10, 1_000) == 0.0
-    assert rate(buckets, 1_000, 0) == 3 / 1_000  # summed over the 300 retained seconds
+    assert rate(buckets, 1_000, 0) == 4 / 1_000  # the default retention covers the rate
+    with pytest.raises(ValueError):
+        rate(buckets, 1_000, 0, retention=300)
     assert rate(buckets, 1_000, 0, retention=1_000) == 4 / 1_000
     assert rate(buckets, 2, -1) == 1.0  # later seconds do not count
     ((now,),) = rows(windows.rate_last_n(buckets, 60))
@@ -54,6 +56,18 @@ def test_rate_rules(spark):
         windows.rate_last_n(buckets, -1)
 
 
+def test_recent_reaches_the_scan(spark, tmp_path):
+    for kind in ("timestamp", "timestamp_ntz"):
+        path = str(tmp_path / kind)
+        times = [f"2024-01-01 00:00:0{i}.5" for i in range(8)]
+        spark.createDataFrame([(t,) for t in times], "t string").select(F.col("t").cast(kind).alias("ts")).write.parquet(path)
+        table = spark.read.parquet(path)
+        kept = windows.recent(table, "ts", 3, windows.newest(table, "ts"))
+        assert sorted(r[0].second for r in kept.select(F.col("ts").cast("timestamp_ntz")).collect()) == [5, 6, 7]
+        pushed = plan(kept).split("PushedFilters: ")[1]
+        assert "GreaterThanOrEqual(ts" in pushed and "LessThan(ts" in pushed
+
+
 def test_per_second_weights_and_keys(spark):
     df = seconds(spark, 0, 0, 1).withColumn("w", F.lit(2)).withColumn("k", F.col("s") % 2)
     df = df.unionByName(df.limit(1).withColumn("ts", F.lit(None).cast("timestamp")))
