@@ -97,9 +97,28 @@ def _start(
         return writer.start()
 
 
-def _fold_before(table: BatchTable, spark: SparkSession, batch_id: int, fold_every: int | None) -> None:
+def _fold_before(
+    table: BatchTable,
+    spark: SparkSession,
+    batch_id: int,
+    fold_every: int | None,
+    keep: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
     if fold_every and batch_id and batch_id % fold_every == 0:
-        table.fold(spark, upto=batch_id - 1)
+        table.fold(spark, batch_id - 1, keep)
+
+
+def _retained(seconds: int) -> Callable[[DataFrame], DataFrame]:
+    """COUNTS with only the last ``seconds`` of its "second" rows, up to the newest; all of them for 0."""
+
+    def keep(rows: DataFrame) -> DataFrame:
+        if not seconds:
+            return rows
+        second = F.when(F.col("dim") == schema.DIM_SECOND, F.col("key").cast("bigint"))
+        newest = rows.agg(F.max(second)).scalar()
+        return rows.where((F.col("dim") != schema.DIM_SECOND) | (second > newest - seconds))
+
+    return keep
 
 
 def _keep(
@@ -270,21 +289,25 @@ def run_state(
     drain: bool = False,
     every: str = "10 seconds",
     fold_every: int | None = 100,
+    retention: int | None = None,
 ) -> StreamingQuery:
     """Keep the whole state: counts, lines per second, count-min of clients, heavy hitters of clients and endpoints.
 
-    A batch is scanned and counted once; its counts are written as additions, and the summaries are built from them.
+    A batch is scanned and counted once; its counts are written as additions, and the summaries are built from them. With a
+    ``retention`` only so many seconds up to the newest are read, and older ones are left behind by the next fold.
     """
+    retention = 0 if retention is None else params.retention(retention)
     cms_params = cms_params or CmsParams()
     mg_capacity, ss_capacity = params.capacity(mg_capacity), params.capacity(ss_capacity)
     exact, cells = state_counts_table(path), state_cms_table(path)
     keep_settings(parsed.sparkSession, f"{path}/state_cms", _cms_settings(cms_params))
+    keep_settings(parsed.sparkSession, f"{path}/state_counts", {"retention": retention})
     keep_settings(parsed.sparkSession, f"{path}/heavy", {"mg_capacity": mg_capacity, "ss_capacity": ss_capacity})
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        for table in (exact, cells):
-            _fold_before(table, spark, batch_id, fold_every)
+        _fold_before(exact, spark, batch_id, fold_every, _retained(retention))
+        _fold_before(cells, spark, batch_id, fold_every)
         exact.write(counts.all_counts(batch, with_seconds=True), batch_id)
         added = exact.batch(spark, batch_id)
         clients = added.where(F.col("dim") == schema.DIM_IP)
@@ -306,7 +329,8 @@ def current_state(spark: SparkSession, path: str) -> State:
     written, or copy it: tables are replaced while the query runs.
     """
     upto = commits_table(path).last(spark)
-    exact, buckets = counts.split_seconds(state_counts_table(path).current(spark, upto))
+    retention = settings_of(spark, f"{path}/state_counts").get("retention", 0)
+    exact, buckets = counts.split_seconds(_retained(retention)(state_counts_table(path).current(spark, upto)))
     mg, ss = _heavy(spark, path, upto)
     cells = state_cms_table(path).current(spark, upto)
     sketch = CountMin(cells, CmsParams(**settings_of(spark, f"{path}/state_cms")))

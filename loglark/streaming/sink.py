@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -79,9 +80,16 @@ class BatchTable:
         rows = self._rows(spark, self._folded(spark))
         return self._combined(rows if upto is None else rows.where(F.col("batch_id") <= upto))
 
-    def fold(self, spark: SparkSession, upto: int | None = None) -> int:
+    def fold(
+        self,
+        spark: SparkSession,
+        upto: int | None = None,
+        keep: Callable[[DataFrame], DataFrame] | None = None,
+    ) -> int:
         """Start a new generation from the rows of the batches up to ``upto`` (default: all); returns the last in it.
 
+        ``keep`` picks the current rows that go on.
+
         Call it between batches. A running query folds before it writes a batch, and only what came before: a batch that
         is replayed is then always written again.
         """
@@ -92,7 +100,9 @@ class BatchTable:
         last = rows.agg(F.coalesce(F.max("batch_id"), F.lit(folded))).first()[0]
         if last <= folded:
             return folded
-        self._combined(rows).write.mode("overwrite").parquet(f"{self.path}/generation={last + 1}/base")
+        combined = self._combined(rows)
+        combined = combined if keep is None else keep(combined)
+        combined.write.mode("overwrite").parquet(f"{self.path}/generation={last + 1}/base")
         spark.createDataFrame([(last,)], FOLDS).coalesce(1).write.mode("append").parquet(f"{self.path}/folds")
         return last
 

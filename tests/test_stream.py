@@ -201,6 +201,19 @@ def test_a_restart_with_other_parameters_is_an_error(spark, folders):
     assert (state.cms.params, state.mg.capacity, state.ss.capacity) == (CmsParams(64, 2), 50, 40)
 
 
+def test_retention_of_a_stream(spark, folders):
+    for part in ([log(s) for s in range(0, 20)], [log(s) for s in range(15, 30)], [log(30)], [log(31)]):
+        folders.add(part)
+        run = runs.run_state(parsed(spark, folders), folders.out, folders.checkpoint, drain=True, fold_every=2, retention=5)
+        drain(run)
+        got = sorted(s for s, _ in row_set(runs.current_state(spark, folders.out).buckets.select(F.second("sec"), "n")))
+        newest = got[-1]
+        assert got == [s for s in range(newest - 4, newest + 1)]
+    kept = runs.state_counts_table(folders.out).current(spark).where("dim = 'second'").count()
+    assert kept < 32  # the fold before the third batch left the old ones behind
+    assert runs.current_state(spark, folders.out).counts.where("dim = 'total'").first()["n"] == 37
+
+
 def test_readers_see_one_batch_whole(spark, folders, monkeypatch):
     """The state is read after the counts of a batch were written and before its summaries are."""
     folders.add(LOG[:100])
