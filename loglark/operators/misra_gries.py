@@ -53,7 +53,12 @@ def build(
         return summarize(batches, capacity)
 
     partials = _partials.keyed_weights(df, key, weight, by).mapInArrow(partial, schema.MG)
-    return MisraGries(_merged(partials, capacity, by is not None), capacity, by is not None)
+    return from_partials(partials, capacity, by is not None)
+
+
+def from_partials(rows: DataFrame, capacity: int, split: bool) -> MisraGries:
+    """The summary of the rows that tasks have summarized."""
+    return MisraGries(_merged(rows, capacity, split), capacity, split)
 
 
 def merge(*summaries: MisraGries) -> MisraGries:

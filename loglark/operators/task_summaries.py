@@ -39,22 +39,29 @@ def _cut(counters: pa.Table, capacity: int) -> pa.Table:
     return kept.set_column(kept.schema.get_field_index("w"), "w", pa.array(left[keep]))
 
 
-def misra_gries(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
-    """The summary of one task, per dim."""
-    held: dict[str, pa.Table] = {}
-    for sums in batch_sums(batches):
-        sums = sums.rename_columns({"w_sum": "w"})
-        for dim in pc.unique(sums["dim"]).to_pylist():
-            own = sums.filter(pc.equal(sums["dim"], dim)).select(["key", "w"])
-            if dim in held:
-                both = pa.concat_tables([held[dim], own])
-                own = both.group_by("key").aggregate([("w", "sum")]).rename_columns({"w_sum": "w"})
-            held[dim] = _cut(own, capacity)
-    for dim, counters in held.items():
-        dims = pa.array([dim] * counters.num_rows, pa.string())
-        yield from pa.table(
-            {"dim": dims, "key": counters["key"], "n": counters["w"]}
-        ).combine_chunks().to_batches()
+class MisraGries:
+    """One summary while its batches arrive."""
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.held: pa.Table | None = None
+
+    def add(self, keys: pa.ChunkedArray, weights: pa.ChunkedArray) -> None:
+        own = pa.table({"key": keys, "w": weights})
+        if self.held is not None:
+            both = pa.concat_tables([self.held, own]).group_by("key", use_threads=False)
+            own = both.aggregate([("w", "sum")]).rename_columns({"w_sum": "w"})
+        self.held = _cut(own, self.capacity)
+
+    def rows(self, dim: str) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([dim] * self.held.num_rows, pa.string()),
+                self.held["key"].combine_chunks(),
+                self.held["w"].combine_chunks(),
+            ],
+            names=["dim", "key", "n"],
+        )
 
 
 class SpaceSaving:
@@ -104,12 +111,36 @@ class SpaceSaving:
         )
 
 
-def space_saving(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
-    """The summary of one task, per dim."""
-    held: dict[str, SpaceSaving] = {}
+def _per_dim(batches: Iterator[pa.RecordBatch], make) -> dict[str, list]:
+    """The summaries that ``make`` gives for each dim, fed with the sums of each batch."""
+    held: dict[str, list] = {}
     for sums in batch_sums(batches):
         for dim in pc.unique(sums["dim"]).to_pylist():
             own = sums.filter(pc.equal(sums["dim"], dim))
-            held.setdefault(dim, SpaceSaving(capacity)).add(own["key"], own["w_sum"])
-    for dim, summary in held.items():
+            for summary in held.get(dim) or held.setdefault(dim, make()):
+                summary.add(own["key"], own["w_sum"])
+    return held
+
+
+def misra_gries(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
+    """The summary of one task, per dim."""
+    for dim, (summary,) in _per_dim(batches, lambda: [MisraGries(capacity)]).items():
         yield summary.rows(dim)
+
+
+def space_saving(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
+    """The summary of one task, per dim."""
+    for dim, (summary,) in _per_dim(batches, lambda: [SpaceSaving(capacity)]).items():
+        yield summary.rows(dim)
+
+
+def both(batches: Iterator[pa.RecordBatch], mg_capacity: int, ss_capacity: int) -> Iterator[pa.RecordBatch]:
+    """Both summaries of one task, per dim, as rows of the wider one with ``kind`` before them."""
+    made = _per_dim(batches, lambda: [MisraGries(mg_capacity), SpaceSaving(ss_capacity)])
+    for dim, (mg, ss) in made.items():
+        rows = mg.rows(dim)
+        none = [pa.nulls(rows.num_rows, SS_ARROW.field(c).type) for c in ("rank", "err", "floor")]
+        columns = [rows.column(0), none[0], rows.column(1), rows.column(2), none[1], none[2]]
+        for kind, own in (("mg", columns), ("ss", ss.rows(dim).columns)):
+            kinds = pa.array([kind] * len(own[0]), pa.string())
+            yield pa.RecordBatch.from_arrays([kinds, *own], names=["kind", *SS_ARROW.names])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglark.functions import line, text
-from loglark.operators import cms, counts, late, misra_gries, space_saving, topk, windows
+from loglark.operators import cms, counts, heavy_hitters, late, misra_gries, space_saving, topk, windows
 from loglark.operators.parse import parse_logs, rejects
 from loglark.params import CmsParams
 from loglark.plans import report, snapshot
@@ -425,11 +425,10 @@ def ss_merge_bounds(spark, sf):
 
 @query
 def heavy_hitters_per_dim(spark, sf):
-    """Misra-Gries and Space-Saving of clients and endpoints."""
+    """Misra-Gries and Space-Saving of clients and endpoints, from one pass."""
     pairs = counts.fan_out(parsed(spark, sf)).where(F.col("dim").isin("ip", "endpoint"))
-    mg = misra_gries.build(pairs, "key", SMALL, by="dim").rows
-    ss = space_saving.build(pairs, "key", SMALL, by="dim").rows
-    return _checked(mg, ss, pairs.groupBy("dim", "key").agg(F.count("*").alias("n")), SMALL)
+    mg, ss = heavy_hitters.build(pairs, "key", SMALL, SMALL, by="dim")
+    return _checked(mg.rows, ss.rows, pairs.groupBy("dim", "key").agg(F.count("*").alias("n")), SMALL)
 
 
 @query

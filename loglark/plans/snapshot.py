@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loglark import params, schema
-from loglark.operators import cms, counts, misra_gries, space_saving, windows
+from loglark.operators import cms, counts, heavy_hitters, misra_gries, space_saving, windows
 from loglark.operators.cms import CountMin
 from loglark.operators.misra_gries import MisraGries
 from loglark.operators.space_saving import SpaceSaving
@@ -72,11 +72,8 @@ def build(
 def _summaries(exact: DataFrame, cms_params: CmsParams | None, mg_capacity: int | None, ss_capacity: int | None) -> dict:
     keys = exact.where(F.col("dim").isin(schema.DIM_IP, schema.DIM_ENDPOINT))
     clients = exact.where(F.col("dim") == schema.DIM_IP)
-    return {
-        "cms": cms.build(clients, "key", cms_params, weight="n"),
-        "mg": misra_gries.build(keys, "key", mg_capacity, weight="n", by="dim"),
-        "ss": space_saving.build(keys, "key", ss_capacity, weight="n", by="dim"),
-    }
+    mg, ss = heavy_hitters.build(keys, "key", mg_capacity, ss_capacity, weight="n", by="dim")
+    return {"cms": cms.build(clients, "key", cms_params, weight="n"), "mg": mg, "ss": ss}
 
 
 def empty(
@@ -179,7 +176,8 @@ def load(spark: SparkSession, path: str, missing_ok: bool = False) -> State:
     )
     mg_capacity, ss_capacity = params.capacity(head["mg_capacity"]), params.capacity(head["ss_capacity"])
     exact = section("counts", schema.COUNTS)
-    from_counts = _summaries(exact, cms_params, mg_capacity, ss_capacity)
+    old = not {"cms", "mg", "ss"} <= set(head["sections"])
+    from_counts = _summaries(exact, cms_params, mg_capacity, ss_capacity) if old else {}
     stored = {
         "cms": CountMin(section("cms", schema.CMS), cms_params),
         "mg": MisraGries(section("mg", schema.MG), mg_capacity, split=True),

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from loglark import params, schema
-from loglark.operators import cms, counts, misra_gries, space_saving, topk
+from loglark.operators import cms, counts, heavy_hitters, misra_gries, space_saving, topk
 from loglark.operators.cms import CountMin
 from loglark.operators.misra_gries import MisraGries
 from loglark.operators.space_saving import SpaceSaving
@@ -247,14 +247,7 @@ def run_heavy_hitters(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        # Both summaries read the batch; keep it for the second, recomputed where an executor is lost.
-        batch.persist()
-        try:
-            mg = misra_gries.build(batch, "key", capacity, by="dim")
-            ss = space_saving.build(batch, "key", capacity, by="dim")
-            _carry_on(spark, path, batch_id, mg, ss)
-        finally:
-            batch.unpersist()
+        _carry_on(spark, path, batch_id, *heavy_hitters.build(batch, "key", capacity, capacity, by="dim"))
 
     pairs = counts.fan_out(parsed).where(F.col("dim").isin(schema.DIM_IP, schema.DIM_ENDPOINT))
     return _start(pairs, write, "append", checkpoint, drain, every, None)
@@ -313,9 +306,7 @@ def run_state(
         clients = added.where(F.col("dim") == schema.DIM_IP)
         keys = added.where(F.col("dim").isin(schema.DIM_IP, schema.DIM_ENDPOINT))
         cells.write(cms.build(clients, "key", cms_params, weight="n").cells, batch_id)
-        mg = misra_gries.build(keys, "key", mg_capacity, weight="n", by="dim")
-        ss = space_saving.build(keys, "key", ss_capacity, weight="n", by="dim")
-        _carry_on(spark, path, batch_id, mg, ss)
+        _carry_on(spark, path, batch_id, *heavy_hitters.build(keys, "key", mg_capacity, ss_capacity, weight="n", by="dim"))
         commits_table(path).write(spark.createDataFrame([(True,)], "done boolean"), batch_id)
 
     needed = parsed.select("ok", "ip", "endpoint", "status", "ts_received")
