@@ -10,7 +10,7 @@ in the tasks first. Other words go to shards by their hash. A task packs the tok
 row for each shard; a shard builds its trie, looks all its tokens up, and sends back sums for each text, which are added up.
 
 Data that travels is in proportion to the tokens, memory in a task to the tokens of a shard, of which there are
-``spark.sql.shuffle.partitions``. A null text is empty and has the end token only; ids may be null or repeat; without
+``SHARDS_IN_TASK`` times ``spark.sql.shuffle.partitions``. A null text is empty and has the end token only; ids may be null or repeat; without
 training texts the base score is 0 for every text. An empty table gives an empty result. Only the named columns are read.
 """
 
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglark.llm.ngram_trie import IDS, Trie
+from loglark.llm.ngram_trie import IDS, Trie, distinct
 from loglark.llm.text import utf8
 from loglark.session import materialize
 
@@ -34,10 +34,12 @@ from loglark.session import materialize
 HEAD = 1 << 17
 TAIL, END, BEGIN, FIRST_WORD = 0, 1, 2, 3
 #: Tokens and texts packed at once in a task.
-TOKENS_AT_ONCE = 2_000_000
+TOKENS_AT_ONCE = 1_000_000
 TEXTS_AT_ONCE = 1 << 15
+#: Shards that a task works off one after the other, each in a part of the memory.
+SHARDS_IN_TASK = 2
 #: Words that a task remembers the ids of.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 ALPHA = 0.1
 _END_HASH = xxhash.xxh64_intdigest(b"\n")
 _U = np.uint64
@@ -151,7 +153,7 @@ def _pack(vocabulary: Vocabulary, ids: np.ndarray, hashes: np.ndarray, lengths:
     """Rows for one group of texts: ``ids`` and ``hashes`` of their tokens one after the other."""
     n = len(ids)
     shards = vocabulary.shards
-    owner = np.repeat(np.arange(len(lengths)), lengths)
+    owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     head = np.where(ids != TAIL, np.log10(vocabulary.counts[ids] + ALPHA), 0.0)
     known = (ids != TAIL) & (vocabulary.counts[ids] > 0)
     tails = np.bincount(owner, ids == TAIL, len(lengths)).astype(np.int64)
@@ -171,18 +173,19 @@ def _pack(vocabulary: Vocabulary, ids: np.ndarray, hashes: np.ndarray, lengths:
     yield _row(texts % shards, _TEXTS, texts, sink.getvalue().to_pybytes())
 
     first = np.cumsum(lengths) - lengths
-    v = np.empty(n, np.int64)
+    v = np.empty(n, np.int32)
     v[1:] = ids[:-1]
     v[first] = BEGIN
-    u = np.empty(n, np.int64)
+    u = np.empty(n, np.int32)
     u[1:] = v[:-1]
     u[first] = BEGIN
     mark = (owner | np.where(trains, TEXTS_AT_ONCE, 0)[owner]).astype(np.uint16)
     key = (v.astype(np.uint64) << _BITS | u.astype(np.uint64)) << _BITS | ids.astype(np.uint64)
-    order = np.argsort(key)
-    shard = vocabulary.shard_of(v, u)[order]
-    by = np.argsort(shard.astype(np.uint16 if shards < 1 << 16 else np.int64), kind="stable")
+    order = np.argsort(key).astype(np.int32)
+    shard = vocabulary.shard_of(v, u)[order].astype(np.uint16 if shards < 1 << 16 else np.int64)
+    by = np.argsort(shard, kind="stable")
     order, shard = order[by], shard[by]
+    del by
     cuts = np.searchsorted(shard, np.arange(shards + 1))
     for s in range(shards):
         at = order[cuts[s] : cuts[s + 1]]
@@ -235,7 +238,7 @@ def _router(shared):
             nonlocal places, lengths, keys, trains, held, group, hashes, ids, words
             place = np.concatenate(places)
             rows = _pack(
-                vocabulary, np.array(ids, np.int64)[place], np.array(hashes, np.uint64)[place], np.array(lengths),
+                vocabulary, np.array(ids, np.int32)[place], np.array(hashes, np.uint64)[place], np.array(lengths),
                 np.array(trains, bool), keys, group,
             )
             size, out = 0, []
@@ -256,8 +259,8 @@ def _router(shared):
         for batch in batches:
             for key, train, text in zip(*(c.to_pylist() for c in batch.columns)):
                 found = tokens(text)
-                own = np.zeros(len(found) + 1, np.int64)  # the last place is the end token
-                own[:-1] = np.fromiter(map(words.__getitem__, found), np.int64, len(found))
+                own = np.zeros(len(found) + 1, np.int32)  # the last place is the end token
+                own[:-1] = np.fromiter(map(words.__getitem__, found), np.int32, len(found))
                 places.append(own)
                 lengths.append(len(own))
                 keys.append(key)
@@ -297,32 +300,38 @@ def _looker(shared):
 
         def close() -> Iterator[tuple]:
             if triples:
-                key = np.concatenate([k for _, k, _ in triples])
+                asked, back = distinct(np.concatenate([k for _, k, _ in triples]))
+                triples[:] = [(texts, None, mark) for texts, _, mark in triples]  # the keys are in ``asked`` now
                 trains = np.concatenate([m for _, _, m in triples]) >= TEXTS_AT_ONCE
-                asked, back = np.unique(key, return_inverse=True)
-                counts = np.bincount(back, trains, len(asked))
+                counts = np.bincount(back[trains], minlength=len(asked))
                 seen = np.flatnonzero(counts)
                 trigrams, trigram_counts = asked[seen], counts[seen]
+                del seen, counts, trains
                 v = trigrams >> (_BITS * _U(2))
                 own = vocabulary.spread[v.astype(np.int64)] == 1
                 found = [(v << _BITS | (trigrams & _LOW))[own], *(p for p, _ in pairs)]
                 times = [trigram_counts[own], *(t for _, t in pairs)]
-                bigrams, to = np.unique(np.concatenate(found), return_inverse=True)
+                bigrams, to = distinct(np.concatenate(found))
                 bigram_counts = np.bincount(to, np.concatenate(times), len(bigrams))
+                del found, times, to, v, own
                 trie = Trie.build(bigrams, bigram_counts, trigrams, trigram_counts, vocabulary.unigram).mapped()
-                yield from sums(_TRIPLES, triples, trie.log10(asked, unigram)[back])
+                del bigrams, bigram_counts, trigrams, trigram_counts
+                values = trie.log10(asked, unigram).astype(np.float32)
+                del trie, asked
+                yield from sums(_TRIPLES, triples, values[back])
             if rare:
-                word = np.concatenate([h for _, h, _ in rare])
+                asked, back = distinct(np.concatenate([h for _, h, _ in rare]))
                 trains = np.concatenate([m for _, _, m in rare]) >= TEXTS_AT_ONCE
-                asked, back = np.unique(word, return_inverse=True)
-                counts = np.bincount(back, trains, len(asked))
+                counts = np.bincount(back[trains], minlength=len(asked))
                 yield from sums(_RARE, rare, np.log10(counts + ALPHA)[back], (counts > 0)[back])
             pairs.clear()
             triples.clear()
             rare.clear()
 
         for batch in batches:
-            for s, kind, texts, data in zip(*(c.to_pylist() for c in batch.columns)):
+            heads = (batch.column(i).to_pylist() for i in range(3))
+            for s, kind, texts, packed in zip(*heads, batch.column(3)):
+                data = packed.as_py()  # one row at a time, as rows are long
                 if s != shard:
                     for row in close():
                         yield _rows([row])
@@ -414,12 +423,12 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     ``base_score`` sums log10((c + ALPHA) / (N + ALPHA * (V + 1))) over the tokens, ``score`` the model's log10 probabilities.
     """
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     train = F.coalesce(train, F.lit(False))
-    shared = spark.sparkContext.broadcast(vocabulary_of(docs, train, text_col, shards, head))  # ``head`` words at most
+    shared = spark.sparkContext.broadcast(vocabulary_of(docs, train, text_col, SHARDS_IN_TASK * parts, head))  # ``head`` words at most
     rows = docs.select(F.col(id_col).cast("long").alias("id"), train.alias("trains"), utf8(F.col(text_col)).alias("text"))
     routed = rows.mapInArrow(_router(shared), _ROW)
-    dealt = routed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind", "texts")
+    dealt = routed.repartitionById(parts, F.col("shard") % parts).sortWithinPartitions("shard", "kind", "texts")
     summed = dealt.mapInArrow(_looker(shared), _ROW)
-    back = summed.repartition(shards, "texts").sortWithinPartitions("texts", "kind")
+    back = summed.repartition(parts, "texts").sortWithinPartitions("texts", "kind")
     return back.mapInArrow(_gatherer(shared), _RESULT)

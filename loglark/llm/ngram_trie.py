@@ -41,6 +41,23 @@ def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes.astype(np.uint16), book
 
 
+def runs(ascending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values, the place of each row's value among them) of values that ascend."""
+    if not len(ascending):
+        return ascending, np.zeros(0, np.int32)
+    new = np.append(True, ascending[1:] != ascending[:-1])
+    return ascending[new], np.cumsum(new, dtype=np.int32) - np.int32(1)
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for values in any order, in less memory than np.unique takes."""
+    order = np.argsort(values).astype(np.int32)
+    found, at = runs(values[order])
+    back = np.empty(len(values), np.int32)
+    back[order] = at
+    return found, back
+
+
 def smoothed(counts: np.ndarray, group: np.ndarray, groups: int, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(P of each counted word, what each group leaves), given the probability ``lower`` of each word in the shorter context."""
     total = np.bincount(group, counts, groups)
@@ -59,22 +76,27 @@ class Trie:
     def build(cls, bigrams: np.ndarray, bigram_counts: np.ndarray, trigrams: np.ndarray, trigram_counts: np.ndarray,
               unigram: np.ndarray) -> Trie:
         """From sorted distinct keys v * IDS + w and (v * IDS + u) * IDS + w, their counts, and P(w) by word."""
-        contexts, of_word = np.unique(bigrams >> _SHIFT, return_inverse=True)
-        word = (bigrams & _LOW).astype(np.int64)
-        p_word, left = smoothed(bigram_counts, of_word, len(contexts), unigram[word])
-        pairs, of_after = np.unique(trigrams >> _SHIFT, return_inverse=True)  # v * IDS + u
-        of_pair = np.searchsorted(contexts, pairs >> _SHIFT)
+        contexts, of_word = runs(bigrams >> _SHIFT)
+        p_word, left = smoothed(bigram_counts, of_word, len(contexts), unigram[(bigrams & _LOW).astype(np.int32)])
+        pairs, of_after = runs(trigrams >> _SHIFT)  # v * IDS + u
+        of_pair = np.searchsorted(contexts, pairs >> _SHIFT).astype(np.int32)
         shorter = np.searchsorted(bigrams, (trigrams >> (_SHIFT * np.uint64(2))) << _SHIFT | (trigrams & _LOW))
         p_after, left_pair = smoothed(trigram_counts, of_after, len(pairs), p_word[shorter])
+        del shorter
         trie = cls.__new__(cls)
         join = lambda parent, child: parent.astype(np.uint64) << _SHIFT | child
         starts = lambda parent, n: np.searchsorted(parent, np.arange(n + 1)).astype(np.uint64)
-        sequences = (
-            contexts, join(of_word, bigrams & _LOW), join(of_pair, pairs & _LOW), join(of_after, trigrams & _LOW),
-            starts(of_word, len(contexts)), starts(of_pair, len(contexts)), starts(of_after, len(pairs)),
+        sequences = (  # one at a time, as each is as long as the level
+            lambda: contexts,
+            lambda: join(of_word, bigrams & _LOW),
+            lambda: join(of_pair, pairs & _LOW),
+            lambda: join(of_after, trigrams & _LOW),
+            lambda: starts(of_word, len(contexts)),
+            lambda: starts(of_pair, len(contexts)),
+            lambda: starts(of_after, len(pairs)),
         )
         for name, values in zip(cls.LEVELS, sequences):
-            setattr(trie, name, EliasFano.of(values))
+            setattr(trie, name, EliasFano.of(values()))
         for k, values in enumerate((p_word, left, p_after, left_pair)):
             codes, book = quantised(np.log10(values))
             setattr(trie, cls.TABLES[2 * k], codes)
@@ -129,12 +151,10 @@ class Trie:
 
     def log10(self, keys: np.ndarray, unigram: np.ndarray) -> np.ndarray:
         """log10 P(w | u, v) for ascending distinct keys (v * IDS + u) * IDS + w; ``unigram`` holds log10 P(w)."""
-        v, u, w = keys >> (_SHIFT * np.uint64(2)), (keys >> _SHIFT) & _LOW, keys & _LOW
-        heads, of_head = np.unique(v, return_inverse=True)
-        context = self.contexts.find(heads)[of_head]
         # In a node's children words ascend for each history anew, so the shorter contexts are looked up once each.
-        pairs, of_pair = np.unique(v << _SHIFT | w, return_inverse=True)
-        pair_context = self.contexts.find(np.unique(pairs >> _SHIFT))[np.unique(pairs >> _SHIFT, return_inverse=True)[1]]
+        pairs, of_pair = distinct((keys >> (_SHIFT * np.uint64(2))) << _SHIFT | (keys & _LOW))
+        heads, of_head = runs(pairs >> _SHIFT)
+        pair_context = self.contexts.find(heads)[of_head]
         word = self._children(self.words, pair_context, pairs & _LOW)
         shorter = unigram[(pairs & _LOW).astype(np.int64)] + np.where(
             pair_context >= 0, self.left_book[self.left_codes[pair_context]] if len(self.left_codes) else 0.0, 0.0
@@ -142,8 +162,11 @@ class Trie:
         if len(self.word_codes):
             shorter = np.where(word >= 0, self.word_book[self.word_codes[word]], shorter)
         out = shorter[of_pair]
-        history = self._children(self.histories, context, u)
-        after = self._children(self.words_after, history, w)
+        del shorter, word, pair_context, pairs, of_pair
+        contexts, of_context = runs(keys >> _SHIFT)  # v * IDS + u
+        heads, of_head = runs(contexts >> _SHIFT)
+        history = self._children(self.histories, self.contexts.find(heads)[of_head], contexts & _LOW)[of_context]
+        after = self._children(self.words_after, history, keys & _LOW)
         if len(self.history_codes):
             out = np.where(history >= 0, out + self.history_book[self.history_codes[history]], out)
             out = np.where(after >= 0, self.after_book[self.after_codes[after]], out)
