@@ -22,8 +22,8 @@ from loglark.llm.elias_fano import EliasFano
 
 ID_BITS = 18
 IDS = 1 << ID_BITS
-DISCOUNT = 0.5
-PRIOR = 2.0
+DISCOUNT = 0.75
+PRIOR = 8.0
 #: Values in a codebook of log probabilities.
 LEVELS = 4096
 _LOW = np.uint64(IDS - 1)
