@@ -222,9 +222,10 @@ def links(distinct: DataFrame, half: int = HALF, bits: int | None = None) -> Dat
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", half: int = HALF) -> DataFrame:
-    """(id, text_hash, fp, component_id) for every row: fingerprints within ``2 * half`` bits are linked.
+    """(id, text_hash, fp, component_id, root) for every row: fingerprints within ``2 * half`` bits are linked.
 
-    ``component_id`` is the smallest id that can be reached. ``text_hash`` (XXH64 of the text) tells rows of one id apart.
+    ``component_id`` is the smallest id that can be reached, ``root`` the smallest fingerprint, which tells components apart
+    that share that id. ``text_hash`` (XXH64 of the text) tells rows of one id apart.
     """
     rows = materialize(
         docs.select(
@@ -241,8 +242,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     labelled = materialize(labelled, "simhash-labels")
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = labelled.join(least, "root").select("fp", "component_id")
-    return rows.join(of_fp, "fp", "left").select("id", "text_hash", "fp", "component_id")
+    of_fp = labelled.join(least, "root").select("fp", "component_id", "root")
+    return rows.join(of_fp, "fp", "left").select("id", "text_hash", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", half: int = HALF) -> DataFrame:
@@ -250,8 +251,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ha
     marked = near_duplicates(docs, id_col, text_col, half)
     kept = marked.where(F.col("id").eqNullSafe(F.col("component_id")))
     # Rows of one component can share the smallest id: rows of one id with other texts, or repeated rows.
-    key = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("null "), F.col("fp").cast("string")))
-    one = kept.groupBy(key.alias("_key")).agg(
+    one = kept.groupBy("root").agg(
         F.min_by(F.struct("id", "text_hash"), F.struct("text_hash")).alias("_one"), F.count("*").alias("_n")
     )
     id_name, hash_name, n_name = (fresh(docs, c) for c in ("_id", "_hash", "_n"))

@@ -56,8 +56,7 @@ def cluster(rng, n, spread):
 def check_links(spark, values, **options):
     signed = np.array(values, np.uint64).view(np.int64).tolist()
     links = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), **options)
-    for a, b in links.collect():
-        assert ((a ^ b) & (1 << 64) - 1).bit_count() <= 4
+    # A link joins two fingerprints of one component, which need not be near each other: a task sends a spanning forest.
     roots = {r.node: r.root for r in components(links).collect()}
     got = [roots.get(v, v) for v in signed]
     want = plain_components(values)
