@@ -3,7 +3,7 @@
 For each language l the log posterior of a page adds up
 
 - the log likelihood of its visible text: hashed byte n-grams of the training texts, counted by language over all of them;
-- log P(language declared in the markup | l);
+- log P(language declared in the markup | l), the first declaration of the page wherever it stands;
 - log P(address suffix | l): the last label of the host, and a language-like first part of the path;
 - the log of the prior of its host, smoothed by that of its domain, that by its suffix, and that by all pages.
 
@@ -148,7 +148,7 @@ def identify(pages: DataFrame, training: DataFrame, page_id: str = "page_id", ur
     languages = [r[0] for r in found.collect()]
     if len(languages) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages to learn from")
-    markup = F.regexp_extract(F.substring(html, 1, 4096), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]+)", 1)
+    markup = F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]+)", 1)
     host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     part = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([a-zA-Z]{2})(?:[/?#-]|$)", 1))
     labels = F.split(host, r"\.")

@@ -108,6 +108,16 @@ def test_posterior_against_a_plain_version(spark, tables):
         assert a[:2] == b[:2] and math.isclose(a[2], b[2], rel_tol=1e-6, abs_tol=1e-9)
 
 
+def test_declaration_after_much_else(spark, tables):
+    """A long comment before the tag, and a tag across the 4 096th character."""
+    _, training, _, _ = tables
+    tag = '<html class="no-js" lang="de">'
+    rows = [(1, f"<!-- {'licence ' * 625}-->{tag}"), (2, " " * 4080 + tag), (3, "<!doctype html>\n" * 20_000 + tag), (4, " " * 5000)]
+    pages = spark.createDataFrame([(i, None, h) for i, h in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.declared for r in language.identify(pages, training).collect()}
+    assert got == {1: "de", 2: "de", 3: "de", 4: None}
+
+
 def test_nothing_to_learn_from_and_empty_tables(tables):
     pages, training, rows, _ = tables
     got = language.identify(pages, training.where("lang IS NULL"))
