@@ -6,7 +6,7 @@ The trie hangs on the word v just before the predicted word w, then on the word
     v -> u -> w  log10 P(w | u, v)          v           how much v leaves to P(w)
 
 The children of a node are stored behind those of the node before it, as ``place of the parent * IDS + word``. That is
-relative to the context, and ascends over the whole level, so a level is one Elias-Fano sequence and a child is found by one
+relative to the context (IDS is two to the number of bits that the words of this trie need), and ascends over the whole level, so a level is one Elias-Fano sequence and a child is found by one
 search for its successor. Pointers say where the children of each node start.
 
 Smoothing takes ``DISCOUNT`` off each count and gives that, with ``PRIOR`` more, to the next shorter context.
@@ -26,8 +26,6 @@ DISCOUNT = 0.75
 PRIOR = 8.0
 #: Values in a codebook of log probabilities.
 LEVELS = 4096
-_LOW = np.uint64(IDS - 1)
-_SHIFT = np.uint64(ID_BITS)
 
 
 def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,25 +70,35 @@ class Trie:
     LEVELS = ("contexts", "words", "histories", "words_after", "word_pointers", "history_pointers", "after_pointers")
     TABLES = ("word_codes", "word_book", "left_codes", "left_book", "after_codes", "after_book", "history_codes", "history_book")
 
+    @property
+    def _shift(self) -> np.uint64:
+        return np.uint64(self.bits)
+
+    @property
+    def _low(self) -> np.uint64:
+        return np.uint64((1 << self.bits) - 1)
+
     @classmethod
     def build(cls, bigrams: np.ndarray, bigram_counts: np.ndarray, trigrams: np.ndarray, trigram_counts: np.ndarray,
-              unigram: np.ndarray) -> Trie:
-        """From sorted distinct keys v * IDS + w and (v * IDS + u) * IDS + w, their counts, and P(w) by word."""
-        contexts, of_word = runs(bigrams >> _SHIFT)
-        p_word, left = smoothed(bigram_counts, of_word, len(contexts), unigram[(bigrams & _LOW).astype(np.int32)])
-        pairs, of_after = runs(trigrams >> _SHIFT)  # v * IDS + u
-        of_pair = np.searchsorted(contexts, pairs >> _SHIFT).astype(np.int32)
-        shorter = np.searchsorted(bigrams, (trigrams >> (_SHIFT * np.uint64(2))) << _SHIFT | (trigrams & _LOW))
+              unigram: np.ndarray, bits: int = ID_BITS) -> Trie:
+        """From sorted distinct keys v * IDS + w and (v * IDS + u) * IDS + w, their counts, and P(w) by word; IDS is 2 ** bits."""
+        trie = cls.__new__(cls)
+        trie.bits = bits
+        shift, low = trie._shift, trie._low
+        contexts, of_word = runs(bigrams >> shift)
+        p_word, left = smoothed(bigram_counts, of_word, len(contexts), unigram[(bigrams & low).astype(np.int32)])
+        pairs, of_after = runs(trigrams >> shift)  # v * IDS + u
+        of_pair = np.searchsorted(contexts, pairs >> shift).astype(np.int32)
+        shorter = np.searchsorted(bigrams, (trigrams >> (shift * np.uint64(2))) << shift | (trigrams & low))
         p_after, left_pair = smoothed(trigram_counts, of_after, len(pairs), p_word[shorter])
         del shorter
-        trie = cls.__new__(cls)
-        join = lambda parent, child: parent.astype(np.uint64) << _SHIFT | child
+        join = lambda parent, child: parent.astype(np.uint64) << shift | child
         starts = lambda parent, n: np.searchsorted(parent, np.arange(n + 1)).astype(np.uint64)
         sequences = (  # one at a time, as each is as long as the level
             lambda: contexts,
-            lambda: join(of_word, bigrams & _LOW),
-            lambda: join(of_pair, pairs & _LOW),
-            lambda: join(of_after, trigrams & _LOW),
+            lambda: join(of_word, bigrams & low),
+            lambda: join(of_pair, pairs & low),
+            lambda: join(of_after, trigrams & low),
             lambda: starts(of_word, len(contexts)),
             lambda: starts(of_pair, len(contexts)),
             lambda: starts(of_after, len(pairs)),
@@ -106,13 +114,13 @@ class Trie:
     def packed(self) -> bytes:
         """All arrays behind a table of their types and lengths, each aligned to eight bytes."""
         arrays = [a for name in self.LEVELS for a in getattr(self, name).parts] + [getattr(self, t) for t in self.TABLES]
-        table = np.array([[len(arrays), 0]] + [[ord(a.dtype.char), len(a)] for a in arrays], np.uint64)
+        table = np.array([[len(arrays), self.bits]] + [[ord(a.dtype.char), len(a)] for a in arrays], np.uint64)
         return table.tobytes() + b"".join(a.tobytes() + bytes(-a.nbytes % 8) for a in arrays)
 
     @classmethod
     def over(cls, buffer) -> Trie:
         """A trie over a stored one: a mapped file, mapped memory or bytes. Nothing is copied."""
-        n = int(np.frombuffer(buffer, np.uint64, 1)[0])
+        n, bits = np.frombuffer(buffer, np.uint64, 2).tolist()
         table = np.frombuffer(buffer, np.uint64, 2 * n + 2).reshape(-1, 2)[1:]
         at, arrays = 16 * (n + 1), []
         for kind, length in table.tolist():
@@ -120,6 +128,7 @@ class Trie:
             arrays.append(array)
             at += array.nbytes + (-array.nbytes % 8)
         trie = cls.__new__(cls)
+        trie.bits = bits
         for k, name in enumerate(cls.LEVELS):
             setattr(trie, name, EliasFano.from_parts(arrays[5 * k : 5 * k + 5]))
         for name, array in zip(cls.TABLES, arrays[5 * len(cls.LEVELS) :]):
@@ -139,34 +148,34 @@ class Trie:
         out = []
         for level, pointers in ((self.words, self.word_pointers), (self.histories, self.history_pointers)):
             start, stop = pointers.values(np.array([at, at + 1])).astype(np.int64) if at >= 0 else (0, 0)
-            out.append(level.values(np.arange(start, stop)) & _LOW)
+            out.append(level.values(np.arange(start, stop)) & self._low)
         return out[0], out[1]
 
     def _children(self, level: EliasFano, parents: np.ndarray, child: np.ndarray) -> np.ndarray:
         """Places of the children in ``level``, -1 for none. Rows ascend by (parent, child), rows without a parent aside."""
         found = np.full(len(parents), -1, np.int64)
         known = parents >= 0
-        found[known] = level.find(parents[known].astype(np.uint64) << _SHIFT | child[known])
+        found[known] = level.find(parents[known].astype(np.uint64) << self._shift | child[known])
         return found
 
     def log10(self, keys: np.ndarray, unigram: np.ndarray) -> np.ndarray:
         """log10 P(w | u, v) for ascending distinct keys (v * IDS + u) * IDS + w; ``unigram`` holds log10 P(w)."""
         # In a node's children words ascend for each history anew, so the shorter contexts are looked up once each.
-        pairs, of_pair = distinct((keys >> (_SHIFT * np.uint64(2))) << _SHIFT | (keys & _LOW))
-        heads, of_head = runs(pairs >> _SHIFT)
+        pairs, of_pair = distinct((keys >> (self._shift * np.uint64(2))) << self._shift | (keys & self._low))
+        heads, of_head = runs(pairs >> self._shift)
         pair_context = self.contexts.find(heads)[of_head]
-        word = self._children(self.words, pair_context, pairs & _LOW)
-        shorter = unigram[(pairs & _LOW).astype(np.int64)] + np.where(
+        word = self._children(self.words, pair_context, pairs & self._low)
+        shorter = unigram[(pairs & self._low).astype(np.int64)] + np.where(
             pair_context >= 0, self.left_book[self.left_codes[pair_context]] if len(self.left_codes) else 0.0, 0.0
         )
         if len(self.word_codes):
             shorter = np.where(word >= 0, self.word_book[self.word_codes[word]], shorter)
         out = shorter[of_pair]
         del shorter, word, pair_context, pairs, of_pair
-        contexts, of_context = runs(keys >> _SHIFT)  # v * IDS + u
-        heads, of_head = runs(contexts >> _SHIFT)
-        history = self._children(self.histories, self.contexts.find(heads)[of_head], contexts & _LOW)[of_context]
-        after = self._children(self.words_after, history, keys & _LOW)
+        contexts, of_context = runs(keys >> self._shift)  # v * IDS + u
+        heads, of_head = runs(contexts >> self._shift)
+        history = self._children(self.histories, self.contexts.find(heads)[of_head], contexts & self._low)[of_context]
+        after = self._children(self.words_after, history, keys & self._low)
         if len(self.history_codes):
             out = np.where(history >= 0, out + self.history_book[self.history_codes[history]], out)
             out = np.where(after >= 0, self.after_book[self.after_codes[after]], out)

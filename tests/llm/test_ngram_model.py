@@ -101,6 +101,54 @@ def test_rare_words_share_a_class(docs):
     assert sum(r.score for r in few.values()) > sum(r.base_score for r in few.values())
 
 
+@pytest.mark.parametrize("most", [None, 90])
+def test_scores_match_a_plain_model_with_more_words_than_ids(spark, docs, monkeypatch, most):
+    """Most words have no broadcast id; in the second run shards are also cut into parts, and rows are short."""
+    monkeypatch.setattr(ngram_model, "TOKENS_AT_ONCE", 500)
+    if most:
+        monkeypatch.setattr(ngram_model, "MOST_IDS", most)
+        monkeypatch.setattr(ngram_model, "TOKENS_IN_ROW", 7)
+        monkeypatch.setattr(ngram_model, "SHARDS_IN_TASK", 1)
+    rng = random.Random(17)
+    names = ["the", "a", "of", *(f"w{k}" for k in range(200))]
+    rows = [(i, " ".join(rng.choices(names, [30, 10, 5, *([1] * 200)], k=rng.randint(0, 6)) * 3)) for i in range(60 if most else 200)]
+    rows += [(1000, "never-seen THE never-seen"), (1001, None)]
+    train = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 10}
+    tokens = lambda t: (t or "").lower().split() + ["</s>"]
+    plain = Plain([tokens(t) for i, t in rows if i in train])
+    got = ngram_model.score(docs(*rows).repartition(3), fold_of(F.col("doc_id"), 10) != 0, head=3).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want, u, v = 0.0, "<s>", "<s>"
+        for w in tokens(dict(rows)[r.id]):
+            want += math.log10(plain.p(u, v, w))
+            u, v = v, w
+        assert r.score == pytest.approx(want, rel=0.01, abs=0.05)
+
+
+def test_parts_of_a_shard_keep_each_context_whole(monkeypatch):
+    rng = np.random.default_rng(18)
+    words = np.unique(rng.integers(0, 1 << 60, 200, dtype=np.uint64))
+    base, bits = 5, ngram_model._BITS
+    v, u, w = rng.integers(2, base + len(words), (3, 300)).astype(np.uint64)
+    mark = np.arange(300, dtype=np.uint16)
+    part = (7, words, (v << bits | u) << bits | w, mark)
+    name = lambda own, x: int(x) if x < base else int(own[int(x) - base])
+    want = {int(m): tuple(name(words, x[m]) for x in (v, u, w)) for m in mark}
+    monkeypatch.setattr(ngram_model, "MOST_IDS", 60)
+    got, seen = {}, []
+    for own, parts, _ in ngram_model._shard_parts([part], [], base):
+        assert base + len(own) <= 60
+        for _, mine, key, marks in parts:
+            columns = key >> bits * np.uint64(2), key >> bits & ngram_model._LOW, key & ngram_model._LOW
+            got |= {int(m): tuple(name(mine, x[k]) for x in columns) for k, m in enumerate(marks)}
+            seen.append({name(mine, x) for x in columns[0]})
+    assert got == want and len(seen) > 3 and sum(map(len, seen)) == len(set().union(*seen))
+    monkeypatch.setattr(ngram_model, "MOST_IDS", 6)
+    with pytest.raises(ValueError, match="shuffle.partitions"):
+        list(ngram_model._shard_parts([part], [], base))
+
+
 def test_probabilities_add_up_to_one():
     rng = np.random.default_rng(15)
     keys = np.sort(rng.integers(0, 6, (400, 3)), axis=0)
