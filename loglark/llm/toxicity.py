@@ -128,13 +128,16 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, chosen: n
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (text, label, sampled): the sampled texts, and the counts of this task in blocks of buckets."""
+    """From (text, label, sampled): the sampled texts (block -1), how many texts there are of each label (block -2), and the
+    counts of this task in blocks of buckets."""
     counts = np.zeros((2, BUCKETS), np.int64)
+    number = np.zeros(2, np.int64)
     seen = np.zeros(BUCKETS, bool)
     for batch in batches:
         texts = []
         for text, label, sampled in zip(*(c.to_pylist() for c in batch.columns)):
             counts[label, features(text, seen)] += 1
+            number[label] += 1
             if sampled:
                 texts.append((text, label))
         if texts:
@@ -143,7 +146,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array([-1] * len(text), pa.int32()), pa.array(text, pa.binary()), pa.array(label, pa.int32())],
                 names=["block", "data", "label"],
             )
-    if counts.any():
+    if number.any():
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([-2] * 2, pa.int32()), pa.array([n.tobytes() for n in number], pa.binary()), pa.array([0, 1], pa.int32())],
+            names=["block", "data", "label"],
+        )
         parts = counts.reshape(2, _BLOCKS, -1)
         yield pa.RecordBatch.from_arrays(
             [
@@ -170,7 +177,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (block, label) != key:
                 if key is not None:
                     yield row()
-                key, total = (block, label), np.zeros(BUCKETS // _BLOCKS, np.int64)
+                key, total = (block, label), np.zeros(len(data) // 8, np.int64)
             total += np.frombuffer(data, np.int64)
     if key is not None:
         yield row()
@@ -181,25 +188,29 @@ _PACKED = "block int, data binary, label int"
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
           folds: int = FOLDS, sample: int = SAMPLE, weighed: int = WEIGHED) -> Model:
-    """The model from the labelled texts outside fold 0."""
+    """The model from the labelled texts outside fold 0. Labels without a text are neither drawn nor counted."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold_of(F.col(id_col), folds) != 0))
     known = known.groupBy(F.col(id_col).alias("_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("_label"))
+    known = known.join(docs.select(F.col(id_col).alias("_id")).distinct(), "_id", "left_semi")
     known = materialize(known, "toxic-labels")
     every = max(1, known.count())
     draw = F.pmod(F.xxhash64("_id"), F.lit(1 << 30))
     known = known.where(draw < int(min(1.0, sample / every) * (1 << 30)))
-    by_label = {r[0]: r[1] for r in known.groupBy("_label").count().collect()}  # two rows at most
     drawn = draw < int(min(1.0, weighed / every) * (1 << 30))
     texts = docs.select(F.col(id_col).alias("_id"), utf8(F.col(text_col)).alias("_text"))
     texts = texts.where(fold_of(F.col("_id"), folds) != 0).join(F.broadcast(known), "_id")  # ``sample`` ids
     counted = texts.select("_text", "_label", drawn.alias("_drawn")).mapInArrow(_count, _PACKED)
     counted = materialize(counted, "toxic-counts")
-    added = counted.where("block >= 0").repartition("block").sortWithinPartitions("block", "label").mapInArrow(_add, _PACKED)
+    added = counted.where("block <> -1").repartition("block").sortWithinPartitions("block", "label").mapInArrow(_add, _PACKED)
     counts = np.zeros((2, BUCKETS), np.int64)
     width = BUCKETS // _BLOCKS
-    for row in added.collect():  # BUCKETS counts of each label
+    number = [0, 0]
+    for row in added.collect():  # BUCKETS counts of each label, and how many texts it has
+        if row.block < 0:
+            number[row.label] = int(np.frombuffer(row.data, np.int64)[0])
+            continue
         counts[row.label, row.block * width : (row.block + 1) * width] = np.frombuffer(row.data, np.int64)
-    n_neg, n_pos = by_label.get(0, 0), by_label.get(1, 0)
+    n_neg, n_pos = number
     if not n_neg or not n_pos:  # nothing to tell apart
         return Model(np.zeros(BUCKETS), 500.0 if n_pos else -500.0)
     chosen = select(counts[1], counts[0], n_pos, n_neg)

@@ -73,6 +73,15 @@ def test_held_out_labels_do_not_train(spark, corpus):
     assert all(np.array_equal(x, y) for x, y in zip(a.tables, b.tables)) and a.intercept == b.intercept
 
 
+@pytest.mark.parametrize("sample", [80, 40_000])
+def test_labels_without_a_text_change_nothing(spark, corpus, sample):
+    docs, labels, _ = corpus
+    own = labels.select("doc_id", "toxic")
+    more = spark.range(100_000, 101_000).selectExpr("id AS doc_id", "CAST(1 AS INT) AS toxic")
+    a, b = (toxicity.train(docs, x, sample=sample) for x in (own, own.union(more)))
+    assert a.weights.any() and np.allclose(a.weights, b.weights) and a.intercept == pytest.approx(b.intercept)
+
+
 def test_ngrams_are_those_of_the_text(monkeypatch):
     seen = np.zeros(toxicity.BUCKETS, bool)
     whole = toxicity.features(("Some  Text\n" * 300).encode(), seen)
