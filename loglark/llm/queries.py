@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglark.llm import chat, decontaminate, fingerprints, language, mix, ngram_model, quality, simhash, toxicity, warc
+from loglark.llm import chat, decontaminate, fingerprints, language, mix, ngram_model, pieces, quality, simhash, toxicity, warc
 from loglark.llm.text import fold_of, table
 from loglark.session import scratch_path
 
@@ -109,6 +109,21 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    if model is None:
+        import public_tokenizers
+
+        model = public_tokenizers.path("piece_bpe_32k.model")
+    content = pieces.model_bytes(model)
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), content)
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2(pieces.decode(F.col("ids"), content), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
@@ -120,4 +135,5 @@ QUERIES = {
     "op8_ngram_model": op8_ngram_model,
     "op9_quality": op9_quality,
     "op10_chat": op10_chat,
+    "op11_pieces": op11_pieces,
 }
