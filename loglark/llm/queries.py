@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglark.llm import chat, decontaminate, fingerprints, language, mix, ngram_model, pieces, quality, simhash, toxicity, warc
+from loglark.llm import chat, decontaminate, fingerprints, language, mix, ngram_model, pieces, quality, simhash, toxicity, warc, whitening
 from loglark.llm.text import fold_of, table
 from loglark.session import scratch_path
 
@@ -124,6 +124,25 @@ def op11_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> D
     )
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whole_numbers(table(spark, sf_dir, "embeddings"))
+    model = whitening.fit(rows)
+    names = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
+    if model is None or not len(model.values):
+        return spark.createDataFrame([], names)
+    each = whitening.whiten(rows, model).select("id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    explained = F.array(*(F.lit(float(e / model.trace)) for e in model.values))
+    return each.select(
+        F.col("id").alias("vec_id"),
+        (F.col("at") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        F.col("deviation").try_cast("long").alias("deviation"),
+        "whitened",
+        F.get(explained, F.col("at")).alias("explained"),
+        F.lit(model.identity_error).alias("identity_error"),
+    )
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
@@ -136,4 +155,5 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_chat": op10_chat,
     "op11_pieces": op11_pieces,
+    "op12_whitening": op12_whitening,
 }
