@@ -63,3 +63,43 @@ FROM p LEFT JOIN f USING (payload_digest)
 """
 
 ORACLES["op2_warc"] = OP2
+
+OP13 = """
+WITH c AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+                       ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), digits AS (
+  SELECT conv_id, own, conv_id - conv_id % 100 AS base,
+         list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1),
+                        lambda i: CAST(ascii(substr(CAST(conv_id AS VARCHAR), i, 1)) AS UBIGINT)) AS bytes
+  FROM c
+), h AS (
+  SELECT conv_id, own, base, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), bytes), lambda crc, b:
+    list_reduce(list_prepend(xor(crc, b), CAST(range(8) AS UBIGINT[])), lambda x, k:
+      xor(x >> 1, (x & 1) * CAST(3988292384 AS UBIGINT)))), CAST(4294967295 AS UBIGINT)) % 6 AS BIGINT) AS h
+  FROM digits
+), b AS (
+  SELECT h.conv_id, list_concat(coalesce(c.own, h.own[1:0])[1:h.h], h.own[h.h + 1:]) AS turns
+  FROM h LEFT JOIN c ON c.conv_id = h.base
+), p AS (
+  SELECT conv_id, d, turns[1:d] AS pre, len(turns) AS n, CASE WHEN d > 0 THEN length(turns[d].text) ELSE 0 END AS chars
+  FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM b)
+), nodes AS (
+  SELECT pre, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+         string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d) AS ends
+  FROM p GROUP BY pre, d
+), kids AS (
+  SELECT pre[1:d - 1] AS pre, count(*) AS k FROM nodes WHERE d > 0 GROUP BY ALL
+), up AS (
+  SELECT pre[1:a] AS pre, sum(cost) AS saved, count(*) FILTER (k IS NULL) AS leaves
+  FROM (SELECT pre, (n_convs - 1) * chars AS cost, k, unnest(range(0, d + 1)) AS a FROM nodes LEFT JOIN kids USING (pre))
+  GROUP BY ALL
+)
+SELECT n.conv_id, n.d AS depth, parent.conv_id AS parent_conv_id, n.n_convs, coalesce(k, 0) AS n_children,
+       leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM nodes n JOIN up USING (pre) LEFT JOIN kids USING (pre)
+LEFT JOIN nodes parent ON n.d > 0 AND parent.pre = n.pre[1:n.d - 1]
+"""
+
+ORACLES["op13_prefix_trie"] = OP13

@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglark.llm import chat, decontaminate, fingerprints, language, mix, ngram_model, pieces, quality, simhash, toxicity, warc, whitening
+from loglark.llm import (
+    chat,
+    decontaminate,
+    fingerprints,
+    language,
+    mix,
+    ngram_model,
+    pieces,
+    prefix_trie,
+    quality,
+    simhash,
+    toxicity,
+    warc,
+    whitening,
+)
 from loglark.llm.text import fold_of, table
 from loglark.session import scratch_path
 
@@ -143,6 +157,17 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The first turns that conversations take over from the first of their hundred: fewer than this.
+SHARED = 6
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = prefix_trie.sequences(table(spark, sf_dir, "conversations"))
+    conv = F.col("conv_id")
+    rebuilt = prefix_trie.with_shared_starts(rows, fold_of(conv, SHARED), conv - conv % 100, SHARED - 1)
+    return prefix_trie.nodes(rebuilt).withColumnRenamed("saved_chars", "saved_tokens")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
@@ -156,4 +181,5 @@ QUERIES = {
     "op10_chat": op10_chat,
     "op11_pieces": op11_pieces,
     "op12_whitening": op12_whitening,
+    "op13_prefix_trie": op13_prefix_trie,
 }
