@@ -34,12 +34,12 @@ def test_like_the_library(spark, model):
     texts += texts[:50]  # repeated rows
     rows = [(i % 700, t, "i", 1, 2) for i, t in enumerate(texts)] + [(None, "a null id", "", 0, 0)]
     sp = spm.SentencePieceProcessor(model_proto=model)
-    out = encoded(spark, model, rows)
-    out = out.select("doc_id", "ids", pieces.decode(out.ids, model).alias("back"))
+    out = encoded(spark, model, rows, decoded="own")
+    out = out.select("doc_id", "ids", "own", pieces.decode(out.ids, model).alias("back"))
     want = sorted(((r[0], sp.encode(r[1] or "")) for r in rows), key=repr)
     got = out.collect()
     assert sorted(((r.doc_id, r.ids) for r in got), key=repr) == want
-    assert all(r.back == sp.decode(r.ids) for r in got)
+    assert all(r.own == r.back == sp.decode(r.ids) for r in got)
 
 
 def test_blocks_of_any_size_give_the_same_ids(spark, model, monkeypatch):
@@ -67,11 +67,12 @@ def test_each_distinct_word_is_segmented_once(model, monkeypatch):
 
     real = pieces._processor(model)
     monkeypatch.setattr(pieces, "_processor", lambda _: Counting(real))
-    batch = pa.RecordBatch.from_pydict({"bucket": [3, 3, 4], "block": [1, 2, 1], "first": [0, 0, 2],
-                                        "words": ["▁a ▁b ▁", "▁b ▁c", "▁d"]})
-    (out,) = pieces._segment(iter([batch]), model)
+    words = ["▁a ▁b ▁".encode(), "▁b ▁c".encode(), "▁d".encode()]
+    batch = pa.RecordBatch.from_pydict({"bucket": [3, 3, 4], "block": [1, 2, 1], "n": [len(w) for w in words],
+                                        "packed": [pa.compress(w, codec="zstd", asbytes=True) for w in words]})
+    out = [r for b in pieces._segment(iter([batch]), model) for r in b.to_pylist()]
     assert sorted(asked) == ["", "a", "b", "c", "d"]
-    assert out.column("lens").to_pylist() == [[1, 1, 1], [1, 1], [1]]
+    assert [pieces._unpacked(r["lens"], r["n_words"]).tolist() for r in out] == [[1, 1, 1], [1, 1], [1]]
 
 
 def test_other_models_take_whole_texts(spark, model, monkeypatch):
