@@ -89,6 +89,22 @@ def from_partials(rows: DataFrame, capacity: int, split: bool) -> SpaceSaving:
     return SpaceSaving(_merged(rows, capacity, split), capacity, split)
 
 
+def from_parts(rows: DataFrame, capacity: int) -> SpaceSaving:
+    """The summary of (dim, key, n, err, floor) rows of summaries whose keys are apart, each with at most ``capacity`` counters.
+
+    A key is then counted in one part alone, and the floors of the other parts do not concern it. The first key cut off
+    bounds all others that are; one that its own part has cut off is bounded by the floor of that part.
+    """
+    best = _partials.best_per_dim(rows, [F.desc("n"), F.asc("key")], capacity + 1, True)
+    whole = Window.partitionBy("dim")
+    first_cut = F.max(F.when(F.col("_r") == capacity + 1, F.col("n"))).over(whole)
+    # A floor is at most the least count of its part, so those of parts with no row among the best are below the first cut.
+    floor = F.greatest(F.coalesce(first_cut, F.lit(0).cast("bigint")), F.max("floor").over(whole))
+    kept = best.withColumn("_floor", floor).where(F.col("_r") <= capacity)
+    found = kept.select("dim", F.col("_r").alias("rank"), "key", "n", "err", F.col("_floor").alias("floor"))
+    return SpaceSaving(found, capacity, True)
+
+
 def merge(*summaries: SpaceSaving) -> SpaceSaving:
     """Summary of the union of the inputs. All capacities must agree."""
     first = summaries[0]

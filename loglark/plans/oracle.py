@@ -327,6 +327,13 @@ ORACLES: dict[str, str] = {
     "stream_tail_counts": ALL_COUNTS,
     "stream_restart": ALL_COUNTS,
     "stream_top_ips": f"WITH {PARSED} SELECT ip AS key, n FROM ({_top('ip', 10)})",
+    "stream_top_incremental": f"""
+        WITH {COUNTS}
+        SELECT dim, cast(row_number() OVER (PARTITION BY dim ORDER BY n DESC, key) AS integer) AS rank, key, n
+        FROM counts WHERE dim IN ('ip', 'endpoint') QUALIFY rank <= 10""",
+    "stream_window_retention": f"""
+        WITH {PARSED}, seconds AS ({SECONDS}) SELECT sec, n FROM seconds
+        WHERE sec > (SELECT max(sec) FROM seconds) - INTERVAL {7 * DAY} SECOND""",
     "stream_rate": f"WITH {PARSED}, buckets AS ({SECONDS}) {_series('buckets')}",
     "stream_late_drop": f"""
         WITH {PARSED} SELECT sec, count(*) AS n FROM good WHERE ts >= TIMESTAMP '{SPLIT}' GROUP BY sec""",

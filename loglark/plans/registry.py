@@ -691,8 +691,8 @@ def stream_restart(spark, sf):
     for part in _parts(spark, sf):
         _add_files(part, folder)
         _drain(runs.run_counts(_stream(spark, folder), out, checkpoint, drain=True, state_partitions=_width(spark)))
-    runs.counts_table(out).fold(spark)
-    return runs.current_counts(spark, out)
+    runs.compact_counts(spark, out, f"{out}-compact")
+    return runs.current_counts(spark, f"{out}-compact")
 
 
 @query
@@ -703,6 +703,31 @@ def stream_top_ips(spark, sf):
     return runs.current_top(spark, out, "ip", 10)
 
 
+@query
+def stream_top_incremental(spark, sf):
+    """Heads kept from batch to batch, of several batches in two runs: each reads the heads before it and its own rows."""
+    folder, out, checkpoint = _folders(spark, "stream")
+    for part in _parts(spark, sf):
+        for half in part.randomSplit([0.5, 0.5], 7):
+            _add_files(half.coalesce(1), folder)
+        lines = parse_logs(stream_logs(spark, folder, max_files=1), event_clock=True)
+        _drain(runs.run_top(lines, out, checkpoint, 10, drain=True, state_partitions=_width(spark)))
+    return topk.top_per_dim(runs.current_heads(spark, out).where(F.col("dim").isin("ip", "endpoint")), 10)
+
+
+@query
+def stream_window_retention(spark, sf):
+    """Lines per second of the last days, kept in the state store alone."""
+    folder, _, checkpoint = _folders(spark, "stream")
+    for part in _parts(spark, sf):
+        _add_files(part, folder)
+        started = runs.run_seconds(
+            _stream(spark, folder), checkpoint, window=7 * DAY, drain=True, state_partitions=_width(spark)
+        )
+        _drain(started)
+    return _ntz(runs.current_seconds(spark, checkpoint, 7 * DAY), "sec")
+
+
 @query
 def stream_rate(spark, sf):
     folder, out, checkpoint = _folders(spark, "stream")
@@ -738,41 +763,42 @@ def stream_cms(spark, sf):
 
 
 def _stream_heavy(spark: SparkSession, sf: str) -> str:
-    folder, out, checkpoint = _folders(spark, "stream")
+    folder, _, checkpoint = _folders(spark, "stream")
     for part in _parts(spark, sf):
         _add_files(part, folder)
-        started = runs.run_heavy_hitters(_stream(spark, folder), out, checkpoint, capacity=SMALL, drain=True)
+        started = runs.run_heavy_hitters(
+            _stream(spark, folder), checkpoint, capacity=SMALL, salts=FEW, drain=True, state_partitions=_width(spark)
+        )
         _drain(started)
-    return out
+    return checkpoint
 
 
-def _stream_checked(spark: SparkSession, sf: str, out: str) -> DataFrame:
+def _stream_checked(spark: SparkSession, sf: str, checkpoint: str) -> DataFrame:
     exact = counts.all_counts(parsed(spark, sf)).where(F.col("dim").isin("ip", "endpoint"))
-    return _checked(runs.current_mg(spark, out).rows, runs.current_ss(spark, out).rows, exact, SMALL)
+    return _checked(runs.current_mg(spark, checkpoint).rows, runs.current_ss(spark, checkpoint).rows, exact, SMALL)
 
 
 @query
 def stream_mg(spark, sf):
-    out = _stream_heavy(spark, sf)
-    return _stream_checked(spark, sf, out).drop("ss_ok")
+    checkpoint = _stream_heavy(spark, sf)
+    return _stream_checked(spark, sf, checkpoint).drop("ss_ok")
 
 
 @query
 def stream_ss(spark, sf):
-    out = _stream_heavy(spark, sf)
-    return _stream_checked(spark, sf, out).drop("mg_ok")
+    checkpoint = _stream_heavy(spark, sf)
+    return _stream_checked(spark, sf, checkpoint).drop("mg_ok")
 
 
 @query
 def stream_state(spark, sf):
     """The whole state kept from one pass, in two runs, saved as a snapshot and loaded."""
     folder, out, checkpoint = _folders(spark, "stream")
-    sizes = {"mg_capacity": SMALL, "ss_capacity": SMALL}
     for part in _parts(spark, sf):
         _add_files(part, folder)
-        _drain(runs.run_state(_stream(spark, folder), out, checkpoint, drain=True, **sizes))
+        _drain(runs.run_state(_stream(spark, folder), out, checkpoint, drain=True))
     path = scratch_path(spark, "snapshot")
-    snapshot.save(runs.current_state(spark, out), path)
+    snapshot.save(runs.current_state(spark, out, mg_capacity=SMALL, ss_capacity=SMALL), path)
     return _state_rows(snapshot.load(spark, path))
 
 

@@ -21,7 +21,7 @@ from loglark.operators.cms import CountMin
 from loglark.operators.misra_gries import MisraGries
 from loglark.operators.space_saving import SpaceSaving
 from loglark.params import CmsParams
-from loglark.session import path_is_missing
+from loglark.session import materialize, path_is_missing
 
 # Version 1 holds no endpoints, 2 adds them, 3 adds count-min, 4 adds heavy hitters.
 FORMAT = 4
@@ -65,7 +65,17 @@ def build(
     ss_capacity: int | None = None,
 ) -> State:
     """State of a batch of parsed lines, from one scan: the counts are written once and the rest derives from them."""
-    exact, buckets = counts.counts_and_buckets(parsed)
+    return of_counts(counts.all_counts(parsed, with_seconds=True), cms_params, mg_capacity, ss_capacity)
+
+
+def of_counts(
+    both: DataFrame,
+    cms_params: CmsParams | None = None,
+    mg_capacity: int | None = None,
+    ss_capacity: int | None = None,
+) -> State:
+    """State of COUNTS with their seconds. They are written once, as all parts come from them."""
+    exact, buckets = counts.split_seconds(materialize(both, "counts"))
     return State(counts=exact, buckets=buckets, **_summaries(exact, cms_params, mg_capacity, ss_capacity))
 
 

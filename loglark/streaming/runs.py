@@ -1,17 +1,19 @@
 """Continuous versions of the operators.
 
-Each ``run_*`` starts a query that keeps a table current and returns the query. Input offsets and state commit together
+Each ``run_*`` starts a query that keeps something current and returns the query. Input offsets and state commit together
 in the checkpoint folder, so a restart with the same folders neither loses nor repeats a line. ``drain=True`` processes
-what is there and stops. After every ``fold_every`` batches the kept table is folded into one base. A table folder and
-its checkpoint folder belong together; to start over, give two new ones.
+what is there and stops. A table folder and its checkpoint folder belong together; to start over, give two new ones.
 
-``run_state`` keeps everything from one pass over the stream and needs no state store. The other runs keep one kind of
-result each.
+Counts, buckets and cells are Parquet folders with one part for each batch (see ``kept``), which ``compact`` copies into one part
+between two runs. Heavy hitters and the latest seconds live in the state store (see ``state``). ``run_top`` and ``run_report`` keep only
+the heads of the counts, and go on from those of the batch before: counts only grow, so a key that a batch does not touch
+enters no head. A reader beside a running query sees a batch once its files are there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,68 +21,54 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from loglark import params, schema
-from loglark.operators import cms, counts, heavy_hitters, misra_gries, space_saving, topk
+from loglark.operators import cms, counts, misra_gries, space_saving, topk, windows
 from loglark.operators.cms import CountMin
 from loglark.operators.misra_gries import MisraGries
 from loglark.operators.space_saving import SpaceSaving
 from loglark.operators.windows import last_second
 from loglark.params import CmsParams
-from loglark.plans import report
+from loglark.plans import report, snapshot
 from loglark.plans.snapshot import State
 from loglark.session import STREAM_CONF, settings
-from loglark.streaming.sink import BatchTable, SlotTable, keep_settings, settings_of
+from loglark.streaming import kept, state
+from loglark.streaming.kept import Kept
 
-OnBatch = Callable[[SparkSession, int], None]
+#: A part of cells says what sketch it is of.
+CMS_OF = ("width", "depth", "seed")
+_CELLS = T.StructType([*schema.CMS.fields, *(T.StructField(c, T.LongType()) for c in CMS_OF)])
 
 
-def counts_table(path: str) -> BatchTable:
-    return BatchTable(f"{path}/counts", schema.COUNTS, ("dim", "key"))
+def counts_table(path: str) -> Kept:
+    return Kept(f"{path}/counts", schema.COUNTS)
 
 
-def buckets_table(path: str) -> BatchTable:
-    return BatchTable(f"{path}/buckets", schema.BUCKETS, ("sec",))
+def buckets_table(path: str) -> Kept:
+    return Kept(f"{path}/buckets", schema.BUCKETS)
 
 
-def cms_table(path: str) -> BatchTable:
-    return BatchTable(f"{path}/cms", schema.CMS, ("row", "bucket"))
+def cms_table(path: str) -> Kept:
+    return Kept(f"{path}/cms", _CELLS)
 
 
-def mg_table(path: str) -> SlotTable:
-    return SlotTable(f"{path}/mg", schema.MG)
+def state_table(path: str) -> Kept:
+    return Kept(f"{path}/state", schema.COUNTS)
 
 
-def ss_table(path: str) -> SlotTable:
-    return SlotTable(f"{path}/ss", schema.SS)
+def heads_table(path: str) -> Kept:
+    return Kept(f"{path}/heads", schema.COUNTS)
 
 
-def state_counts_table(path: str) -> BatchTable:
-    return BatchTable(f"{path}/state_counts", schema.COUNTS, ("dim", "key"), additions=True)
+def report_table(path: str) -> Kept:
+    return Kept(f"{path}/report", report.TEXT)
 
 
-def state_cms_table(path: str) -> BatchTable:
-    return BatchTable(f"{path}/state_cms", schema.CMS, ("row", "bucket"), additions=True)
-
-
-def commits_table(path: str) -> SlotTable:
-    """The newest batch that all tables of ``run_state`` hold. Its row is written last."""
-    return SlotTable(f"{path}/state_commits", T.StructType([T.StructField("done", T.BooleanType())]))
-
-
-def _cms_settings(p: CmsParams) -> dict[str, int]:
-    return {"width": p.width, "depth": p.depth, "seed": p.seed}
-
-
-def report_table(path: str) -> SlotTable:
-    return SlotTable(f"{path}/report", report.TEXT)
-
-
-def json_table(path: str) -> SlotTable:
-    return SlotTable(f"{path}/json", T.StructType([T.StructField("json", T.StringType())]))
+def json_table(path: str) -> Kept:
+    return Kept(f"{path}/json", T.StructType([T.StructField("json", T.StringType())]))
 
 
 def _start(
     df: DataFrame,
-    write: Callable[[DataFrame, int], None],
+    write: Callable[[DataFrame, int], None] | None,
     mode: str,
     checkpoint: str,
     drain: bool,
@@ -90,24 +78,14 @@ def _start(
     values = dict(STREAM_CONF)
     if state_partitions is not None:
         values["spark.sql.shuffle.partitions"] = str(state_partitions)
-    writer = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+    writer = writer.format("noop") if write is None else writer.foreachBatch(write)
     writer = writer.trigger(availableNow=True) if drain else writer.trigger(processingTime=every)
     # The number of state partitions is fixed by the first run of a checkpoint.
     with settings(df.sparkSession, values):
         return writer.start()
 
 
-def _fold_before(
-    table: BatchTable,
-    spark: SparkSession,
-    batch_id: int,
-    fold_every: int | None,
-    keep: Callable[[DataFrame], DataFrame] | None = None,
-) -> None:
-    if fold_every and batch_id and batch_id % fold_every == 0:
-        table.fold(spark, batch_id - 1, keep)
-
-
 def _retained(seconds: int) -> Callable[[DataFrame], DataFrame]:
     """COUNTS with only the last ``seconds`` of its "second" rows, up to the newest; all of them for 0."""
 
@@ -121,18 +99,6 @@ def _retained(seconds: int) -> Callable[[DataFrame], DataFrame]:
     return keep
 
 
-def _keep(
-    table: BatchTable, fold_every: int | None = None, on_batch: OnBatch | None = None
-) -> Callable[[DataFrame, int], None]:
-    def write(batch: DataFrame, batch_id: int) -> None:
-        _fold_before(table, batch.sparkSession, batch_id, fold_every)
-        table.write(batch, batch_id)
-        if on_batch is not None:
-            on_batch(batch.sparkSession, batch_id)
-
-    return write
-
-
 def run_counts(
     parsed: DataFrame,
     path: str,
@@ -141,23 +107,71 @@ def run_counts(
     every: str = "10 seconds",
     state_partitions: int | None = None,
     with_seconds: bool = False,
-    fold_every: int | None = 100,
-    on_batch: OnBatch | None = None,
 ) -> StreamingQuery:
     """Keep COUNTS of a stream of parsed lines under ``path``; a batch writes only the keys it changed."""
     running = counts.all_counts(parsed, with_seconds)
-    write = _keep(counts_table(path), fold_every, on_batch)
-    return _start(running, write, "update", checkpoint, drain, every, state_partitions)
+    return _start(running, counts_table(path).write, "update", checkpoint, drain, every, state_partitions)
 
 
 def current_counts(spark: SparkSession, path: str) -> DataFrame:
-    return counts_table(path).current(spark)
+    return kept.newest_of(counts_table(path).rows(spark), "dim", "key")
+
+
+def compact_counts(spark: SparkSession, path: str, to: str) -> None:
+    """Copy the table of ``run_counts`` to a new folder with its batches as one. The next run gets that folder."""
+    kept.compact(spark, counts_table(path), counts_table(to).path, lambda rows: kept.newest_of(rows, "dim", "key"))
 
 
 def current_top(spark: SparkSession, path: str, dim: str, k: int | None = None) -> DataFrame:
     """Top-K of one dimension of the counts kept so far."""
-    kept = current_counts(spark, path).where(F.col("dim") == dim)
-    return topk.top_of(kept.select("key", "n"), "key", k)
+    found = current_counts(spark, path).where(F.col("dim") == dim)
+    return topk.top_of(found.select("key", "n"), "key", k)
+
+
+def next_heads(old: DataFrame, changed: DataFrame, k: int, seconds: int = 0) -> DataFrame:
+    """COUNTS of the ``k`` best clients and endpoints, of all other keys, and of the last ``seconds``.
+
+    ``changed`` has the new counts of all keys that changed since ``old``, the heads before. Counts only grow: a key in neither
+    stays behind the same ``k`` keys as before. So this reads the old heads and the batch, not the counts that are kept.
+    """
+    both = old.unionByName(changed.select(*old.columns)).groupBy("dim", "key").agg(F.max("n").alias("n"))
+    many = F.col("dim").isin(schema.DIM_IP, schema.DIM_ENDPOINT)
+    best = topk.top_per_dim(both.where(many), k).drop("rank")
+    return best.unionByName(_retained(seconds)(both.where(~many)))
+
+
+def _keep_heads(path: str, k: int, seconds: int, and_then: Callable[[SparkSession, int], None] | None = None):
+    table = heads_table(path)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        changed = batch.persist()  # else the state would be read once for each use
+        heads = next_heads(table.newest(spark, before=batch_id), changed, k, seconds)
+        table.write(heads.coalesce(1), batch_id)  # a few rows of each dim
+        changed.unpersist()
+        if and_then is not None:
+            and_then(spark, batch_id)
+
+    return write
+
+
+def run_top(
+    parsed: DataFrame,
+    path: str,
+    checkpoint: str,
+    k: int | None = None,
+    drain: bool = False,
+    every: str = "10 seconds",
+    state_partitions: int | None = None,
+) -> StreamingQuery:
+    """Keep the ``k`` most frequent clients and endpoints, and the counts of all statuses, under ``path``."""
+    write = _keep_heads(path, params.top_k(k), 0)
+    return _start(counts.all_counts(parsed), write, "update", checkpoint, drain, every, state_partitions)
+
+
+def current_heads(spark: SparkSession, path: str) -> DataFrame:
+    """COUNTS of the heads after the newest batch."""
+    return heads_table(path).newest(spark)
 
 
 def run_buckets(
@@ -169,7 +183,6 @@ def run_buckets(
     drain: bool = False,
     every: str = "10 seconds",
     state_partitions: int | None = None,
-    fold_every: int | None = 100,
 ) -> StreamingQuery:
     """Keep lines per second. A second older than (newest second of earlier batches) - (window - 1) is dropped as late.
 
@@ -185,12 +198,30 @@ def run_buckets(
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("_w.start").alias("sec"), "n")
     )
-    write = _keep(buckets_table(path), fold_every)
-    return _start(seconds, write, "update", checkpoint, drain, every, state_partitions)
+    return _start(seconds, buckets_table(path).write, "update", checkpoint, drain, every, state_partitions)
 
 
 def current_buckets(spark: SparkSession, path: str) -> DataFrame:
-    return buckets_table(path).current(spark)
+    return kept.newest_of(buckets_table(path).rows(spark), "sec")
+
+
+def run_seconds(
+    parsed: DataFrame,
+    checkpoint: str,
+    ts: str = "ts_received",
+    window: int | None = None,
+    drain: bool = False,
+    every: str = "10 seconds",
+    state_partitions: int | None = None,
+) -> StreamingQuery:
+    """Keep the lines of the last ``window`` seconds, up to the newest, in the state store alone."""
+    own = state.seconds(parsed, ts, params.retention(window))
+    return _start(own, None, "update", checkpoint, drain, every, state_partitions)
+
+
+def current_seconds(spark: SparkSession, checkpoint: str, window: int | None = None) -> DataFrame:
+    """The bucket table of the last ``window`` seconds up to the newest."""
+    return windows.retain(state.kept_seconds(spark, checkpoint), params.retention(window))
 
 
 def run_cms(
@@ -202,130 +233,114 @@ def run_cms(
     drain: bool = False,
     every: str = "10 seconds",
     state_partitions: int | None = None,
-    fold_every: int | None = 100,
 ) -> StreamingQuery:
     """Keep a count-min sketch; its state is at most width x depth cells."""
-    cms_params = cms_params or CmsParams()
-    keep_settings(parsed.sparkSession, f"{path}/cms", _cms_settings(cms_params))
-    cells = cms.build(parsed.where("ok"), key, cms_params).cells
-    write = _keep(cms_table(path), fold_every)
-    return _start(cells, write, "update", checkpoint, drain, every, state_partitions)
+    p = cms_params or CmsParams()
+    found = _cms_params(cms_table(path).rows(parsed.sparkSession))
+    if found not in (None, p):
+        raise ValueError(f"the sketch under {path} was started with {found}, not with {p}")
+    cells = cms.build(parsed.where("ok"), key, p).cells
+    cells = cells.select("*", *(F.lit(getattr(p, c)).cast("long").alias(c) for c in CMS_OF))
+    return _start(cells, cms_table(path).write, "update", checkpoint, drain, every, state_partitions)
 
 
-def current_cms(spark: SparkSession, path: str) -> CountMin:
-    """The sketch, with the parameters that it was started with."""
-    return CountMin(cms_table(path).current(spark), CmsParams(**settings_of(spark, f"{path}/cms")))
+def _cms_params(cells: DataFrame) -> CmsParams | None:
+    one = cells.select(*CMS_OF).first()
+    return None if one is None else CmsParams(**one.asDict())
 
 
-def _carry_on(
-    spark: SparkSession, path: str, batch_id: int, mg: MisraGries, ss: SpaceSaving
-) -> None:
-    """Merge the summaries of a batch into those after the batch before it, which have the same capacity."""
-    mg_out, ss_out = mg_table(path), ss_table(path)
-    if batch_id > 0:
-        mg = misra_gries.merge(MisraGries(mg_out.batch(spark, batch_id - 1), mg.capacity, True), mg)
-        ss = space_saving.merge(SpaceSaving(ss_out.batch(spark, batch_id - 1), ss.capacity, True), ss)
-    mg_out.write(mg.rows, batch_id)
-    ss_out.write(ss.rows, batch_id)
+def current_cms(spark: SparkSession, path: str) -> CountMin:
+    """The sketch, with the parameters that it was started with."""
+    rows = cms_table(path).rows(spark)
+    p = _cms_params(rows) or CmsParams()
+    return CountMin(kept.newest_of(rows.drop(*CMS_OF), "row", "bucket"), p)
 
 
 def run_heavy_hitters(
     parsed: DataFrame,
-    path: str,
     checkpoint: str,
     capacity: int | None = None,
+    salts: int = state.SALTS,
     drain: bool = False,
     every: str = "10 seconds",
+    state_partitions: int | None = None,
 ) -> StreamingQuery:
-    """Keep Misra-Gries and Space-Saving summaries of clients and endpoints.
+    """Keep Misra-Gries and Space-Saving summaries of clients and endpoints in the state store, in ``salts`` parts for each.
 
-    The summary after batch i is the one after batch i-1 merged with that of the batch. A replayed batch starts from the
-    same predecessor, so nothing is applied twice.
+    A part has ``capacity`` counters, so the state has at most salts x capacity of either kind for each dimension.
     """
-    capacity = params.capacity(capacity)
-    keep_settings(parsed.sparkSession, f"{path}/heavy", {"mg_capacity": capacity, "ss_capacity": capacity})
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        _carry_on(spark, path, batch_id, *heavy_hitters.build(batch, "key", capacity, capacity, by="dim"))
-
     pairs = counts.fan_out(parsed).where(F.col("dim").isin(schema.DIM_IP, schema.DIM_ENDPOINT))
-    return _start(pairs, write, "append", checkpoint, drain, every, None)
+    pairs = pairs.where(F.col("key").isNotNull()).select("dim", "key", F.lit(1).cast("long").alias("w"))
+    own = state.heavy_hitters(pairs, params.capacity(capacity), salts)
+    return _start(own, None, "update", checkpoint, drain, every, state_partitions)
 
 
-def _heavy(spark: SparkSession, path: str, batch_id: int | None = None) -> tuple[MisraGries, SpaceSaving]:
-    found = settings_of(spark, f"{path}/heavy")
-    mg, ss = mg_table(path), ss_table(path)
-    at = [t.last(spark) if batch_id is None else batch_id for t in (mg, ss)]
-    return (
-        MisraGries(mg.batch(spark, at[0]), params.capacity(found.get("mg_capacity")), split=True),
-        SpaceSaving(ss.batch(spark, at[1]), params.capacity(found.get("ss_capacity")), split=True),
-    )
+def current_mg(spark: SparkSession, checkpoint: str) -> MisraGries:
+    """The summary of all parts, with the capacity that it was started with."""
+    found = state.summaries(spark, checkpoint)
+    if found is None:
+        return MisraGries(spark.createDataFrame([], schema.MG), params.capacity(None), split=True)
+    rows = found.select("dim", F.inline(F.arrays_zip(F.col("mg_keys").alias("key"), F.col("mg_n").alias("n"))))
+    return misra_gries.from_partials(rows, _capacity(found), split=True)
 
 
-def current_mg(spark: SparkSession, path: str) -> MisraGries:
-    """The summary, with the capacity that it was started with."""
-    return _heavy(spark, path)[0]
+def current_ss(spark: SparkSession, checkpoint: str) -> SpaceSaving:
+    """The summary of all parts, with the capacity that it was started with.
 
+    A part's keys are in no other part, so the floors of the others do not concern them: its rows stand for themselves.
+    """
+    found = state.summaries(spark, checkpoint)
+    if found is None:
+        return SpaceSaving(spark.createDataFrame([], schema.SS), params.capacity(None), split=True)
+    listed = F.arrays_zip(F.col("ss_keys").alias("key"), F.col("ss_over").alias("over"), F.col("ss_err").alias("err_over"))
+    rows = found.select("dim", "salt", "floor", F.inline(listed))
+    return space_saving.from_parts(
+        rows.select("dim", "key", (F.col("over") + F.col("floor")).alias("n"), (F.col("err_over") + F.col("floor")).alias("err"), "floor"),
+        _capacity(found),
+    )
 
-def current_ss(spark: SparkSession, path: str) -> SpaceSaving:
-    return _heavy(spark, path)[1]
+
+def _capacity(found: DataFrame) -> int:
+    return found.select("capacity").first()[0]
 
 
 def run_state(
-    parsed: DataFrame,
-    path: str,
-    checkpoint: str,
-    cms_params: CmsParams | None = None,
-    mg_capacity: int | None = None,
-    ss_capacity: int | None = None,
-    drain: bool = False,
-    every: str = "10 seconds",
-    fold_every: int | None = 100,
-    retention: int | None = None,
+    parsed: DataFrame, path: str, checkpoint: str, drain: bool = False, every: str = "10 seconds"
 ) -> StreamingQuery:
-    """Keep the whole state: counts, lines per second, count-min of clients, heavy hitters of clients and endpoints.
-
-    A batch is scanned and counted once; its counts are written as additions, and the summaries are built from them. With a
-    ``retention`` only so many seconds up to the newest are read, and older ones are left behind by the next fold.
-    """
-    retention = 0 if retention is None else params.retention(retention)
-    cms_params = cms_params or CmsParams()
-    mg_capacity, ss_capacity = params.capacity(mg_capacity), params.capacity(ss_capacity)
-    exact, cells = state_counts_table(path), state_cms_table(path)
-    keep_settings(parsed.sparkSession, f"{path}/state_cms", _cms_settings(cms_params))
-    keep_settings(parsed.sparkSession, f"{path}/state_counts", {"retention": retention})
-    keep_settings(parsed.sparkSession, f"{path}/heavy", {"mg_capacity": mg_capacity, "ss_capacity": ss_capacity})
+    """Keep what a whole state is made of: the counts of each batch, seconds among them, from one scan and without a state store."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        _fold_before(exact, spark, batch_id, fold_every, _retained(retention))
-        _fold_before(cells, spark, batch_id, fold_every)
-        exact.write(counts.all_counts(batch, with_seconds=True), batch_id)
-        added = exact.batch(spark, batch_id)
-        clients = added.where(F.col("dim") == schema.DIM_IP)
-        keys = added.where(F.col("dim").isin(schema.DIM_IP, schema.DIM_ENDPOINT))
-        cells.write(cms.build(clients, "key", cms_params, weight="n").cells, batch_id)
-        _carry_on(spark, path, batch_id, *heavy_hitters.build(keys, "key", mg_capacity, ss_capacity, weight="n", by="dim"))
-        commits_table(path).write(spark.createDataFrame([(True,)], "done boolean"), batch_id)
+        state_table(path).write(counts.all_counts(batch, with_seconds=True), batch_id)
 
     needed = parsed.select("ok", "ip", "endpoint", "status", "ts_received")
     return _start(needed, write, "append", checkpoint, drain, every, None)
 
 
-def current_state(spark: SparkSession, path: str) -> State:
+def current_state(
+    spark: SparkSession,
+    path: str,
+    cms_params: CmsParams | None = None,
+    mg_capacity: int | None = None,
+    ss_capacity: int | None = None,
+    retention: int | None = None,
+) -> State:
     """The state kept by ``run_state``: to query, to save as a snapshot, or to add to a loaded one.
 
-    All its parts are those after one batch, the newest that was written whole. Read it before two more batches are
-    written, or copy it: tables are replaced while the query runs.
+    The counts are summed over the batches and written once, and the summaries are built from them, so all parts are those after the
+    same batch. With a ``retention`` only so many seconds up to the newest are in it.
     """
-    upto = commits_table(path).last(spark)
-    retention = settings_of(spark, f"{path}/state_counts").get("retention", 0)
-    exact, buckets = counts.split_seconds(_retained(retention)(state_counts_table(path).current(spark, upto)))
-    mg, ss = _heavy(spark, path, upto)
-    cells = state_cms_table(path).current(spark, upto)
-    sketch = CountMin(cells, CmsParams(**settings_of(spark, f"{path}/state_cms")))
-    return State(counts=exact, buckets=buckets, cms=sketch, mg=mg, ss=ss, fresh=upto < 0)
+    seconds = 0 if retention is None else params.retention(retention)
+    rows = state_table(path).rows(spark)
+    found = snapshot.of_counts(_retained(seconds)(kept.sum_of(rows, "dim", "key")), cms_params, mg_capacity, ss_capacity)
+    return replace(found, fresh=rows.isEmpty())
+
+
+def compact_state(spark: SparkSession, path: str, to: str, retention: int | None = None) -> None:
+    """Copy the table of ``run_state`` to a new folder with its batches as one, without the seconds beyond a ``retention``."""
+    seconds = 0 if retention is None else params.retention(retention)
+    kept.compact(
+        spark, state_table(path), state_table(to).path, lambda rows: _retained(seconds)(kept.sum_of(rows, "dim", "key"))
+    )
 
 
 def counts_and_buckets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -346,30 +361,22 @@ def run_report(
     as_of_newest: bool = False,
     retention: int | None = None,
 ) -> StreamingQuery:
-    """Keep COUNTS and refresh the exposition text and the JSON document after every batch.
+    """Keep the heads of the counts, and refresh the exposition text and the JSON document from them after every batch.
 
     The rate ends now, or at the newest second of the log with ``as_of_newest`` (for a back-fill). ``retention`` is the
-    number of seconds that the caller keeps, which must cover ``n``.
+    number of seconds that are kept, which must cover ``n``.
     """
-    params.retention(retention, params.report_seconds(n))
+    kept_seconds = params.retention(retention, params.report_seconds(n))
 
     def refresh(spark: SparkSession, batch_id: int) -> None:
-        kept, buckets = counts_and_buckets(spark, path)
+        heads, buckets = counts.split_seconds(heads_table(path).newest(spark, before=batch_id + 1))
         as_of = last_second(buckets) if as_of_newest else None
-        rows = report.metrics_rows(kept, buckets, as_of, k, n)
+        rows = report.metrics_rows(heads, buckets, as_of, k, n)
         report_table(path).write(report.metrics_text(rows, prefix), batch_id)
-        json_table(path).write(report.stats_json(kept, buckets, as_of, k, n), batch_id)
-
-    return run_counts(
-        parsed,
-        path,
-        checkpoint,
-        drain=drain,
-        every=every,
-        state_partitions=state_partitions,
-        with_seconds=True,
-        on_batch=refresh,
-    )
+        json_table(path).write(report.stats_json(heads, buckets, as_of, k, n), batch_id)
+
+    write = _keep_heads(path, params.report_k(k), kept_seconds, refresh)
+    return _start(counts.all_counts(parsed, with_seconds=True), write, "update", checkpoint, drain, every, state_partitions)
 
 
 def current_report(spark: SparkSession, path: str) -> DataFrame:

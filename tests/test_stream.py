@@ -1,4 +1,5 @@
 import os
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from loglark.params import CmsParams
 from loglark.plans import snapshot
 from loglark.sources import stream_logs, stream_tail
 from loglark.sources.tail import TailReader, read_lines
-from loglark.streaming import runs
+from loglark.streaming import runs, state
 
 
 def log(i: int, second: int | None = None) -> str:
@@ -52,23 +53,19 @@ def batch(spark, values):
 
 
 def test_counts_restart_and_compaction(spark, folders):
-    for part in (LOG[:50], LOG[50:120], LOG[120:]):
+    out = folders.out
+    for k, part in enumerate((LOG[:50], LOG[50:120], LOG[120:])):
         folders.add(part)
-        drain(runs.run_counts(parsed(spark, folders), folders.out, folders.checkpoint, drain=True, state_partitions=2))
-        if part[0] == LOG[50]:
-            assert runs.counts_table(folders.out).fold(spark) >= 1
+        drain(runs.run_counts(parsed(spark, folders), out, folders.checkpoint, drain=True, state_partitions=2))
+        if k == 1:
+            runs.compact_counts(spark, out, f"{out}-compact")
+            out = f"{out}-compact"
     want = row_set(counts.all_counts(batch(spark, LOG)))
-    assert row_set(runs.current_counts(spark, folders.out)) == want
-    table = runs.counts_table(folders.out)
-    last = table.fold(spark)
-    assert table.fold(spark) == last
-    # A batch that the base already holds is not written again.
-    table.write(spark.createDataFrame([("ip", "x", 99)], "dim string, key string, n long"), last)
-    assert row_set(runs.current_counts(spark, folders.out)) == want
+    assert row_set(runs.current_counts(spark, out)) == want
     # Nothing new: nothing changes.
-    drain(runs.run_counts(parsed(spark, folders), folders.out, folders.checkpoint, drain=True, state_partitions=2))
-    assert row_set(runs.current_counts(spark, folders.out)) == want
-    top = rows(runs.current_top(spark, folders.out, "ip", 2))
+    drain(runs.run_counts(parsed(spark, folders), out, folders.checkpoint, drain=True, state_partitions=2))
+    assert row_set(runs.current_counts(spark, out)) == want
+    top = rows(runs.current_top(spark, out, "ip", 2))
     assert top == sorted(((k, n) for d, k, n in want if d == "ip"), key=lambda r: (-r[1], r[0]))[:2]
 
 
@@ -80,38 +77,33 @@ def test_limits_make_several_batches(spark, folders):
     assert row_set(runs.current_counts(spark, folders.out)) == row_set(counts.all_counts(batch(spark, LOG)))
 
 
+COUNT_ROW = "dim string, key string, n long"
+
+
 def test_a_replayed_batch_overwrites_itself(spark, tmp_path):
     table = runs.counts_table(str(tmp_path / "t"))
-    first = spark.createDataFrame([("ip", "a", 1)], "dim string, key string, n long")
-    table.write(first, 0)
-    second = spark.createDataFrame([("ip", "a", 5), ("ip", "b", 2)], "dim string, key string, n long")
+    table.write(spark.createDataFrame([("ip", "a", 1)], COUNT_ROW), 0)
+    second = spark.createDataFrame([("ip", "a", 5), ("ip", "b", 2)], COUNT_ROW)
     for _ in range(2):
         table.write(second, 1)
-    assert row_set(table.current(spark)) == {("ip", "a", 5), ("ip", "b", 2)}
-
-
-def test_folding_on_the_way(spark, folders):
-    for i in range(5):
-        folders.add(LOG[i * 40 : (i + 1) * 40])
-    query = runs.run_counts(
-        parsed(spark, folders, max_files=1), folders.out, folders.checkpoint, drain=True, state_partitions=1, fold_every=2
-    )
-    drain(query)
-    assert row_set(runs.current_counts(spark, folders.out)) == row_set(counts.all_counts(batch(spark, LOG)))
-    assert len([f for f in os.listdir(f"{folders.out}/counts") if f.startswith("generation=")]) == 3
+    assert row_set(runs.current_counts(spark, str(tmp_path / "t"))) == {("ip", "a", 5), ("ip", "b", 2)}
+    assert row_set(table.newest(spark)) == {("ip", "a", 5), ("ip", "b", 2)}
+    assert row_set(table.newest(spark, before=1)) == {("ip", "a", 1)} and rows(table.newest(spark, before=0)) == []
 
 
-def test_slots_take_turns(spark, tmp_path):
-    table = runs.report_table(str(tmp_path / "t"))
-    one, two, none = (spark.createDataFrame(v, "seq int, value string") for v in ([(1, "a")], [(1, "b"), (2, "c")], []))
-    table.write(one, 0)
-    assert row_set(table.newest(spark)) == {(1, "a")}
-    for _ in range(2):
-        table.write(two, 1)
-    assert row_set(table.newest(spark)) == {(1, "b"), (2, "c")}
-    assert row_set(table.batch(spark, 0)) == {(1, "a")}
-    table.write(none, 2)
-    assert rows(table.newest(spark)) == [] and len(rows(table.batch(spark, 1))) == 2
+def test_the_newest_batch_may_be_written_again_after_compaction(spark, tmp_path):
+    """A restart may repeat the last batch: it must not meet its own rows in the sum."""
+    old, new = str(tmp_path / "a"), str(tmp_path / "b")
+    one = spark.createDataFrame([("ip", "a", 1)], COUNT_ROW)
+    for i in range(4):
+        runs.state_table(old).write(one, i)
+    runs.compact_state(spark, old, new)
+    assert {r.batch_id: r.n for r in runs.state_table(new).rows(spark).collect()} == {2: 3, 3: 1}
+    runs.state_table(new).write(one, 3)
+    runs.state_table(new).write(one, 4)
+    assert row_set(runs.current_state(spark, new).counts) == {("ip", "a", 5)}
+    runs.compact_state(spark, str(tmp_path / "none"), str(tmp_path / "c"))
+    assert rows(runs.current_state(spark, str(tmp_path / "c")).counts) == []
 
 
 def test_stream_on_a_folder_that_comes_later(spark, folders):
@@ -155,95 +147,126 @@ def test_late_seconds_are_dropped_between_batches(spark, folders):
     assert row_set(kept) == {(8, 1), (9, 1), (10, 2)}
 
 
-def test_sketches(spark, folders):
+def test_sketches_go_on_after_a_restart(spark, folders):
     p = CmsParams(64, 2)
     for part in (LOG[:80], LOG[80:90], LOG[90:]):
         folders.add(part)
         lines_in = parsed(spark, folders)
         drain(runs.run_cms(lines_in, folders.out, folders.checkpoint + "c", p, drain=True, state_partitions=1))
-        drain(runs.run_heavy_hitters(lines_in, folders.out, folders.checkpoint + "h", 50, drain=True))
+        drain(runs.run_heavy_hitters(lines_in, folders.checkpoint + "h", 50, 2, drain=True, state_partitions=2))
     whole = batch(spark, LOG)
     assert row_set(runs.current_cms(spark, folders.out).cells) == row_set(cms.build(whole.where("ok"), "ip", p).cells)
     want = {(d, k, n) for d, k, n in row_set(counts.all_counts(whole)) if d in ("ip", "endpoint")}
-    assert row_set(runs.current_mg(spark, folders.out).rows) == want
-    ss = runs.current_ss(spark, folders.out)
+    assert row_set(runs.current_mg(spark, folders.checkpoint + "h").rows) == want
+    ss = runs.current_ss(spark, folders.checkpoint + "h")
     assert row_set(ss.rows.select("dim", "key", "n")) == want
     assert rows(space_saving.top(ss, 1, "endpoint"))[0][2:] == (0, rows(space_saving.top(ss, 1, "endpoint"))[0][1])
+    with pytest.raises(ValueError, match="started with"):
+        runs.run_cms(parsed(spark, folders), folders.out, folders.checkpoint + "c", CmsParams(32, 2), drain=True)
+
+
+def test_state_of_heavy_hitters_is_bounded_and_keeps_its_bounds(spark, folders):
+    """Many more keys than counters, in several batches: at most salts x capacity are kept, and the bounds hold for every key."""
+    capacity, salts = 6, 3
+    keys = [i % 5 if i % 2 else 100 + i * 7 % 211 for i in range(1200)]
+    for k in range(3):
+        folders.add(f'h{x} - - [24/Sep/2025:10:00:00 +0000] "GET /p{x % 3} H" 200' for x in keys[k * 400 : (k + 1) * 400])
+    source = parsed(spark, folders, max_files=1)
+    drain(runs.run_heavy_hitters(source, folders.checkpoint, capacity, salts, drain=True, state_partitions=3))
+    kept = state.summaries(spark, folders.checkpoint).collect()
+    assert all(len(r.mg_keys) <= capacity and len(r.ss_keys) <= capacity for r in kept)
+    assert len([r for r in kept if r.dim == "ip"]) == salts
+    exact = {f"h{x}": n for x, n in Counter(keys).items()}
+    mg = {k: n for d, k, n in rows(runs.current_mg(spark, folders.checkpoint).rows) if d == "ip"}
+    ss = {r.key: r for r in runs.current_ss(spark, folders.checkpoint).rows.where("dim = 'ip'").collect()}
+    assert len(mg) <= capacity and len(ss) == capacity
+    for key, n in exact.items():
+        assert n - len(keys) / (capacity + 1) <= mg.get(key, 0) <= n
+        if key in ss:
+            assert n <= ss[key].n <= n + len(keys) / capacity and ss[key].n - ss[key].err <= n
+        else:
+            assert n <= next(iter(ss.values())).floor <= len(keys) / capacity
+
+
+def test_heavy_hitters_of_another_capacity_are_an_error(spark, folders):
+    folders.add(LOG[:20])
+    drain(runs.run_heavy_hitters(parsed(spark, folders), folders.checkpoint, 5, 2, drain=True, state_partitions=1))
+    folders.add(LOG[20:40])
+    query = runs.run_heavy_hitters(parsed(spark, folders), folders.checkpoint, 6, 2, drain=True, state_partitions=1)
+    with pytest.raises(Exception, match="capacity of 5"):
+        query.awaitTermination()
+
+
+def test_old_seconds_leave_the_state(spark, folders):
+    for k, part in enumerate(([log(1), log(2), log(2)], [log(2), log(9)], [log(30), log(28)])):
+        folders.add(part)
+        drain(runs.run_seconds(parsed(spark, folders), folders.checkpoint, window=20, drain=True, state_partitions=1))
+        got = row_set(state.kept_seconds(spark, folders.checkpoint).select(F.second("sec"), "n"))
+        assert ((2, 2 if k == 0 else 3) in got) == (k < 2 or 2 % state.SALTS not in (28 % state.SALTS, 30 % state.SALTS))
+        last = runs.current_seconds(spark, folders.checkpoint, 20).select(F.second("sec"), "n")
+        assert row_set(last) == [{(1, 1), (2, 2)}, {(1, 1), (2, 3), (9, 1)}, {(28, 1), (30, 1)}][k]
+    drain(runs.run_seconds(parsed(spark, folders), folders.checkpoint + "-one", window=3, drain=True, state_partitions=1))
+    kept = state.kept_seconds(spark, folders.checkpoint + "-one").count()
+    assert kept <= 3 * state.SALTS
+    assert rows(runs.current_seconds(spark, folders.checkpoint + "-none")) == []
 
 
 def test_whole_state_in_one_pass(spark, folders):
     p, sizes = CmsParams(64, 2), {"mg_capacity": 50, "ss_capacity": 40}
     for i in range(5):
         folders.add(LOG[i * 40 : (i + 1) * 40])
-    source = parsed(spark, folders, max_files=2)
-    drain(runs.run_state(source, folders.out, folders.checkpoint, p, **sizes, drain=True, fold_every=2))
+    drain(runs.run_state(parsed(spark, folders, max_files=2), folders.out, folders.checkpoint, drain=True))
     folders.add(["bad", log(3)])
-    source = parsed(spark, folders)
-    drain(runs.run_state(source, folders.out, folders.checkpoint, p, **sizes, drain=True, fold_every=2))
-    got = runs.current_state(spark, folders.out)
+    runs.compact_state(spark, folders.out, f"{folders.out}-compact")
+    drain(runs.run_state(parsed(spark, folders), f"{folders.out}-compact", folders.checkpoint, drain=True))
+    got = runs.current_state(spark, f"{folders.out}-compact", p, **sizes)
     want = snapshot.build(batch(spark, [*LOG, "bad", log(3)]), p, **sizes)
     assert row_set(got.counts) == row_set(want.counts)
     assert row_set(got.buckets) == row_set(want.buckets)
     assert row_set(got.cms.cells) == row_set(want.cms.cells)
     assert row_set(got.mg.rows) == row_set(want.mg.rows)
     assert row_set(got.ss.rows) == row_set(want.ss.rows)
-    assert len([f for f in os.listdir(f"{folders.out}/state_counts") if f.startswith("generation=")]) == 2
-
-
-def test_a_restart_with_other_parameters_is_an_error(spark, folders):
-    folders.add(LOG[:20])
-    lines_in = parsed(spark, folders)
-    drain(runs.run_state(lines_in, folders.out, folders.checkpoint, CmsParams(64, 2), 50, 40, drain=True))
-    for p, mg, ss in ((CmsParams(32, 2), 50, 40), (CmsParams(64, 2), 49, 40), (CmsParams(64, 2), 50, 41)):
-        with pytest.raises(ValueError, match="started with"):
-            runs.run_state(lines_in, folders.out, folders.checkpoint, p, mg, ss, drain=True)
-    state = runs.current_state(spark, folders.out)
-    assert (state.cms.params, state.mg.capacity, state.ss.capacity) == (CmsParams(64, 2), 50, 40)
+    assert (got.cms.params, got.mg.capacity, got.ss.capacity, got.fresh) == (p, 50, 40, False)
+    assert runs.current_state(spark, f"{folders.out}-none").fresh
 
 
 def test_retention_of_a_stream(spark, folders):
     for part in ([log(s) for s in range(0, 20)], [log(s) for s in range(15, 30)], [log(30)], [log(31)]):
         folders.add(part)
-        run = runs.run_state(parsed(spark, folders), folders.out, folders.checkpoint, drain=True, fold_every=2, retention=5)
-        drain(run)
-        got = sorted(s for s, _ in row_set(runs.current_state(spark, folders.out).buckets.select(F.second("sec"), "n")))
-        newest = got[-1]
-        assert got == [s for s in range(newest - 4, newest + 1)]
-    kept = runs.state_counts_table(folders.out).current(spark).where("dim = 'second'").count()
-    assert kept < 32  # the fold before the third batch left the old ones behind
-    assert runs.current_state(spark, folders.out).counts.where("dim = 'total'").first()["n"] == 37
-
-
-def test_readers_see_one_batch_whole(spark, folders, monkeypatch):
-    """The state is read after the counts of a batch were written and before its summaries are."""
-    folders.add(LOG[:100])
-    drain(runs.run_state(parsed(spark, folders), folders.out, folders.checkpoint, drain=True))
-    before = runs.current_state(spark, folders.out)
-    want = [row_set(before.counts), row_set(before.cms.cells), row_set(before.mg.rows), row_set(before.ss.rows)]
-    seen = []
-
-    def stop(*_):
-        found = runs.current_state(spark, folders.out)
-        seen.append([row_set(found.counts), row_set(found.cms.cells), row_set(found.mg.rows), row_set(found.ss.rows)])
-
-    monkeypatch.setattr(runs, "_carry_on", stop)
-    folders.add(LOG[100:])
-    drain(runs.run_state(parsed(spark, folders), folders.out, folders.checkpoint, drain=True))
-    assert seen == [want]
-
-
-def test_replay_after_a_fold(spark, tmp_path):
-    """A batch that failed after its first write is folded around and written again."""
-    table = runs.state_counts_table(str(tmp_path / "t"))
-    one = spark.createDataFrame([("ip", "a", 1)], "dim string, key string, n long")
-    for i in range(3):
-        table.write(one, i)
-    assert table.fold(spark, upto=1) == 1
-    assert row_set(table.current(spark)) == {("ip", "a", 2)}
-    table.write(one, 2)
-    assert row_set(table.current(spark)) == {("ip", "a", 3)}
-    assert row_set(table.batch(spark, 2)) == {("ip", "a", 1)}
-    assert table.fold(spark, upto=1) == 1
+        drain(runs.run_state(parsed(spark, folders), folders.out, folders.checkpoint, drain=True))
+        buckets = runs.current_state(spark, folders.out, retention=5).buckets
+        got = sorted(s for s, _ in row_set(buckets.select(F.second("sec"), "n")))
+        assert got == [s for s in range(got[-1] - 4, got[-1] + 1)]
+    runs.compact_state(spark, folders.out, f"{folders.out}-compact", retention=5)
+    kept = runs.state_table(f"{folders.out}-compact").rows(spark)
+    assert kept.where("dim = 'second'").count() == 6  # five up to second 30, and the newest batch as it was
+    assert runs.current_state(spark, f"{folders.out}-compact").counts.where("dim = 'total'").first()["n"] == 37
+
+
+def test_heads_go_on_from_batch_to_batch(spark, folders):
+    """A key climbs into the head by small steps, while others stay; every batch is held against the exact counts."""
+    done = []
+    for k in range(6):
+        part = [f'c{(i * (k + 3)) % 11} - - [24/Sep/2025:10:00:00 +0000] "GET /p{i % 4} H" {200 + i % 2}' for i in range(40)]
+        part += [f'riser - - [24/Sep/2025:10:00:00 +0000] "GET /p{k} H" 200'] * 3 * k
+        folders.add(part)
+        done += part
+        drain(runs.run_top(parsed(spark, folders), folders.out, folders.checkpoint, 3, drain=True, state_partitions=1))
+        exact = row_set(counts.all_counts(batch(spark, done)))
+        want = {r for r in exact if r[0] not in ("ip", "endpoint")}
+        for dim in ("ip", "endpoint"):
+            want |= set(sorted((r for r in exact if r[0] == dim), key=lambda r: (-r[2], r[1]))[:3])
+        assert row_set(runs.current_heads(spark, folders.out)) == want
+
+
+def test_a_refresh_reads_the_heads_and_the_batch_only(spark, tmp_path):
+    heads = runs.heads_table(str(tmp_path / "t"))
+    heads.write(spark.createDataFrame([("ip", "a", 5)], COUNT_ROW), 0)
+    changed = spark.createDataFrame([("ip", "b", 9), ("second", "100", 1), ("second", "50", 1), ("status", "200", 4)], COUNT_ROW)
+    found = runs.next_heads(heads.newest(spark, before=1), changed, 1, 10)
+    assert row_set(found) == {("ip", "b", 9), ("second", "100", 1), ("status", "200", 4)}
+    read = {f.rsplit("/", 2)[-2] for f in found.inputFiles()}
+    assert read == {"batch_id=0"} and all("/t/heads/" in f for f in found.inputFiles())
 
 
 def test_report_follows_the_stream(spark, folders):
