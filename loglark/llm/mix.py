@@ -202,14 +202,20 @@ def decide(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with ``copy`` from 1 on beside its columns."""
+    """The mix itself: each row of ``docs`` as often as it is taken, with ``copy`` from 1 on beside its columns.
+
+    Rows alike in id, source and text are told apart by a hash of all their columns (but for maps), so each stays itself.
+    """
     taken = decide(docs, id_col, source_col, text_col, **options)
-    # Rows alike in id, source and text are told apart by nothing that the mix looks at: they go on as one, taken as often.
-    taken = taken.groupBy("id", "source", "text_hash").agg(F.sum("copies").alias("copies"), F.count("*").alias("alike"))
-    names = [fresh(docs, c) for c in ("_id", "_source", "_hash", "_copies", "_alike")]
-    id_name, source_name, hash_name, copies_name, alike_name = names
-    found = [F.col(c).alias(n) for c, n in zip(("id", "source", "text_hash", "copies", "alike"), names)]
-    taken = materialize(taken.select(*found), "mix-taken").where(F.col(copies_name) > 0)
+    # Rows alike are taken equally often, some of them once more.
+    least, alike = F.min("copies"), F.count("*")
+    taken = taken.groupBy("id", "source", "text_hash").agg(
+        least.alias("least"), alike.alias("alike"), (F.sum("copies") - least * alike).alias("more")
+    )
+    names = [fresh(docs, c) for c in ("_id", "_source", "_hash", "_least", "_alike", "_more", "_nth")]
+    id_name, source_name, hash_name, least_name, alike_name, more_name, nth_name = names
+    found = [F.col(c).alias(n) for c, n in zip(("id", "source", "text_hash", "least", "alike", "more"), names)]
+    taken = materialize(taken.select(*found), "mix-taken").where((F.col(least_name) > 0) | (F.col(more_name) > 0))
     same = (
         F.col(id_col).cast("long").eqNullSafe(F.col(id_name))
         & F.col(source_col).cast("string").eqNullSafe(F.col(source_name))
@@ -217,10 +223,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     )
     joined = docs.join(taken, same)
     own = columns(docs)
-    single = joined.where(F.col(alike_name) == 1).select(*own, copies_name)
-    alike = joined.where(F.col(alike_name) > 1).groupBy(id_name, source_name, hash_name).agg(
-        F.first(F.struct(*own)).alias("_row"), F.first(copies_name).alias("_taken")
-    )
-    alike = alike.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns], "_taken")
-    both = single.union(alike)
-    return both.select(*own, F.explode(F.sequence(F.lit(1), F.col(copies_name).cast("int"))).alias(fresh(docs, "copy")))
+    single = joined.where(F.col(alike_name) == 1).select(*own, F.col(least_name).alias(nth_name))
+    hashed = [c for c, f in zip(own, docs.schema) if "map<" not in f.dataType.simpleString()]
+    nth = F.row_number().over(Window.partitionBy(id_name, source_name, hash_name).orderBy(F.xxhash64(*hashed)))
+    each = joined.where(F.col(alike_name) > 1).withColumn(nth_name, nth)
+    copies = F.col(least_name) + (F.col(nth_name) <= F.col(more_name)).cast("long")
+    both = single.union(each.select(*own, copies.alias(nth_name)).where(F.col(nth_name) > 0))
+    return both.select(*own, F.explode(F.sequence(F.lit(1), F.col(nth_name).cast("int"))).alias(fresh(docs, "copy")))

@@ -19,6 +19,7 @@ a null payload. Only the named columns are read.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from datetime import datetime, timezone
@@ -39,6 +40,8 @@ REVISIT_BYTES = 100
 MOST_BYTES = 1 << 30
 
 _GAP = b"\r\n\r\n"
+#: Endings of files that Spark reads as a whole.
+WHOLE_FILES = (".gz", ".deflate", ".zst", ".snappy", ".lz4")
 
 
 def chunked(body: bytes, size: int = CHUNK_BYTES) -> bytes:
@@ -48,20 +51,21 @@ def chunked(body: bytes, size: int = CHUNK_BYTES) -> bytes:
 
 
 def dechunked(body: bytes) -> bytes | None:
-    """The body without its chunk framing; None if the framing is broken. Chunk extensions and trailers are passed over."""
+    """The body without its chunk framing; None if the framing is broken or not ended. Extensions and trailers are passed over."""
     parts, at = [], 0
     while True:
         end = body.find(b"\r\n", at)
         if end < 0:
             return None
-        try:
-            size = int(body[at:end].split(b";")[0], 16)
-        except ValueError:
+        length = body[at:end].split(b";")[0].rstrip(b" \t")
+        if not re.fullmatch(rb"[0-9A-Fa-f]+", length):
             return None
+        size = int(length, 16)
         at = end + 2
         if size == 0:
-            return b"".join(parts)
-        if size < 0 or body[at + size : at + size + 2] != b"\r\n":
+            ended = body[at:] == b"\r\n" or body.endswith(b"\r\n\r\n")
+            return b"".join(parts) if ended else None
+        if body[at + size : at + size + 2] != b"\r\n":
             return None
         parts.append(body[at : at + size])
         at += size + 2
@@ -216,8 +220,14 @@ def _payload(blocks: pa.Array) -> pa.Array:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records as they are in the archives. Files must be compressed, so that each is read by one task from its start."""
+    """The records as they are in the archives. Files must be compressed, so that each is read by one task from its start.
+
+    Spark would split any other file inside a record, so one is an error.
+    """
     lines = spark.read.option("lineSep", "\n").text(path)
+    split = next((f for f in lines.inputFiles() if not f.endswith(WHOLE_FILES)), None)
+    if split is not None:
+        raise ValueError(f"{split} is not compressed as a whole ({', '.join(WHOLE_FILES)}): its records could be cut")
     lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line"))
     return lines.mapInArrow(_parse, _RECORD)
 

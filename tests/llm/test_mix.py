@@ -70,3 +70,18 @@ def test_each_text_keeps_its_probability(docs, monkeypatch):
 def test_empty_and_wordless(docs):
     assert mix.decide(docs((1, "a")).where("doc_id = 2")).count() == 0
     assert [r.copies for r in mix.decide(docs((1, ""), (2, None))).collect()] == [0, 0]
+
+
+def test_rows_alike_in_id_source_and_text_stay_themselves(spark):
+    """Further columns of such rows are not lost, and the mix takes as many of them as it decides."""
+    rows = [(1, "s", "a b c", "A", {"k": 1}), (1, "s", "a b c", "B", {"k": 2}), (2, "s", "d e", "C", None), (2, "s", "d e", "C", None)]
+    table = spark.createDataFrame(rows, "doc_id long, source string, text string, _nth string, m map<string, int>")
+    got = sorted((r._nth, r.m or {}, r.copy) for r in mix.mixed(table).collect())
+    assert got == [("A", {"k": 1}, 1), ("B", {"k": 2}, 1), ("C", {}, 1), ("C", {}, 1)]
+    halved = spark.createDataFrame(
+        [(1, "a", "w w", f"x{i}", None) for i in range(9)] + [(k, "b", "w w", "y", None) for k in range(12)], table.schema
+    )
+    taken = mix.decide(halved, weights=(1, 3)).where("source = 'a'").agg({"copies": "sum"}).first()[0]
+    kept = [r._nth for r in mix.mixed(halved, weights=(1, 3)).where("source = 'a'").collect()]
+    assert len(kept) == taken and len(set(kept)) == min(9, taken)
+    assert sorted(kept) == sorted(r._nth for r in mix.mixed(halved.repartition(3), weights=(1, 3)).where("source = 'a'").collect())

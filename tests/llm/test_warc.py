@@ -91,3 +91,18 @@ def test_empty_table(spark, tmp_path):
     path = os.path.join(tmp_path, "none")
     warc.write(pages(spark, row(1, "a")).where(F.col("page_id") == 2), path)
     assert warc.read(spark, path).count() == 0
+
+
+def test_chunk_framing_is_strict():
+    for length in (b"0x5", b"+5", b"1_0", b"", b" 5", b"-5"):
+        assert warc.dechunked(length + b"\r\nabcde\r\n0\r\n\r\n") is None
+    for body in (b"5\r\nabcde\r\n0\r\n\r\n", b"5;x=1\r\nabcde\r\n0\r\nTrailer: y\r\n\r\n", b"5 \r\nabcde\r\n00\r\n\r\n"):
+        assert warc.dechunked(body) == b"abcde"
+    for body in (b"5\r\nabcde\r\n0\r\n", b"5\r\nabcde\r\n0", b"5\r\nabcde\r\n", b"5\r\nabcde"):
+        assert warc.dechunked(body) is None
+
+
+def test_archives_that_spark_would_split_are_an_error(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes(b"WARC/1.1\r\n\r\n")
+    with pytest.raises(ValueError, match="not compressed"):
+        warc.read_records(spark, str(tmp_path))
