@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loglark import params
 from loglark.operators.counts import count_by
+from loglark.session import materialize
 
 
 def order_of(key: str) -> list[Column]:
@@ -18,8 +19,73 @@ def top_k(df: DataFrame, key: str, k: int | None = None, weight: str | Column |
     return top_of(count_by(df, key, weight), key, k)
 
 
+#: Up to this many rows a list is gathered from all tasks by one; a longer one is selected where it lies.
+GATHERED = 1_000
+
+
 def top_of(counts: DataFrame, key: str, k: int | None = None) -> DataFrame:
-    return counts.orderBy(*order_of(key)).limit(params.top_k(k))
+    k = params.top_k(k)
+    return counts.orderBy(*order_of(key)).limit(k) if k <= GATHERED else select_top(counts, key, k)
+
+
+#: Bits of a count that one histogram tells apart.
+DIGIT = 12
+
+
+def _threshold(counts: DataFrame, k: int) -> tuple[int, int] | None:
+    """(n, r): keys above ``n`` are all among the first ``k``, and ``r`` more of those with exactly ``n``. None: there are no more than k.
+
+    The count is found digit by digit from the top: a histogram has at most 2^DIGIT rows, whatever the number of keys.
+    """
+    most = counts.agg(F.max("n")).first()[0]
+    if most is None:
+        return None
+    width, left, inside = max(0, int(most).bit_length() - DIGIT), k, F.lit(True)
+    while True:
+        digit = F.shiftrightunsigned(F.col("n"), width)
+        found = counts.where(inside).groupBy(digit.alias("d")).agg(F.count("*").alias("keys")).collect()
+        for row in sorted(found, key=lambda r: -r["d"]):
+            if row["keys"] >= left:
+                break
+            left -= row["keys"]
+        else:
+            return None
+        if width == 0:
+            return row["d"], left
+        inside = F.shiftrightunsigned(F.col("n"), width) == row["d"]
+        width = max(0, width - DIGIT)
+
+
+def _first_keys(ties: DataFrame, key: str, r: int) -> DataFrame:
+    """The first ``r`` rows in the order of the key: ranges of keys are taken whole, one of them in part."""
+    place, position = "_part", "_nth"
+    ranged = ties.repartitionByRange(key).sortWithinPartitions(key)
+    ranged = materialize(ranged.withColumn(place, F.spark_partition_id()), "ties")
+    before = 0
+    sizes = ranged.groupBy(place).agg(F.count("*").alias("rows")).orderBy(place).collect()  # a row for each task
+    for size in sizes:
+        if before + size["rows"] > r:
+            break
+        before += size["rows"]
+    else:
+        return ranged.drop(place)
+    cut = size[place]
+    nth = F.row_number().over(Window.partitionBy(place).orderBy(key))
+    part = ranged.where(F.col(place) == cut).withColumn(position, nth).where(F.col(position) <= r - before)
+    return ranged.where(F.col(place) < cut).drop(place).unionByName(part.drop(place, position))
+
+
+def select_top(counts: DataFrame, key: str, k: int) -> DataFrame:
+    """The first ``k`` rows of any number, in order and spread over tasks by ranges of that order.
+
+    Histograms of the counts give the threshold; only the keys that have exactly that count are put in order to find the last ones.
+    """
+    rows = materialize(counts, "selection")
+    found = _threshold(rows, k)
+    if found is not None:
+        n, r = found
+        rows = rows.where(F.col("n") > n).unionByName(_first_keys(rows.where(F.col("n") == n), key, r))
+    return rows.orderBy(*order_of(key))
 
 
 def ranked(top: DataFrame, key: str) -> DataFrame:

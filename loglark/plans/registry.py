@@ -659,10 +659,10 @@ def stream_file_counts(spark, sf):
 
 @query
 def stream_tail_counts(spark, sf):
-    """The tail source over the same files (its folder must be a mounted one)."""
+    """The tail source over the same files, by the URI of their folder."""
     folder, out, checkpoint = _folders(spark, "tail")
     _add_files(logs(spark, sf), folder)
-    tail = stream_tail(spark, folder.removeprefix("file:") + "/part-*")
+    tail = stream_tail(spark, f"{folder if ':' in folder else f'file:{folder}'}/part-*")
     lines = parse_logs(tail, event_clock=True)
     _drain(runs.run_counts(lines, out, checkpoint, drain=True, state_partitions=_width(spark)))
     return runs.current_counts(spark, out)

@@ -1,3 +1,5 @@
+import glob
+import json
 import os
 from collections import Counter
 
@@ -10,6 +12,7 @@ from loglark.operators.parse import parse_logs
 from loglark.params import CmsParams
 from loglark.plans import snapshot
 from loglark.sources import stream_logs, stream_tail
+from loglark.sources import tail as tail_module
 from loglark.sources.tail import TailReader, read_lines
 from loglark.streaming import runs, state
 
@@ -381,23 +384,76 @@ def test_tail_file_that_goes_on_in_the_middle_of_a_line(tmp_path):
     assert tail.poll() == ["same start, but longer lines", "C"]
 
 
-def test_tail_keeps_bytes_and_rejects_schemes(spark, tmp_path):
+def test_tail_keeps_bytes_and_rejects_unknown_schemes(spark, tmp_path):
     path = tmp_path / "a.log"
     with open(path, "wb") as f:
         f.write(b"a\xff\n\n\xe9\r\n")
     reader = TailReader({"path": str(path)})
     (part,) = reader.partitions({}, reader.latestOffset())
     assert [x.as_buffer().to_pybytes() for block in read_lines(part) for x in block.cast("binary")] == [b"a\xff", b"", b"\xe9\r"]
-    for bad in ("s3a://bucket/a.log", "file:/a.log", "hdfs:a"):
+    for bad in ("nosuch://bucket/a.log", "hdfs:a"):
         with pytest.raises(ValueError):
             stream_tail(spark, bad)
 
 
+def test_tail_follows_a_uri(tmp_path):
+    for prefix in ("file:", "file://"):
+        path = tmp_path / f"{len(prefix)}.log"
+        tail = Tail(f"{prefix}{tmp_path}/{len(prefix)}.*")
+        assert tail.poll() == []
+        append(path, "1\n2")
+        assert tail.poll() == ["1"]
+        tail.restart()
+        append(path, "\n3\n")
+        assert tail.poll() == ["2", "3"]
+
+
+def test_tail_patterns(tmp_path):
+    for name in ("a/x.log", "a/y.log", "b/x.log", "a/deep/x.log", ".hidden.log", "top.log"):
+        (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
+        append(tmp_path / name, name + "\n")
+    for pattern in ("*.log", "*/x.log", "a/*", "[ab]/*.log", "a/?.log", "none/*.log", "top.log", "*/*/x.log"):
+        want = sorted(os.path.relpath(p, tmp_path) for p in glob.glob(f"{tmp_path}/{pattern}") if os.path.isfile(p))
+        assert sorted(Tail(f"{tmp_path}/{pattern}").poll()) == want, pattern
+
+
+def test_tail_rotation_through_copies(tmp_path):
+    """An object store has no rename: the file is copied to another name and the old name is written anew."""
+    path = tmp_path / "a.log"
+    append(path, "1\n2\n")
+    tail = Tail(tmp_path / "a.log*")
+    assert tail.poll() == ["1", "2"]
+    append(path, "3\n")
+    (tmp_path / "a.log.1").write_bytes(path.read_bytes())
+    path.write_bytes(b"4\n")
+    tail.restart()
+    assert sorted(tail.poll()) == ["3", "4"]
+    append(path, "5\n")
+    append(tmp_path / "a.log.1", "last\n")
+    assert sorted(tail.poll()) == ["5", "last"]
+
+
+def test_tail_reads_nothing_of_files_that_did_not_change(tmp_path, monkeypatch):
+    for i in range(5):
+        append(tmp_path / f"{i}.log", f"{i}\n")
+    tail = Tail(tmp_path / "*.log")
+    tail.poll()
+    opened = []
+    real = tail_module._File.__init__
+    monkeypatch.setattr(tail_module._File, "__init__", lambda self, system, path: (opened.append(path), real(self, system, path))[1])
+    assert tail.poll() == [] and opened == []
+    append(tmp_path / "3.log", "more\n")
+    assert tail.poll() == ["more"] and {os.path.basename(p) for p in opened} == {"3.log"}
+
+
 def test_tail_skips_a_file_that_is_gone(tmp_path, monkeypatch):
     append(tmp_path / "a.log", "1\n")
+    append(tmp_path / "gone", "2\n")
     reader = TailReader({"path": str(tmp_path / "*")})
-    monkeypatch.setattr("glob.glob", lambda _: [str(tmp_path / "gone"), str(tmp_path / "a.log")])
-    assert [v["path"] for v in reader.latestOffset().values()] == [str(tmp_path / "a.log")]
+    infos = tail_module.listed(reader.system, reader.pattern)
+    os.remove(tmp_path / "gone")
+    monkeypatch.setattr(tail_module, "listed", lambda *_: infos)
+    assert list(reader.latestOffset()) == [str(tmp_path / "a.log")]
 
 
 def test_tail_file_renamed_between_plan_and_read(tmp_path):
@@ -430,6 +486,37 @@ def test_tail_batch_limit(tmp_path):
     assert polls == [["aaaa", "bb"], ["c"], ["d" * 50], ["e"], []]
 
 
+def offset_log(folder, number: int, offset: dict):
+    (folder / "offsets").mkdir(exist_ok=True, parents=True)
+    (folder / "offsets" / str(number)).write_text(f"v1\n{{}}\n{json.dumps(offset)}")
+
+
+def test_tail_limit_holds_for_the_first_batch_after_a_restart(tmp_path):
+    path, checkpoint = tmp_path / "a.log", tmp_path / "cp"
+    append(path, "aaaa\nbb\n")
+    tail = Tail(path, maxBytesPerBatch="8", checkpoint=str(checkpoint))
+    assert tail_module.committed_offset(str(checkpoint)) is None
+    assert tail.poll() == ["aaaa", "bb"]
+    offset_log(checkpoint, 9, {})
+    offset_log(checkpoint, 10, tail.offset)
+    append(path, "c" * 4 + "\n" + "d" * 4 + "\n" + "e\n")
+    tail.restart()
+    assert [tail.poll() for _ in range(3)] == [["cccc"], ["dddd", "e"], []]
+
+
+def test_tail_query_obeys_the_limit_after_a_restart(spark, tmp_path):
+    path, checkpoint = tmp_path / "live.log", str(tmp_path / "cp")
+    for part in (LOG[:40], LOG[40:]):
+        append(path, "".join(v + "\n" for v in part))
+        tail = stream_tail(spark, f"file:{path}", max_bytes=2_000, checkpoint=checkpoint)
+        query = tail.writeStream.format("noop").option("checkpointLocation", checkpoint).trigger(processingTime="100 milliseconds").start()
+        query.processAllAvailable()
+        sizes = [p.numInputRows for p in query.recentProgress]
+        query.stop()
+        assert sum(sizes) == len(part) and max(sizes) <= 2_000 // 40
+    assert query.exception() is None
+
+
 def test_tail_query_with_restart(spark, tmp_path):
     path, out, checkpoint = tmp_path / "live.log", str(tmp_path / "out"), str(tmp_path / "cp")
     done = []
