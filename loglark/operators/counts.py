@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loglark import schema
@@ -19,12 +19,27 @@ def count_by(df: DataFrame, key: str | list[str], weight: str | Column | None =
     return rows.groupBy(*keys).agg(F.sum(amount).alias("n"))
 
 
+def _amounts() -> list[Column]:
+    return [F.count_if("ok").alias("total_lines"), F.count_if(~F.col("ok")).alias("parse_errors")]
+
+
 def totals(parsed: DataFrame) -> DataFrame:
     """One row: parsed lines and parse errors."""
-    return parsed.agg(
-        F.count_if("ok").alias("total_lines"),
-        F.count_if(~F.col("ok")).alias("parse_errors"),
-    )
+    return parsed.agg(*_amounts())
+
+
+def observed(parsed: DataFrame, name: str = "totals") -> tuple[DataFrame, Observation]:
+    """``parsed`` with its totals collected by the way of the first job that is run from it: no further scan, no shuffle.
+
+    ``Observation.get`` has them once that job is done. It must use all rows: a limit above would cut the totals as well.
+    """
+    found = Observation(name)
+    return parsed.observe(found, *_amounts()), found
+
+
+def observed_stream(parsed: DataFrame, name: str = "totals") -> DataFrame:
+    """The same for a stream: each progress of its query, and so every listener, has the totals of the batch under ``name``."""
+    return parsed.observe(name, *_amounts())
 
 
 def fan_out(parsed: DataFrame, with_seconds: bool = False) -> DataFrame:

@@ -227,6 +227,7 @@ ORACLES: dict[str, str] = {
     "count_by_path": f"WITH {PARSED} SELECT split_part(endpoint, '?', 1) AS path, count(*) AS n FROM good GROUP BY 1",
     "log_scan": f"WITH {PARSED} {TOTALS}",
     "totals": f"WITH {PARSED} {TOTALS}",
+    "observed_totals": f"WITH {PARSED} {TOTALS}",
     "status_counts": f"WITH {PARSED} SELECT status, count(*) AS n FROM good GROUP BY 1",
     "ip_counts": f"WITH {PARSED} SELECT ip, count(*) AS n FROM good GROUP BY 1",
     "endpoint_counts": f"WITH {PARSED} SELECT endpoint, count(*) AS n FROM good GROUP BY 1",
@@ -335,6 +336,16 @@ ORACLES: dict[str, str] = {
         WITH {PARSED}, seconds AS ({SECONDS}) SELECT sec, n FROM seconds
         WHERE sec > (SELECT max(sec) FROM seconds) - INTERVAL {7 * DAY} SECOND""",
     "stream_rate": f"WITH {PARSED}, buckets AS ({SECONDS}) {_series('buckets')}",
+    "stream_rate_running": f"WITH {PARSED}, buckets AS ({SECONDS}) {_series('buckets')}",
+    "stream_late_per_event": """
+        WITH a AS (
+          SELECT event_id, event_type, date_trunc('second', ts) AS sec,
+                 event_id + CASE WHEN event_id % 10 = 0 THEN 7 ELSE 0 END AS arrival FROM events
+        ), m AS (
+          SELECT event_id, sec, max(sec) OVER (PARTITION BY event_type ORDER BY arrival, event_id
+                                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM a
+        )
+        SELECT event_id FROM m WHERE sec < newest - INTERVAL 1799 SECOND""",
     "stream_late_drop": f"""
         WITH {PARSED} SELECT sec, count(*) AS n FROM good WHERE ts >= TIMESTAMP '{SPLIT}' GROUP BY sec""",
     "stream_cms": ESTIMATE_ALL,

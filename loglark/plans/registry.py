@@ -124,6 +124,14 @@ def totals(spark, sf):
     return counts.totals(parsed(spark, sf))
 
 
+@query
+def observed_totals(spark, sf):
+    """The totals as a by-product of writing the counts."""
+    lines, found = counts.observed(parsed(spark, sf))
+    counts.all_counts(lines).write.parquet(scratch_path(spark, "observed"))
+    return spark.createDataFrame([(found.get["total_lines"], found.get["parse_errors"])], "total_lines long, parse_errors long")
+
+
 @query
 def status_counts(spark, sf):
     return counts.count_by(_ok(spark, sf), "status")
@@ -739,6 +747,36 @@ def stream_rate(spark, sf):
     return _ntz(windows.rate_series(runs.current_buckets(spark, out), HOUR), "sec")
 
 
+@query
+def stream_rate_running(spark, sf):
+    """The rate of each second is given out when the second closes; only the open ones are worked out at the end."""
+    folder, out, checkpoint = _folders(spark, "stream")
+    for part in _parts(spark, sf):
+        _add_files(part, folder)
+        _drain(runs.run_rate(_stream(spark, folder), out, checkpoint, n=HOUR, drain=True, state_partitions=_width(spark)))
+    return _ntz(runs.current_rates(spark, out, checkpoint, HOUR).drop("series"), "sec")
+
+
+@query
+def stream_late_per_event(spark, sf):
+    """Late events of each type, in three batches of the order of arrival."""
+    folder, out, checkpoint = _folders(spark, "stream")
+    layout = "event_id long, event_type string, ts timestamp_ntz, arrival long"
+    arrival = F.col("event_id") + F.when(F.col("event_id") % 10 == 0, 7).otherwise(0)
+    events = table(spark, sf, "events").select("event_id", "event_type", "ts", arrival.alias("arrival"))
+    most = events.agg(F.max("arrival")).first()[0]
+    for k in range(3):
+        part = events.where((F.col("arrival") > most * k // 3 - (k == 0)) & (F.col("arrival") <= most * (k + 1) // 3))
+        part.write.mode("append").parquet(folder)
+        lines = spark.readStream.schema(layout).parquet(folder)
+        started = runs.run_late(
+            lines, out, checkpoint, "event_type", "arrival", "event_id", "ts", 1_800, ["event_id"], drain=True,
+            state_partitions=_width(spark),
+        )
+        _drain(started)
+    return runs.current_late(spark, out, "event_id long, late boolean").where("late").select("event_id")
+
+
 @query
 def stream_late_drop(spark, sf):
     """The newer part arrives first, so every line of the older part is late."""

@@ -224,6 +224,58 @@ def current_seconds(spark: SparkSession, checkpoint: str, window: int | None = N
     return windows.retain(state.kept_seconds(spark, checkpoint), params.retention(window))
 
 
+def run_late(
+    events: DataFrame,
+    path: str,
+    checkpoint: str,
+    source: str,
+    arrival: str,
+    tie: str,
+    ts: str,
+    window: int,
+    keep: list[str],
+    drain: bool = False,
+    every: str = "10 seconds",
+    state_partitions: int | None = None,
+) -> StreamingQuery:
+    """Keep the columns ``keep`` of every event and whether it was ``late`` for its source, event by event (see ``state.late_marks``)."""
+    marked = state.late_marks(events, source, arrival, tie, ts, params.positive("window", window), keep)
+    return _start(marked, Kept(f"{path}/late", marked.schema).write, "append", checkpoint, drain, every, state_partitions)
+
+
+def current_late(spark: SparkSession, path: str, layout: str) -> DataFrame:
+    """The marked events, of the given columns."""
+    return Kept(f"{path}/late", T.StructType.fromDDL(layout)).rows(spark).drop("batch_id")  # a session is there
+
+
+RATES = T.StructType(
+    [T.StructField("series", T.StringType()), T.StructField("sec", T.TimestampType()), T.StructField("rate", T.DoubleType())]
+)
+
+
+def run_rate(
+    parsed: DataFrame,
+    path: str,
+    checkpoint: str,
+    ts: str = "ts_received",
+    n: int | None = None,
+    delay: int = 0,
+    by: str | None = None,
+    drain: bool = False,
+    every: str = "10 seconds",
+    state_partitions: int | None = None,
+) -> StreamingQuery:
+    """Keep the trailing rate of every closed second, for each value of ``by``, under ``path``: each is worked out once."""
+    rates = state.running_rate(parsed, ts, params.positive("n", params.rate_seconds(n)), delay, by)
+    return _start(rates, Kept(f"{path}/rates", RATES).write, "append", checkpoint, drain, every, state_partitions)
+
+
+def current_rates(spark: SparkSession, path: str, checkpoint: str, n: int | None = None) -> DataFrame:
+    """(series, sec, rate): the rates given out, and those of the seconds that are still open."""
+    closed = Kept(f"{path}/rates", RATES).rows(spark).drop("batch_id")
+    return closed.unionByName(state.open_rates(spark, checkpoint, params.rate_seconds(n)))
+
+
 def run_cms(
     parsed: DataFrame,
     path: str,

@@ -1,4 +1,4 @@
-"""Running summaries in Spark's state store: heavy hitters and the lines of the last seconds.
+"""Running results in Spark's state store: heavy hitters, the lines of the last seconds, rates, and late events.
 
 Each is an operator on keyed state, so its state is bounded, is committed together with the input offsets, and survives the loss of
 any executor. Tasks sum the rows of each Arrow batch first, and keys are dealt to ``salts`` by their hash: a client with a third of all
@@ -14,15 +14,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
+from loglark.functions.weight import column
+from loglark.operators import windows
 from loglark.operators.task_summaries import MisraGries, SpaceSaving
 from loglark.operators.task_summaries import batch_sums as sums_of
 
 SALTS = 16
-SUMMARIES, SECONDS = "summaries", "seconds"
+SUMMARIES, SECONDS, NEWEST, RING = "summaries", "seconds", "newest", "ring"
 _STATE = (
     "capacity int, mg_keys array<string>, mg_n array<long>, floor long, ss_keys array<string>, ss_over array<long>, ss_err array<long>"
 )
@@ -116,6 +119,105 @@ def seconds(times: DataFrame, ts: str, window: int, salts: int = SALTS) -> DataF
     return dealt.groupBy("salt").transformWithStateInPandas(Seconds(window), "salt long, seconds long", "Update", "None")
 
 
+class LateMarks(StatefulProcessor):
+    """The newest second of one source so far, and for each of its rows whether it came too late for the window that ends there."""
+
+    def __init__(self, window: int, keep: list[str]):
+        self.window, self.keep = window, keep
+
+    def init(self, handle) -> None:
+        self.newest = handle.getValueState(NEWEST, "sec long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(["arrival_key", "tie_key"], kind="stable")
+        before = float(self.newest.get()[0]) if self.newest.exists() else -np.inf
+        secs = frame["second_key"].to_numpy(dtype=float, na_value=np.nan)
+        reached = np.fmax.accumulate(np.concatenate([[before], secs]))
+        with np.errstate(invalid="ignore"):
+            late = secs < reached[:-1] - (self.window - 1)
+        if np.isfinite(reached[-1]):
+            self.newest.update((int(reached[-1]),))
+        yield frame[self.keep].assign(late=late)
+
+    def close(self) -> None:
+        pass
+
+
+def late_marks(df: DataFrame, source: str, arrival: str | Column, tie: str | Column, ts: str | Column, window: int,
+               keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of each row of a stream, and ``late``: older than the window that ends at the newest second of all
+    earlier rows of its source, in the order of arrival and tie.
+
+    Every event counts from the next one on, in whatever batches they come, as long as each batch has the rows that arrived next. The
+    state is one number for each source. A task takes the rows of a source in a batch at once; limits of the source bound those.
+    """
+    rows = df.select(
+        *keep, F.col(source).cast("string").alias("source_key"), column(arrival).alias("arrival_key"), column(tie).alias("tie_key"),
+        F.unix_seconds(F.date_trunc("second", column(ts)).cast("timestamp")).alias("second_key"),
+    )
+    layout = T.StructType([*(df.schema[c] for c in keep), T.StructField("late", T.BooleanType())])
+    return rows.groupBy("source_key").transformWithStateInPandas(LateMarks(window, keep), layout, "Append", "None")
+
+
+class RunningRate(StatefulProcessor):
+    """The last seconds of one series. A second is closed once one newer by more than ``delay`` was seen; its rate goes out then, once."""
+
+    def __init__(self, n: int, delay: int):
+        self.n, self.delay = n, delay
+
+    def init(self, handle) -> None:
+        self.kept = handle.getValueState(RING, "closed long, secs array<long>, ns array<long>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        closed, secs, ns = self.kept.get() if self.kept.exists() else (None, [], [])
+        parts = [pd.DataFrame({"sec": secs, "n": ns}, dtype="int64")]
+        for frame in rows:
+            own = pd.DataFrame({"sec": frame["key"].astype("int64"), "n": frame["w"]})
+            parts.append(own if closed is None else own[own["sec"] > closed])  # a closed second is closed
+        held = pd.concat(parts).groupby("sec", as_index=False)["n"].sum()
+        secs, ns = held["sec"].to_numpy(), held["n"].to_numpy()
+        if not len(secs):
+            return
+        until = max(int(secs[-1]) - self.delay - 1, closed if closed is not None else int(secs[0]) - 1)
+        so_far = np.concatenate([[0], np.cumsum(ns)])
+        rates = (so_far[1:] - so_far[np.searchsorted(secs, secs - self.n, side="right")]) / self.n
+        out = (secs <= until) & (secs > (closed if closed is not None else secs[0] - 1))
+        stay = secs > until + 1 - self.n
+        self.kept.update((until, secs[stay].tolist(), ns[stay].tolist()))
+        yield pd.DataFrame({"series": key[0], "sec": pd.to_datetime(secs[out], unit="s"), "rate": rates[out]})
+
+    def close(self) -> None:
+        pass
+
+
+def running_rate(df: DataFrame, ts: str, n: int, delay: int = 0, by: str | Column | None = None) -> DataFrame:
+    """(series, sec, rate) of a stream: the trailing ``n``-second rate of each second with events, given out once, when it closes.
+
+    Lines are summed per second in their tasks, so a series sends a row a second and Arrow batch. The state is a ring of n + delay seconds.
+    Lines of a closed second are late and left out.
+    """
+    series = F.lit("") if by is None else F.coalesce(column(by).cast("string"), F.lit(""))
+    own = df.where(F.col(ts).isNotNull()).select(
+        series.alias("dim"), F.unix_seconds(ts).cast("string").alias("key"), F.lit(1).cast("long").alias("w")
+    )
+    return batch_sums(own).groupBy("dim").transformWithStateInPandas(
+        RunningRate(n, delay), "series string, sec timestamp, rate double", "Append", "None"
+    )
+
+
+def open_rates(spark: SparkSession, checkpoint: str, n: int) -> DataFrame:
+    """(series, sec, rate) of the seconds that are not closed yet, from the rings: what they would be if nothing more came."""
+    found = _state(spark, checkpoint, RING)
+    if found is None:
+        return spark.createDataFrame([], "series string, sec timestamp, rate double")
+    pairs = F.arrays_zip(F.col("value.secs").alias("sec"), F.col("value.ns").alias("n"))
+    ring = found.select(F.col("key.dim").alias("series"), F.col("value.closed").alias("closed"), F.inline(pairs))
+    ring = ring.withColumn("sec", F.timestamp_seconds("sec"))
+    rates = windows.rate_series(ring.select("series", "sec", "n"), n, by=["series"])
+    ends = found.select(F.col("key.dim").alias("series"), F.timestamp_seconds("value.closed").alias("closed"))
+    return rates.join(ends, "series").where(F.col("sec") > F.col("closed")).select("series", "sec", "rate")
+
+
 def _state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame | None:
     """The state of a checkpoint; None if no batch was committed yet."""
     reader = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name)
