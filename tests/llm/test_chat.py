@@ -1,5 +1,9 @@
 import hashlib
 import random
+import time
+
+import pytest
+from pyspark.sql import functions as F
 
 from loglark.llm import chat, queries
 
@@ -58,9 +62,27 @@ def test_empty_table(spark):
 
 
 def test_long_conversation(spark):
-    rows = [(1, k, "user" if k % 2 else "assistant", f"text {k}", 0, "") for k in range(1000)]
-    (row,) = read(formatted(spark, rows))
-    assert len(row.turns) == 1000 and row.trained == [f"text {k}" for k in range(0, 1000, 2)]
+    """The work does not grow with the square of the turns: fifty thousand take seconds."""
+    n = 50_000
+    role = F.when(F.col("id") % 3 == 0, "user").otherwise("assistant")
+    said = F.concat(F.lit("té🙂t "), F.col("id").cast("string"), F.repeat(F.lit("<|"), (F.col("id") % 4).cast("int")))
+    table = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), said.alias("text"))
+    began = time.time()
+    (row,) = read(chat.format_conversations(table))
+    assert time.time() - began < 60
+    texts = [f"té🙂t {k}" + "<|" * (k % 4) for k in range(n)]
+    assert [t.text for t in row.turns] == texts
+    assert row.trained == [t for k, t in enumerate(texts) if k % 3]
+    assert all(row.formatted[s.start : s.start + s.length].startswith("té🙂t ") for s in row.loss_spans)
+
+
+@pytest.mark.parametrize("size", [1, 3, 1024])
+def test_spans_across_stretches(spark, monkeypatch, size):
+    monkeypatch.setattr(chat, "STRETCH", size)
+    rows = [(1, 1, "assistant", "", 0, ""), (1, 2, "user", "x" * 7, 0, ""), (1, 3, "assistant", "é🙂\n" * 5, 0, ""),
+            (1, 4, "assistant", "", 0, ""), (2, 1, "user", "no span", 0, "")]
+    got = {r.conv_id: r.trained for r in read(formatted(spark, rows))}
+    assert got == {1: ["", "é🙂\n" * 5, ""], 2: []}
 
 
 def test_query_is_native_and_covers_the_injected_conversation(spark, sf):
