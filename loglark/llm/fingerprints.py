@@ -6,8 +6,9 @@ is the block size. Each chunk becomes a symbol of 12 bits (two characters). A fi
 and at twice that, so texts whose block sizes are equal or differ by a factor of two can be compared: by the edit distance
 of their symbols (insertions and deletions), 1 for equal sequences and 0 for nothing in common.
 
-To meet its successor, texts are cut into ranges of ids; each range also gets the first row of the range behind it. Ranges
-follow quantiles of the ids, so no range holds more than its share, and rows stream through a task one after the other.
+To meet its successor, texts are cut into ranges of (id, hash of the text); each range also gets the first row of the range behind
+it. Ranges follow a sample of these pairs, so no range holds more than its share, a much-repeated id is cut as well, and rows stream
+through a task one after the other. Only rows alike in both stay together.
 
 A null text is empty, and the fingerprint of an empty text has no symbols; ids are in descending order with nulls last,
 repeated ids by a hash of their text; a single row is its own successor. An empty table gives an empty result. Only the named
@@ -17,6 +18,7 @@ columns are read.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -179,6 +181,25 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of()
 
 
+#: Rows that are looked at for each range of the order.
+SAMPLED = 20
+
+
+def _place(row_id: int | None, tie: int) -> tuple:
+    """Places grow in the order of the rows: falling ids, then falling ties, rows without an id last."""
+    return (row_id is None, -(row_id or 0), -tie)
+
+
+def _bounds(rows: DataFrame, parts: int) -> list[tuple]:
+    """Places that cut the rows into ``parts`` ranges of about equal size. A much-repeated id is cut by its ties.
+
+    They come from a sample of ids and hashes, so only the sizes of the ranges depend on it, never what is compared.
+    """
+    share = min(1.0, SAMPLED * parts / max(1, rows.count()))
+    some = sorted(_place(r["id"], r["tie"]) for r in rows.select("id", "tie").sample(share, seed=1).collect())
+    return sorted({some[len(some) * k // parts] for k in range(1, parts)}) if some else []
+
+
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row its fingerprint, that of its edited text, and the likeness to both that and the row behind it."""
     spark = docs.sparkSession
@@ -186,17 +207,13 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), utf8(F.col(text_col)).alias("text"), F.xxhash64(text_col).alias("tie")
     )
-    keys = rows.select(F.col("id").cast("double").alias("id"))
-    cuts = keys.approxQuantile("id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    bounds = np.unique(np.array(cuts, np.float64))[::-1].copy()  # descending; one number for each partition
+    bounds = _bounds(rows, parts)
 
     @F.arrow_udf(IntegerType())
-    def range_of(ids: pa.Array) -> pa.Array:
-        values = ids.to_numpy(zero_copy_only=False)  # null becomes nan
-        found = np.searchsorted(-bounds, -np.nan_to_num(values.astype(np.float64), nan=-np.inf), "right")
-        return pa.array(found.astype(np.int32))
+    def range_of(ids: pa.Array, ties: pa.Array) -> pa.Array:
+        return pa.array([bisect_right(bounds, _place(i, t)) for i, t in zip(ids.to_pylist(), ties.to_pylist())], pa.int32())
 
-    rows = rows.select(range_of(F.col("id")).alias("bucket"), "id", "tie", "text")
+    rows = rows.select(range_of(F.col("id"), F.col("tie")).alias("bucket"), "id", "tie", "text")
     # The first row of each range goes to the range before it as well, that of the first range to the last.
     heads = rows.groupBy("bucket").agg(F.max(F.struct("id", "tie")).alias("head")).orderBy("bucket").collect()
     if not heads:

@@ -93,3 +93,21 @@ def test_repeated_rows_and_empty_table(docs):
     got = fingerprints.compare_with_next(docs((1, "one text"), (1, "one text"), (1, "one text"))).collect()
     assert len(got) == 3 and all(r.near_next == 1 for r in got)
     assert fingerprints.compare_with_next(docs((1, "a")).where("doc_id = 2")).count() == 0
+
+
+@pytest.mark.parametrize("ids", [[None], [7], [None, 7, 8, -3]])
+def test_a_much_repeated_id_is_spread_over_tasks(spark, docs, ids):
+    """Rows of one id, or of none, go by the hash of their text: they meet their successors and no task has them all."""
+    rng = random.Random(13)
+    rows = [(rng.choice(ids), f"{k} {words(rng, 3)}") for k in range(400)]
+    table = docs(*rows).repartition(3)
+    got = fingerprints.compare_with_next(table)
+    ties = {(r.doc_id, r.text): r.t for r in table.selectExpr("doc_id", "text", "xxhash64(text) AS t").collect()}
+    in_order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -ties[r]))
+    changed = [t[: len(t) - len(t) // 2] + in_order[(k + 1) % len(rows)][1][: len(t) // 2] for k, (_, t) in enumerate(in_order)]
+    assert sorted(r.edited_sha256 for r in got.collect()) == sorted(hashlib.sha256(c.encode()).hexdigest() for c in changed)
+    placed = [fingerprints._place(i, ties[i, t]) for i, t in rows]
+    frame = spark.createDataFrame([(i, ties[i, t]) for i, t in rows], "id long, tie long")
+    bounds = fingerprints._bounds(frame, 8)
+    sizes = np.bincount([fingerprints.bisect_right(bounds, p) for p in placed], minlength=8)
+    assert len(bounds) == 7 and sizes.max() < 3 * len(rows) / 8
