@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -42,8 +44,8 @@ def observed_stream(parsed: DataFrame, name: str = "totals") -> DataFrame:
     return parsed.observe(name, *_amounts())
 
 
-def fan_out(parsed: DataFrame, with_seconds: bool = False) -> DataFrame:
-    """Each line as the (dim, key) pairs it counts towards."""
+def fan_out(parsed: DataFrame, with_seconds: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """Each line as the (dim, key) pairs it counts towards, beside its columns ``by``."""
 
     def pair(dim: str, key: Column) -> Column:
         return F.struct(F.lit(dim).alias("dim"), key.alias("key"))
@@ -57,15 +59,15 @@ def fan_out(parsed: DataFrame, with_seconds: bool = False) -> DataFrame:
     if with_seconds:
         pairs.append(pair(schema.DIM_SECOND, F.unix_timestamp("ts_received").cast("string")))
     error = F.array(pair(schema.DIM_ERROR, F.lit("")))
-    return parsed.select(F.inline(F.when(F.col("ok"), F.array(*pairs)).otherwise(error)))
+    return parsed.select(*by, F.inline(F.when(F.col("ok"), F.array(*pairs)).otherwise(error)))
 
 
-def all_counts(parsed: DataFrame, with_seconds: bool = False) -> DataFrame:
-    """Total, errors and the counts per client, endpoint and status: one scan, one shuffle.
+def all_counts(parsed: DataFrame, with_seconds: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """Total, errors and the counts per client, endpoint and status (and columns ``by``): one scan, one shuffle.
 
     Works on batch and on streaming DataFrames.
     """
-    return fan_out(parsed, with_seconds).groupBy("dim", "key").agg(F.count(F.lit(1)).alias("n"))
+    return fan_out(parsed, with_seconds, by).groupBy(*by, "dim", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def buckets_of(seconds: DataFrame) -> DataFrame:

@@ -328,6 +328,7 @@ ORACLES: dict[str, str] = {
     "stream_tail_counts": ALL_COUNTS,
     "stream_restart": ALL_COUNTS,
     "stream_top_ips": f"WITH {PARSED} SELECT ip AS key, n FROM ({_top('ip', 10)})",
+    "stream_reset": "WITH " + COUNTS.replace("FROM events)", f"FROM events WHERE ts >= TIMESTAMP '{SPLIT}')") + " SELECT * FROM counts",
     "stream_top_incremental": f"""
         WITH {COUNTS}
         SELECT dim, cast(row_number() OVER (PARTITION BY dim ORDER BY n DESC, key) AS integer) AS rank, key, n

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 from collections.abc import Callable
 
@@ -14,7 +15,7 @@ from loglark.operators.parse import parse_logs, rejects
 from loglark.params import CmsParams
 from loglark.plans import report, snapshot
 from loglark.plans.logs import logs, parsed, table
-from loglark.session import scratch_path
+from loglark.session import materialize, scratch_path
 from loglark.sources import lines_from, read_logs, stream_logs, stream_tail
 from loglark.streaming import runs
 
@@ -234,8 +235,9 @@ def cms_estimate_point(spark, sf):
 
 @query
 def cms_estimate_all(spark, sf):
-    clients = _ok(spark, sf)
-    return cms.estimate(cms.build(clients, "ip"), counts.count_by(clients, "ip"), "ip")
+    """The log is parsed and counted once; the sketch is built from the counts and asked for each of them."""
+    clients = materialize(counts.count_by(_ok(spark, sf), "ip"), "clients")
+    return cms.estimate(cms.build(clients, "ip", weight="n"), clients, "ip")
 
 
 @query
@@ -711,6 +713,20 @@ def stream_top_ips(spark, sf):
     return runs.current_top(spark, out, "ip", 10)
 
 
+@query
+def stream_reset(spark, sf):
+    """The state after a reset at a time of the log: what arrived before is left behind, in one batch as in several."""
+    folder, out, checkpoint = _folders(spark, "stream")
+    old, new = _parts(spark, sf)
+    half = old.where(F.col("event_id") % 2 == 0)
+    _add_files(half, folder)
+    _drain(runs.run_state(_stream(spark, folder), out, checkpoint, drain=True))
+    runs.reset(spark, out, dt.datetime.fromisoformat(SPLIT).replace(tzinfo=dt.timezone.utc))
+    _add_files(old.where("ok AND event_id % 2 = 1").unionByName(new), folder)
+    _drain(runs.run_state(_stream(spark, folder), out, checkpoint, drain=True))
+    return runs.current_state(spark, out).counts
+
+
 @query
 def stream_top_incremental(spark, sf):
     """Heads kept from batch to batch, of several batches in two runs: each reads the heads before it and its own rows."""

@@ -14,7 +14,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +31,7 @@ from loglark.operators.windows import last_second
 from loglark.params import CmsParams
 from loglark.plans import report, snapshot
 from loglark.plans.snapshot import State
-from loglark.session import STREAM_CONF, settings
+from loglark.session import STREAM_CONF, path_is_missing, settings
 from loglark.streaming import kept, state
 from loglark.streaming.kept import Kept
 
@@ -51,7 +53,10 @@ def cms_table(path: str) -> Kept:
 
 
 def state_table(path: str) -> Kept:
-    return Kept(f"{path}/state", schema.COUNTS)
+    return Kept(f"{path}/state", T.StructType([T.StructField("epoch", T.IntegerType()), *schema.COUNTS.fields]))
+
+
+_RESETS = T.StructType([T.StructField("at", T.TimestampType())])
 
 
 def heads_table(path: str) -> Kept:
@@ -356,18 +361,51 @@ def _capacity(found: DataFrame) -> int:
     return found.select("capacity").first()[0]
 
 
+def reset(spark: SparkSession, path: str, at: datetime | None = None) -> None:
+    """Start the state of ``run_state`` under ``path`` anew with the lines that arrive from ``at`` (default: now) on.
+
+    It takes effect at that place of the input, whatever batch a line comes in, also in a batch that is written again. The query
+    may run meanwhile. Lines without a time, so all errors, count by the resets that are there when their batch is written.
+    """
+    when = at or datetime.now(timezone.utc)
+    spark.createDataFrame([(when,)], _RESETS).coalesce(1).write.mode("append").parquet(f"{path}/resets")
+
+
+def _resets(spark: SparkSession, path: str) -> list[datetime]:
+    """The times of all resets, a few."""
+    try:
+        rows = spark.read.schema(_RESETS).parquet(f"{path}/resets").collect()
+    except AnalysisException as error:
+        if not path_is_missing(error):
+            raise
+        return []
+    return sorted(r["at"] for r in rows)
+
+
 def run_state(
     parsed: DataFrame, path: str, checkpoint: str, drain: bool = False, every: str = "10 seconds"
 ) -> StreamingQuery:
-    """Keep what a whole state is made of: the counts of each batch, seconds among them, from one scan and without a state store."""
+    """Keep what a whole state is made of: the counts of each batch, seconds among them, from one scan and without a state store.
+
+    Counts go by epochs, the number of resets before a line, so a ``reset`` needs no stop.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        state_table(path).write(counts.all_counts(batch, with_seconds=True), batch_id)
+        times = _resets(batch.sparkSession, path)
+        passed = [(F.col("ts_received") >= F.lit(at)).cast("int") for at in times]
+        epoch = F.coalesce(sum(passed, F.lit(0)), F.lit(len(times)))
+        state_table(path).write(counts.all_counts(batch.withColumn("epoch", epoch), True, ["epoch"]), batch_id)
 
     needed = parsed.select("ok", "ip", "endpoint", "status", "ts_received")
     return _start(needed, write, "append", checkpoint, drain, every, None)
 
 
+def _since_reset(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """COUNTS of the last epoch, summed over the batches."""
+    last = rows.where(F.col("epoch") == len(_resets(spark, path))).drop("epoch")
+    return kept.sum_of(last, "dim", "key")
+
+
 def current_state(
     spark: SparkSession,
     path: str,
@@ -376,23 +414,30 @@ def current_state(
     ss_capacity: int | None = None,
     retention: int | None = None,
 ) -> State:
-    """The state kept by ``run_state``: to query, to save as a snapshot, or to add to a loaded one.
+    """The state kept by ``run_state`` since the last reset: to query, to save as a snapshot, or to add to a loaded one.
 
     The counts are summed over the batches and written once, and the summaries are built from them, so all parts are those after the
     same batch. With a ``retention`` only so many seconds up to the newest are in it.
     """
     seconds = 0 if retention is None else params.retention(retention)
     rows = state_table(path).rows(spark)
-    found = snapshot.of_counts(_retained(seconds)(kept.sum_of(rows, "dim", "key")), cms_params, mg_capacity, ss_capacity)
+    summed = _retained(seconds)(_since_reset(spark, path, rows))
+    found = snapshot.of_counts(summed, cms_params, mg_capacity, ss_capacity)
     return replace(found, fresh=rows.isEmpty())
 
 
 def compact_state(spark: SparkSession, path: str, to: str, retention: int | None = None) -> None:
-    """Copy the table of ``run_state`` to a new folder with its batches as one, without the seconds beyond a ``retention``."""
+    """Copy the table of ``run_state`` to a new folder with its batches as one, without what lies before the last reset and without the
+    seconds beyond a ``retention``."""
     seconds = 0 if retention is None else params.retention(retention)
-    kept.compact(
-        spark, state_table(path), state_table(to).path, lambda rows: _retained(seconds)(kept.sum_of(rows, "dim", "key"))
-    )
+    times = _resets(spark, path)
+
+    def current(rows: DataFrame) -> DataFrame:
+        return _retained(seconds)(_since_reset(spark, path, rows)).withColumn("epoch", F.lit(len(times)))
+
+    kept.compact(spark, state_table(path), state_table(to).path, current)
+    for at in times:
+        reset(spark, to, at)
 
 
 def counts_and_buckets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -1,3 +1,4 @@
+import datetime as dt
 import glob
 import json
 import os
@@ -97,7 +98,7 @@ def test_a_replayed_batch_overwrites_itself(spark, tmp_path):
 def test_the_newest_batch_may_be_written_again_after_compaction(spark, tmp_path):
     """A restart may repeat the last batch: it must not meet its own rows in the sum."""
     old, new = str(tmp_path / "a"), str(tmp_path / "b")
-    one = spark.createDataFrame([("ip", "a", 1)], COUNT_ROW)
+    one = spark.createDataFrame([(0, "ip", "a", 1)], f"epoch int, {COUNT_ROW}")
     for i in range(4):
         runs.state_table(old).write(one, i)
     runs.compact_state(spark, old, new)
@@ -246,6 +247,30 @@ def test_retention_of_a_stream(spark, folders):
     assert runs.current_state(spark, f"{folders.out}-compact").counts.where("dim = 'total'").first()["n"] == 37
 
 
+def test_a_reset_takes_effect_at_one_place_of_the_input(spark, folders):
+    at = [dt.datetime(2025, 9, 24, 10, 0, s, tzinfo=dt.timezone.utc) for s in (20, 40)]
+    folders.add([log(s) for s in range(0, 30)] + ["bad"])
+    drain(runs.run_state(parsed(spark, folders), folders.out, folders.checkpoint, drain=True))
+    assert runs.current_state(spark, folders.out).counts.where("dim = 'total'").first()["n"] == 30
+    runs.reset(spark, folders.out, at[0])  # of a time that has come already: only what is counted from now on is split by it
+    folders.add([log(s) for s in range(10, 50)] + ["bad", "bad"])
+    drain(runs.run_state(parsed(spark, folders), folders.out, folders.checkpoint, drain=True))
+
+    def found(path):
+        state_now = runs.current_state(spark, path)
+        counted = {r.dim: r.n for r in state_now.counts.where("dim IN ('total', 'error')").collect()}
+        return counted, sorted(s for s, _ in row_set(state_now.buckets.select(F.second("sec"), "n")))
+
+    assert found(folders.out) == ({"total": 30, "error": 2}, list(range(20, 50)))
+    runs.compact_state(spark, folders.out, f"{folders.out}-compact")
+    assert found(f"{folders.out}-compact") == found(folders.out)
+    runs.reset(spark, folders.out, at[1])
+    assert found(folders.out) == ({}, [])
+    folders.add([log(s) for s in (5, 39, 40, 41)])
+    drain(runs.run_state(parsed(spark, folders), folders.out, folders.checkpoint, drain=True))
+    assert found(folders.out) == ({"total": 2}, [40, 41])
+
+
 def test_heads_go_on_from_batch_to_batch(spark, folders):
     """A key climbs into the head by small steps, while others stay; every batch is held against the exact counts."""
     done = []
