@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loglark.functions.weight import column, weighted
 from loglark.operators import topk
@@ -20,6 +21,17 @@ def keyed_weights(
     return rows.where("dim IS NOT NULL AND key IS NOT NULL").select("dim", "key", amount.alias("w"))
 
 
+def folded(rows: DataFrame, fold, schema: StructType, groups: int | None) -> DataFrame:
+    """The summaries of tasks folded into those of ``groups`` tasks, so at most groups x capacity rows of a dim go on.
+
+    The summaries of a task go to one group whole. Without ``groups`` they stay as they are.
+    """
+    if groups is None:
+        return rows
+    dealt = rows.withColumn("_task", F.spark_partition_id()).repartition(groups, F.pmod("_task", F.lit(groups)))
+    return dealt.drop("_task").mapInArrow(fold, schema)
+
+
 def best_per_dim(rows: DataFrame, order: list[Column], limit: int, split: bool) -> DataFrame:
     """The first ``limit`` rows of each dim with their position ``_r``; tasks cut to the limit first."""
     if split:

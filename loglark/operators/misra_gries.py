@@ -44,8 +44,12 @@ def build(
     capacity: int | None = None,
     weight: str | Column | None = None,
     by: str | Column | None = None,
+    groups: int | None = None,
 ) -> MisraGries:
-    """Summarize ``df``, one summary per value of ``by`` (few values). Each task ships its summary only."""
+    """Summarize ``df``, one summary per value of ``by`` (few values). Each task ships its summary only.
+
+    With very many tasks, ``groups`` folds their summaries in as many tasks first (see ``_partials.folded``).
+    """
     capacity = params.capacity(capacity)
     summarize = task_summaries.misra_gries
 
@@ -53,7 +57,8 @@ def build(
         return summarize(batches, capacity)
 
     partials = _partials.keyed_weights(df, key, weight, by).mapInArrow(partial, schema.MG)
-    return from_partials(partials, capacity, by is not None)
+    renamed = partials if groups is None else partials.withColumnRenamed("n", "w")  # a counter is a weighted key
+    return from_partials(_partials.folded(renamed, partial, schema.MG, groups), capacity, by is not None)
 
 
 def from_partials(rows: DataFrame, capacity: int, split: bool) -> MisraGries:

@@ -72,16 +72,23 @@ def build(
     capacity: int | None = None,
     weight: str | Column | None = None,
     by: str | Column | None = None,
+    groups: int | None = None,
 ) -> SpaceSaving:
-    """Summarize ``df``, one summary per value of ``by`` (few values). Each task ships its summary only."""
+    """Summarize ``df``, one summary per value of ``by`` (few values). Each task ships its summary only.
+
+    With very many tasks, ``groups`` folds their summaries in as many tasks first (see ``_partials.folded``).
+    """
     capacity = params.capacity(capacity)
-    summarize = task_summaries.space_saving
+    summarize, fold = task_summaries.space_saving, task_summaries.fold_space_saving
 
     def partial(batches):
         return summarize(batches, capacity)
 
+    def combined(batches):
+        return fold(batches, capacity)
+
     partials = _partials.keyed_weights(df, key, weight, by).mapInArrow(partial, schema.SS)
-    return from_partials(partials, capacity, by is not None)
+    return from_partials(_partials.folded(partials, combined, schema.SS, groups), capacity, by is not None)
 
 
 def from_partials(rows: DataFrame, capacity: int, split: bool) -> SpaceSaving:

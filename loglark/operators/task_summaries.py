@@ -77,7 +77,16 @@ class SpaceSaving:
         self.held: pa.Table | None = None  # key, over (count less floor), err (error less floor)
 
     def add(self, keys: pa.ChunkedArray, weights: pa.ChunkedArray) -> None:
-        own = pa.table({"key": keys, "over": weights, "err": pa.array(np.zeros(len(keys), np.int64))})
+        self._merge(pa.table({"key": keys, "over": weights, "err": pa.array(np.zeros(len(keys), np.int64))}))
+
+    def add_summaries(self, rows: pa.Table) -> None:
+        """Rows of other summaries. The row of rank 1 of each brings its floor, which all keys that it lacks get."""
+        self.floor += pc.sum(rows.filter(pc.equal(rows["rank"], 1))["floor"]).as_py() or 0
+        over = {c: pc.subtract(rows[n], rows["floor"]) for c, n in (("over", "n"), ("err", "err"))}
+        summed = pa.table({"key": rows["key"], **over}).group_by("key", use_threads=False).aggregate([("over", "sum"), ("err", "sum")])
+        self._merge(summed.rename_columns({"over_sum": "over", "err_sum": "err"}))
+
+    def _merge(self, own: pa.Table) -> None:
         if self.held is not None:
             both = pa.concat_tables([self.held, own]).group_by("key", use_threads=False)
             own = both.aggregate([("over", "sum"), ("err", "sum")]).rename_columns({"over_sum": "over", "err_sum": "err"})
@@ -134,6 +143,17 @@ def space_saving(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[p
         yield summary.rows(dim)
 
 
+def fold_space_saving(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
+    """One summary per dim of the rows of many."""
+    held: dict[str, SpaceSaving] = {}
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        for dim in pc.unique(rows["dim"]).to_pylist():
+            held.setdefault(dim, SpaceSaving(capacity)).add_summaries(rows.filter(pc.equal(rows["dim"], dim)))
+    for dim, summary in held.items():
+        yield summary.rows(dim)
+
+
 def both(batches: Iterator[pa.RecordBatch], mg_capacity: int, ss_capacity: int) -> Iterator[pa.RecordBatch]:
     """Both summaries of one task, per dim, as rows of the wider one with ``kind`` before them."""
     made = _per_dim(batches, lambda: [MisraGries(mg_capacity), SpaceSaving(ss_capacity)])

@@ -388,7 +388,8 @@ def mg_weighted_bounds(spark, sf):
 @query
 def mg_merge_bounds(spark, sf):
     old, new = _by_shipdate(spark, sf)
-    merged = misra_gries.merge(misra_gries.build(old, "key", SMALL), misra_gries.build(new, "key", SMALL))
+    parts = [misra_gries.build(df.repartition(_width(spark)), "key", SMALL, groups=FEW) for df in (old, new)]
+    merged = misra_gries.merge(*parts)
     return _mg_check(merged, counts.count_by(old.unionByName(new), "key"))
 
 
@@ -429,7 +430,8 @@ def ss_weighted_bounds(spark, sf):
 @query
 def ss_merge_bounds(spark, sf):
     old, new = _by_shipdate(spark, sf)
-    merged = space_saving.merge(space_saving.build(old, "key", SMALL), space_saving.build(new, "key", SMALL))
+    parts = [space_saving.build(df.repartition(_width(spark)), "key", SMALL, groups=FEW) for df in (old, new)]
+    merged = space_saving.merge(*parts)
     return _ss_check(merged, counts.count_by(old.unionByName(new), "key"))
 
 

@@ -159,3 +159,37 @@ def test_one_shuffle_of_summaries(spark, tmp_path):
     for summary in (misra_gries.build(table, "k", 8), space_saving.build(table, "k", 8)):
         text = summary.rows._jdf.queryExecution().executedPlan().toString()
         assert text.count("Exchange hashpartitioning(dim") == 1 and text.count("FileScan") == 1
+
+
+@given(st.lists(STREAM, min_size=1, max_size=5), st.integers(1, 6))
+@settings(max_examples=150, deadline=None)
+def test_folded_summaries_keep_their_bounds(streams, capacity):
+    """Summaries of tasks folded in one task, as a level of the tree does."""
+    whole = [pair for stream in streams for pair in stream]
+    ss = [b for stream in streams for b in task_summaries.space_saving(batches(stream, 7), capacity)]
+    found = [r for b in task_summaries.fold_space_saving(iter(ss), capacity) for r in b.to_pylist()]
+    check_ss({r["key"]: (r["n"], r["err"], r["floor"]) for r in found}, exact_of(whole), capacity)
+    mg = [b for stream in streams for b in task_summaries.misra_gries(batches(stream, 7), capacity)]
+    again = [pa.RecordBatch.from_arrays(b.columns, names=["dim", "key", "w"]) for b in mg]
+    found = [r for b in task_summaries.misra_gries(iter(again), capacity) for r in b.to_pylist()]
+    check_mg({r["key"]: r["n"] for r in found}, exact_of(whole), capacity)
+
+
+def test_a_tree_of_summaries_sends_few_rows_to_its_top(spark):
+    """Thirty tasks of many keys: at most groups x capacity rows of a dim reach the last grouping."""
+    df = spark.range(60_000, numPartitions=30).select(
+        F.when(F.col("id") % 3 == 0, F.col("id") % 5).otherwise(F.col("id") * 7919 % 20_011).cast("string").alias("key")
+    )
+    exact = Counter(r.key for r in df.collect())
+    capacity, groups = 20, 4
+    for build, top_rows in ((misra_gries.build, misra_gries._merged), (space_saving.build, space_saving._merged)):
+        seen = []
+        module = misra_gries if build is misra_gries.build else space_saving
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(module, "_merged", lambda rows, *a, top=top_rows, seen=seen: (seen.append(rows), top(rows, *a))[1])
+            found = build(df, "key", capacity, groups=groups).rows.collect()
+        assert 0 < seen[0].count() <= groups * capacity
+        if module is misra_gries:
+            check_mg({r.key: r.n for r in found}, exact, capacity)
+        else:
+            check_ss({r.key: (r.n, r.err, r.floor) for r in found}, exact, capacity)
