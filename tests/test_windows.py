@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -142,3 +143,21 @@ def test_late_without_a_time(spark):
     df = df.withColumn("ts", F.timestamp_seconds(F.col("s") + BASE))
     got = dict(rows(late.mark_late(df, "a", "t", "ts", 3).select("a", "late")))
     assert got == {1: False, 2: False, 3: False, 4: True}
+
+
+def test_late_shuffles_the_rows_once_and_writes_nothing(spark):
+    """A third of all rows arrive at one time: they are cut by their ties, whatever the types of the two."""
+    df = spark.range(3_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("noon")).otherwise(F.col("id").cast("string")).alias("a"),
+        F.timestamp_seconds(F.col("id") + BASE).alias("t"), F.timestamp_seconds(F.col("id") % 500 + BASE).alias("ts"),
+    )
+    scratch = os.path.join(spark.conf.get("spark.checkpoint.dir"), "loglark")
+    before = os.listdir(scratch) if os.path.isdir(scratch) else []
+    marked = late.mark_late(df, "a", "t", "ts", 30, 8)
+    assert marked.count() == 3_000 and before == (os.listdir(scratch) if os.path.isdir(scratch) else [])
+    text = plan(marked)
+    assert text.count("Exchange hashpartitioning(_p") == 2 and "RangePartitioning" not in text
+    rows_in = df.select(F.col("a").alias("_a"), late._comparable(df, F.col("t")).alias("_t"))
+    bounds = late._bounds(rows_in, 8)
+    placed = rows_in.groupBy(late._range_of(bounds)("_a", "_t").alias("p")).count().collect()
+    assert len(bounds) == 7 and len(placed) == 8 and max(r["count"] for r in placed) < 3 * 3_000 / 8
