@@ -1,11 +1,15 @@
 """The pipeline stage by stage against plain versions of the stages, and the queries against their SQL."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from loglark.llm import mix, quality, queries, simhash, toxicity
 from loglark.llm.oracles import ORACLES
+from loglark.session import materialize
 from test_decontaminate import plain_words
 from test_simhash import plain_components, plain_fingerprint
 
@@ -82,6 +86,43 @@ def test_run(spark, sf):
     assert simhash.near_duplicates(got.where("copy = 1")).where("id <> component_id").count() == 0
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long, copy string, _id int, fp binary"
+
+
+def odd_tables(spark, folder, rows):
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or ""), "own", 3, b"x") for i, t, s in rows], ODD)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels = [(i, (i or 0) % 2, int((i or 0) % 5 == 0)) for i, _, _ in rows if i is not None and i % 7]
+    spark.createDataFrame([*labels, (None, 1, None), (9999, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    items = [("q1", " ".join(f"bench{k}" for k in range(20))), ("q2", None), ("q3", ""), (None, "short item")]
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_odd_rows_go_through(spark, tmp_path):
+    """Nulls in any column, empty and repeated rows, long texts, and columns that are named like those the stages make."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * rng.randint(1, 6) for _ in range(60)), "s1" if i % 3 else None) for i in range(60)]
+    rows += [(100, None, "s1"), (101, "", "s2"), (None, "a text without an id that is long enough", "s1"), (None, None, None)]
+    rows += [rows[4], rows[4], (200, rows[4][1], "s2"), (300, "word " * 20_000, "s1")]
+    odd_tables(spark, str(tmp_path), rows)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    names, frame = docs.columns, docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        frame = materialize(stage(spark, frame, str(tmp_path)), name)
+        assert frame.columns == names
+    assert corpus_pipeline.no_near_duplicates(spark, docs, str(tmp_path)).where(F.col("text") == rows[4][1]).count() == 1
+    kept = corpus_pipeline.not_contaminated(spark, docs, str(tmp_path))
+    assert kept.count() == docs.count()
+    mixed = corpus_pipeline.to_weights(spark, docs, str(tmp_path))
+    assert mixed.columns == [*names, "_copy"]
+    assert {r.copy for r in mixed.collect()} == {"own"} and mixed.where("doc_id = 300").count() <= 3
+
+
+def test_empty_tables_give_an_empty_mix(spark, tmp_path):
+    odd_tables(spark, str(tmp_path), [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_registered():
     names = set(entry.queries())
     assert set(queries.QUERIES) <= names and "pipeline" in names
