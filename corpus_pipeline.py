@@ -1,4 +1,13 @@
-"""From raw documents to a training mix: each stage works on what the one before it kept, written as Parquet in between."""
+"""From raw documents to a training mix: each stage works on what the one before it kept, written as Parquet in between.
+
+A null or empty text is a text like any other to the classifiers and to the search for duplicates, where all wordless texts are one group;
+it has no word that could be contaminated, and the mix, which goes by words, takes it as often as every text of its source at least.
+Rows with equal or null ids are rows
+each: repeated rows are one group of duplicates, of which one stays; ties go to the smaller id, rows without an id last. All columns
+of the documents, further ones among them, go through unchanged; the mix adds ``copy``, with underscores before it where the
+documents have such a column. Without labels of both classes a classifier keeps all documents; an empty table gives an empty mix, and an
+empty benchmark drops nothing.
+"""
 
 from __future__ import annotations
 
